@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -123,26 +124,27 @@ def edge_table(spark: SparkSession, edges: Sequence[tuple]) -> DataFrame:
     return spark.createDataFrame([tuple(e) for e in edges], "class int, upper double, lower double")
 
 
-def _search(value: Column, cuts: list[float], classes: list[int]) -> Column:
-    """Balanced CASE tree: ``classes[i]`` for cuts[i] <= value < cuts[i + 1]."""
-    if len(classes) == 1:
-        return F.lit(classes[0])
-    middle = len(classes) // 2
-    return F.when(value >= cuts[middle], _search(value, cuts[middle:], classes[middle:])).otherwise(
-        _search(value, cuts[:middle], classes[:middle])
-    )
-
+def _interval(value: Column, cuts: list[float], guess: Column) -> Column:
+    """Index ``i`` with ``cuts[i] <= value < cuts[i + 1]`` from a closed-form guess.
 
-def _by_edges(value: Column, lowers: list[tuple[float, int]]) -> Column:
-    ordered = sorted(lowers)
-    return _search(value, [lower for lower, _ in ordered], [number for _, number in ordered])
+    The guess may be off by one through rounding; the exact cuts settle it, so
+    the expression stays small for any number of classes.
+    """
+    exact = F.array(*[F.lit(c) for c in cuts])
+    start = F.least(F.greatest(guess, F.lit(0)), F.lit(len(cuts) - 2)).cast("int")
+    down = F.when(value < F.get(exact, start), 1).otherwise(0)
+    up = F.when(value >= F.get(exact, start + 1), 1).otherwise(0)
+    return (start - down + up).cast("int")
 
 
 def benchmark_class(distance: str | Column, nrt: float, n_classes: int, step: float) -> Column:
     """Class of a distance: 1 beyond the threshold, ``n`` nearest the edge, 0 below one pixel."""
     d = F.col(distance) if isinstance(distance, str) else distance
-    lowers = [(lower, number) for number, _, lower in benchmark_edges(nrt, n_classes, step)]
-    return F.when(d.isNotNull(), _by_edges(d, [(float("-inf"), 0)] + lowers))
+    cuts = sorted(lower for _, _, lower in benchmark_edges(nrt, n_classes, step))
+    low, high = cuts[0], cuts[-1]
+    guess = F.floor(F.ln(d / low) * ((len(cuts) - 1) / math.log(high / low)))
+    inside = F.lit(int(n_classes)) - _interval(d, cuts, guess)
+    return F.when(d >= high, 1).when(d >= low, inside).when(d.isNotNull(), 0)
 
 
 def rescale(df: DataFrame, value: str) -> Column:
@@ -158,13 +160,12 @@ def alternative_class(rescaled: str | Column, n_classes: int, mask: str = "mask"
     The top interval is closed, so the layer maximum falls in the top class.
     """
     v = F.col(rescaled) if isinstance(rescaled, str) else rescaled
-    lowers = [(lower, number) for number, _, lower in alternative_edges(n_classes)]
-    lowers[0] = (1.0, lowers[0][1])
+    edges = alternative_edges(n_classes)
+    n, cuts = len(edges), [1.0] + [upper for _, upper, _ in edges]
+    guess = F.floor(n - n * F.log2(F.lit(3.0) - v))
+    found = F.when(v >= 2.0, n).when(v >= 1.0, _interval(v, cuts, guess) + 1).otherwise(0)
     inside = (F.col(mask) == 1) & (F.col(forest) == 1)
-    return F.when(
-        F.col(forest).isNotNull() & v.isNotNull(),
-        F.when(inside, _by_edges(v, [(float("-inf"), 0)] + lowers)).otherwise(0),
-    )
+    return F.when(F.col(forest).isNotNull() & v.isNotNull(), F.when(inside, found).otherwise(0))
 
 
 def region_id(risk_class: str = "risk_class", division: str = "division") -> Column:

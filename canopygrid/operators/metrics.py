@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from canopygrid.operators.order_stats import exact_median, theil_sen_slope
 
@@ -29,7 +30,7 @@ def regression_sample(cells: DataFrame) -> DataFrame:
     return cells.filter(valid | (n_valid < 2))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _small_slope(x: pd.Series, y: pd.Series) -> float:
     order = np.argsort(x.to_numpy(), kind="stable")
     xs, ys = x.to_numpy()[order], y.to_numpy()[order]
@@ -40,27 +41,25 @@ def _small_slope(x: pd.Series, y: pd.Series) -> float:
     return float(np.median((ys[j] - ys[i])[apart] / (xs[j] - xs[i])[apart]))
 
 
-def theil_sen(sample: DataFrame, n: int, small: int = SMALL_SAMPLE) -> DataFrame:
-    """One row ``ts_slope, ts_intercept``: median pair slope, ``med(y) - slope * med(x)``."""
-    spark = sample.sparkSession
+def theil_sen(sample: DataFrame, n: int, small: int = SMALL_SAMPLE) -> tuple[float | None, float | None]:
+    """Slope and intercept: median pair slope, ``med(y) - slope * med(x)``."""
     if n <= small:
-        slope = sample.agg(_small_slope("actual_ha", "pred_ha").alias("s")).scalar()
-        return sample.agg(F.median("actual_ha").alias("mx"), F.median("pred_ha").alias("my")).select(
-            slope.alias("ts_slope"), (F.col("my") - slope * F.col("mx")).alias("ts_intercept")
-        )
-    slope = theil_sen_slope(sample, n, "actual_ha", "pred_ha")
-    intercept = None
-    if slope is not None:
-        intercept = exact_median(sample, "pred_ha") - slope * exact_median(sample, "actual_ha")
-    return spark.createDataFrame([(slope, intercept)], "ts_slope double, ts_intercept double")
-
-
-def median_abs_error(sample: DataFrame, n: int, small: int = SMALL_SAMPLE) -> DataFrame:
-    """One row ``medae``."""
+        slope = sample.agg(_small_slope("actual_ha", "pred_ha")).first()[0]
+        medians = sample.agg(F.median("actual_ha"), F.median("pred_ha")).first()
+    else:
+        slope = theil_sen_slope(sample, n, "actual_ha", "pred_ha")
+        medians = (exact_median(sample, "actual_ha"), exact_median(sample, "pred_ha"))
+    if slope is None:
+        return None, None
+    return slope, medians[1] - slope * medians[0]
+
+
+def median_abs_error(sample: DataFrame, n: int, small: int = SMALL_SAMPLE) -> float:
+    """Median of ``|actual - predicted|``."""
     error = sample.select(F.abs(F.col("actual_ha") - F.col("pred_ha")).alias("e"))
     if n <= small:
-        return error.agg(F.median("e").alias("medae"))
-    return sample.sparkSession.createDataFrame([(exact_median(error, "e"),)], "medae double")
+        return error.agg(F.median("e")).first()[0]
+    return exact_median(error, "e")
 
 
 def evaluation_metrics(cells: DataFrame, grid_area_ha: float, small: int = SMALL_SAMPLE) -> DataFrame:
@@ -89,13 +88,13 @@ def evaluation_metrics(cells: DataFrame, grid_area_ha: float, small: int = SMALL
         F.avg(y).alias("avg_pred"),
         F.stddev_pop(y).alias("sd_pred"),
     )
-    error = median_abs_error(sample, n, small).scalar()
-    robust = theil_sen(sample, n, small).select(F.struct("ts_slope", "ts_intercept")).scalar()
+    error = median_abs_error(sample, n, small)
+    slope, intercept = theil_sen(sample, n, small)
     return base.withColumns(
         {
-            "medae": error,
-            "medae_pct": error / int(grid_area_ha) * 100,
-            "ts_slope": robust.getField("ts_slope"),
-            "ts_intercept": robust.getField("ts_intercept"),
+            "medae": F.lit(error),
+            "medae_pct": F.lit(error / int(grid_area_ha) * 100),
+            "ts_slope": F.lit(slope).cast("double"),
+            "ts_intercept": F.lit(intercept).cast("double"),
         }
     ).select([c.split()[0] for c in METRICS_SCHEMA.split(", ")])

@@ -43,7 +43,7 @@ def polygon_spans(polygons: DataFrame, grid: GridSpec) -> DataFrame:
         edges.withColumn("_first", first)
         .withColumn("_last", last)
         .filter("_first <= _last")
-        .withColumn("row", F.explode(F.sequence("_first", "_last")).cast("int"))
+        .withColumn("row", F.explode(F.sequence(F.col("_first").cast("int"), F.col("_last").cast("int"))))
         .select(
             "seq",
             "row",
