@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopygrid.lineage import cut
+from canopygrid.lineage import cut, materialise
 from canopygrid.operators.opening import opened_pixels, stratum_key
 from canopygrid.operators.ranking import RANK_LIMIT, at_or_before, cut_keys, small_side
 
@@ -99,10 +99,12 @@ def allocate(
     flagged = pixels
     if kernel is not None and kernel // 2 > 0:
         keyed = candidates.filter("region IS NOT NULL").select("row", "col", stratum_key())
-        alive = cut(opened_pixels(keyed, kernel)).select("row", "col").withColumn("_alive", F.lit(True))
+        alive = materialise(opened_pixels(keyed, kernel).select("row", "col")).withColumn("_alive", F.lit(True))
         flagged = pixels.join(alive, ["row", "col"], "left")
         candidates = candidates.join(alive, ["row", "col"], "left_semi")
     narrow = candidates.select("row", "col", "area", "region", score)
+    if "_alive" in flagged.columns:
+        narrow = materialise(narrow)
 
     first = cut_keys(narrow, ["area", "region"], score, targets, "target_px", limit)
     n_first = first.count()

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopygrid.grid import GridSpec
+from canopygrid.lineage import cut
 
 # A cell stays when it keeps more than this share of the fullest cell.
 FULL_SHARE = 0.999
@@ -94,18 +95,21 @@ def evaluation_grid(
 
     Whole cells are kept by the area mask without exclusions; the statistics
     then run over the mask with exclusions, and cells emptied by it vanish.
-    Everything comes from one aggregation of the pixels; with ``component``
+    Everything comes from one aggregation of the pixels, written out before its
+    maximum is taken so that the pixels are read once; with ``component``
     coverage is measured per connected part of the area mask.
     """
     g = spacing(grid_area_ha, grid)
     keyed = with_cell(pixels, g, grid)
     keys = ["cell_r", "cell_c"] + ([component] if component else [])
     inside = F.col(mask) == 1
-    parts = keyed.groupBy(*keys).agg(
-        F.count(F.when(F.col(area) == 1, 1)).alias("area_px"),
-        F.count(F.when(inside, 1)).alias("mask_px"),
-        F.coalesce(F.sum(F.when(inside, F.col(loss))), F.lit(0)).alias("loss_px"),
-        F.coalesce(F.sum(F.when(inside, F.col(density))), F.lit(0.0)).alias("pred_ha"),
+    parts = cut(
+        keyed.groupBy(*keys).agg(
+            F.count(F.when(F.col(area) == 1, 1)).alias("area_px"),
+            F.count(F.when(inside, 1)).alias("mask_px"),
+            F.coalesce(F.sum(F.when(inside, F.col(loss))), F.lit(0)).alias("loss_px"),
+            F.coalesce(F.sum(F.when(inside, F.col(density))), F.lit(0.0)).alias("pred_ha"),
+        )
     )
     fullest = parts.agg(F.max("area_px")).scalar()
     if component:

@@ -49,9 +49,7 @@ def theil_sen(sample: DataFrame, n: int, small: int = SMALL_SAMPLE) -> tuple[flo
     else:
         slope = theil_sen_slope(sample, n, "actual_ha", "pred_ha")
         medians = (exact_median(sample, "actual_ha"), exact_median(sample, "pred_ha"))
-    if slope is None:
-        return None, None
-    return slope, medians[1] - slope * medians[0]
+    return slope, None if slope is None else medians[1] - slope * medians[0]
 
 
 def median_abs_error(sample: DataFrame, n: int, small: int = SMALL_SAMPLE) -> float:
@@ -68,17 +66,28 @@ def evaluation_metrics(cells: DataFrame, grid_area_ha: float, small: int = SMALL
     The sample size is read once; it decides between in-memory medians (bounded
     by ``small``) and the distributed selection.  Give ``cells`` materialised.
     """
-    spark = cells.sparkSession
-    if cells.limit(2).count() < 2:
-        return spark.createDataFrame([], METRICS_SCHEMA)
-    sample = regression_sample(cells)
-    n = sample.count()
     x, y = F.col("actual_ha"), F.col("pred_ha")
-    base = sample.agg(
+    valid = (x > SAMPLE_FLOOR_HA) | (y > SAMPLE_FLOOR_HA)
+    n_cells, n_valid = cells.agg(F.count("*"), F.count(F.when(valid, 1))).first()
+    if n_cells < 2:
+        return cells.sparkSession.createDataFrame([], METRICS_SCHEMA)
+    sample, n = (cells.filter(valid), n_valid) if n_valid >= 2 else (cells, n_cells)
+    if n <= small:
+        error = F.median(F.abs(x - y))
+        slope = F.lit(sample.agg(_small_slope(x, y)).first()[0]).cast("double")
+        intercept = F.median(y) - slope * F.median(x)
+    else:
+        error = F.lit(median_abs_error(sample, n, small))
+        slope, intercept = (F.lit(v).cast("double") for v in theil_sen(sample, n, small))
+    return sample.agg(
         F.count("*").alias("n"),
         F.regr_slope(y, x).alias("ols_slope"),
         F.regr_intercept(y, x).alias("ols_intercept"),
         F.pow(F.corr(x, y), 2).alias("r2"),
+        error.alias("medae"),
+        (error / int(grid_area_ha) * 100).alias("medae_pct"),
+        slope.alias("ts_slope"),
+        intercept.alias("ts_intercept"),
         F.min(x).alias("min_actual"),
         F.max(x).alias("max_actual"),
         F.avg(x).alias("avg_actual"),
@@ -88,13 +97,3 @@ def evaluation_metrics(cells: DataFrame, grid_area_ha: float, small: int = SMALL
         F.avg(y).alias("avg_pred"),
         F.stddev_pop(y).alias("sd_pred"),
     )
-    error = median_abs_error(sample, n, small)
-    slope, intercept = theil_sen(sample, n, small)
-    return base.withColumns(
-        {
-            "medae": F.lit(error),
-            "medae_pct": F.lit(error / int(grid_area_ha) * 100),
-            "ts_slope": F.lit(slope).cast("double"),
-            "ts_intercept": F.lit(intercept).cast("double"),
-        }
-    ).select([c.split()[0] for c in METRICS_SCHEMA.split(", ")])

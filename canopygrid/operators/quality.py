@@ -20,14 +20,12 @@ def alignment_issues(grids: DataFrame, reference: str) -> DataFrame:
 
     ``grids`` has one row per layer: ``layer`` and ``GRID_FIELDS``.
     """
-    ref = F.broadcast(
-        grids.filter(F.col("layer") == reference).limit(1).select(F.struct(*GRID_FIELDS).alias("ref"), F.lit(1).alias("_k"))
-    )
+    ref = grids.filter(F.col("layer") == reference).select(F.struct(*GRID_FIELDS)).limit(1).scalar()
     checks = F.array(
         *[
             F.struct(
                 F.lit(f).alias("field"),
-                F.col(f"ref.{f}").cast("string").alias("expected"),
+                ref.getField(f).cast("string").alias("expected"),
                 F.col(f).cast("string").alias("found"),
             )
             for f in GRID_FIELDS
@@ -35,8 +33,6 @@ def alignment_issues(grids: DataFrame, reference: str) -> DataFrame:
     )
     return (
         grids.filter(F.col("layer") != reference)
-        .withColumn("_k", F.lit(1))
-        .join(ref, "_k")
         .select("layer", F.explode(checks).alias("c"))
         .filter(~F.col("c.expected").eqNullSafe(F.col("c.found")))
         .select("layer", "c.field", "c.expected", "c.found")

@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 
 from canopygrid.lineage import cut
 
-BUCKETS = 1024
+# Buckets per group and round; fewer when many groups are open at once.
+MAX_BUCKETS = 65536
+MIN_BUCKETS = 256
+BUCKET_ROWS = 8_000_000
 # Rows of a group that may be ranked in one window.
 RANK_LIMIT = 100_000
 # Groups up to this number are broadcast next to the pixels.
@@ -89,7 +92,8 @@ def cut_keys(
         low = pick([F.col(f"lo{i}") for i in range(3)])
         high = pick([F.col(f"hi{i}") for i in range(3)])
         key = pick([F.col(k) for k in KEYS])
-        bucket = F.least(F.floor((key - low) / (high - low) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+        parts = max(MIN_BUCKETS, min(MAX_BUCKETS, BUCKET_ROWS // n_open))
+        bucket = F.least(F.floor((key - low) / (high - low) * parts), F.lit(parts - 1)).cast("int")
         inside = _inside(keyed, small_side(open_groups.select(*groups, *BOUNDS), n_open), groups)
         counted = inside.withColumn("bucket", bucket).groupBy(*groups, "bucket").agg(
             F.count("*").alias("n"), *_bounds_aggs()

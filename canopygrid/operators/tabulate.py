@@ -107,7 +107,9 @@ def impute_regions(fitted: DataFrame, predicted: DataFrame) -> DataFrame:
     flagged ``imputed`` so that later sums can leave them out.
     """
     missing = missing_regions(predicted, fitted)
-    averages = zone_averages(zone_rows(fitted, missing))
+    # Averages of every zone (at most MAX_CLASSES rows): cheaper than reading the
+    # missing regions twice to keep only their zones.
+    averages = zone_averages(fitted.withColumn("zone", zone_of()))
     added = (
         missing.withColumn("zone", zone_of())
         .join(averages, "zone", "left")

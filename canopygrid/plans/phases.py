@@ -157,18 +157,19 @@ def predict(
     """Density of a prediction phase (CNF or VP), imputed and rescaled to a known total."""
     classed = risk_class(pixels, model, phase, grid, n_classes, nrt)
     loss = PHASES[phase].loss
-    counts = cut(
-        classed.filter("region_id IS NOT NULL").groupBy("region_id").agg(F.count("*").alias("area_px"))
-    )
+    # One scan gives pixels per region and, over all regions and none, the observed loss.
+    lost = F.count(F.when(F.col(loss) == 1, 1)) if loss is not None else F.lit(0).cast("long")
+    tallies = cut(classed.groupBy("region_id").agg(F.count("*").alias("area_px"), lost.alias("lost_px")))
+    counts = tallies.filter("region_id IS NOT NULL").select("region_id", "area_px")
     complete = cut(tab.impute_regions(frequency, counts))
-    unseen = tab.unseen_zones(counts, frequency)
     total = expected_ha
     if total is None and loss is not None:
-        total = adj.actual_total(pixels, loss, grid.pixel_ha)
+        total = (tallies.agg(F.sum("lost_px")).first()[0] or 0) * grid.pixel_ha
     outcome = adj.adjust(
         adj.region_densities(counts, complete, grid.pixel_ha), total, grid.pixel_ha, max_iterations, tolerance, years
     )
     dense = adj.density_map(classed, complete, grid.pixel_ha)
+    unseen = tab.unseen_zones(counts, frequency)
     return Prediction(adj.adjusted_map(dense, outcome), complete, unseen, outcome)
 
 

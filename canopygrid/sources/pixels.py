@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,16 +52,23 @@ def pixels_to_tiles(
 
     A tile gathers at most ``tile_height * tile_width`` pixels.
     """
+    size = tile_height * tile_width
+
+    def fill(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+        dense = np.full(size, float(nodata))
+        dense[part.column("pos").to_numpy()] = part.column("v").to_numpy()
+        data = pa.array([dense], type=pa.list_(pa.float64()))
+        return pa.table({"tile_r": [key[0].as_py()], "tile_c": [key[1].as_py()], "data": data}).cast(
+            pa.schema([("tile_r", pa.int32()), ("tile_c", pa.int32()), ("data", pa.list_(pa.float64()))])
+        )
+
     placed = pixels.select(
         block_of("row", tile_height).alias("tile_r"),
         block_of("col", tile_width).alias("tile_c"),
         ((F.col("row") % tile_height) * tile_width + F.col("col") % tile_width).cast("int").alias("pos"),
         F.coalesce(F.col(value).cast("double"), F.lit(float(nodata))).alias("v"),
     )
-    cells = placed.groupBy("tile_r", "tile_c").agg(F.map_from_entries(F.collect_list(F.struct("pos", "v"))).alias("m"))
-    positions = F.sequence(F.lit(0), F.lit(tile_height * tile_width - 1))
-    data = F.transform(positions, lambda p: F.coalesce(F.element_at("m", p), F.lit(float(nodata))))
-    return cells.select("tile_r", "tile_c", data.alias("data"))
+    return placed.groupBy("tile_r", "tile_c").applyInArrow(fill, "tile_r int, tile_c int, data array<double>")
 
 
 def encode_layer(pixels: DataFrame, value: str, dtype: str) -> DataFrame:
