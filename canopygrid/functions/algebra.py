@@ -77,7 +77,9 @@ class _Translator:
             return self.arithmetic(node)
         if isinstance(node, ast.Call):
             return self.call(node)
-        return F.when(self.predicate(node), F.lit(1.0)).otherwise(F.lit(0.0))
+        if isinstance(node, (ast.Compare, ast.BoolOp, ast.BinOp, ast.UnaryOp)):
+            return F.when(self.predicate(node), F.lit(1.0)).otherwise(F.lit(0.0))
+        raise ValueError(f"not supported in an expression: {ast.unparse(node)}")
 
     def band(self, node: ast.Subscript) -> Column:
         name = node.value.id if isinstance(node.value, ast.Name) else ""
@@ -135,10 +137,8 @@ class _Translator:
             return (left & right) if isinstance(node.op, ast.BitAnd) else (left | right)
         if isinstance(node, ast.UnaryOp) and isinstance(node.op, (ast.Invert, ast.Not)):
             return ~self.predicate(node.operand)
-        if isinstance(node, (ast.Constant, ast.Name, ast.Subscript, ast.Call, ast.BinOp, ast.UnaryOp)):
-            # A bare number is true unless it is zero; NoData counts as non-zero.
-            return F.coalesce(self.number(node) != 0, F.lit(True))
-        raise ValueError(f"not supported in an expression: {type(node).__name__}")
+        # A bare number is true unless it is zero; NoData counts as non-zero.
+        return F.coalesce(self.number(node) != 0, F.lit(True))
 
     def comparison(self, left: ast.AST, op: ast.cmpop, right: ast.AST) -> Column:
         def is_no_data(n: ast.AST) -> bool:
