@@ -292,6 +292,36 @@ def statement(body: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({TABLES[n]})" for n in ordered) + "\n" + body
 
 
+
+
+def evaluation_tables(name: str, pixels: str, values: str, value: str, loss: str) -> None:
+    """Cells and metrics of one phase: ``value`` by region from ``values``, ``loss`` from the layer."""
+    TABLES[f"{name}cell"] = f"""SELECT cell_r, cell_c, count(*) FILTER (area = 1) AS area_px, count(*) FILTER (mask = 1) AS mask_px,
+  coalesce(sum({loss}) FILTER (mask = 1), 0) * {HA} AS x,
+  coalesce(sum(CASE WHEN risk_class IS NOT NULL THEN coalesce({value}, 0.0) END) FILTER (mask = 1), 0) AS y,
+  max(count(*) FILTER (area = 1)) OVER () AS top FROM
+  (SELECT p.*, (2 * r + 17) // 32 AS cell_r, (2 * c + 17) // 32 AS cell_c, {value} FROM {pixels} p LEFT JOIN {values} USING (region_id))
+  WHERE cell_r <= ((SELECT max(r) FROM px) + 16) // 16 - 1 AND cell_c <= 7 GROUP BY cell_r, cell_c"""
+    TABLES[f"{name}all"] = f"SELECT x, y FROM {name}cell WHERE area_px / CAST(top AS DOUBLE) > 0.999 AND mask_px > 0"
+    TABLES[f"{name}use"] = f"""SELECT * FROM {name}all WHERE x > 0.01 OR y > 0.01
+  OR (SELECT count(*) FROM {name}all WHERE x > 0.01 OR y > 0.01) < 2"""
+
+
+TABLES["fitbc"] = f"SELECT region_id, rel_freq * {HA} AS v FROM freq"
+TABLES["fitac"] = f"SELECT region_id, rel_freq * {HA} AS v FROM afc"
+TABLES["prebc"] = "SELECT region_id, d AS v FROM ac5"
+TABLES["preac"] = "SELECT region_id, d AS v FROM ax5"
+TABLES["acal30"] = "SELECT * FROM acalr WHERE n = 30"
+TABLES["acnf30"] = "SELECT * FROM acnfr WHERE n = 30"
+EVALUATIONS = {
+    "ebc": ("benchmark", "CAL", "calr", "fitbc", "t1t2_deforestation"),
+    "ebn": ("benchmark", "CNF", "cnfr", "prebc", "t2t3_deforestation"),
+    "eac": ("alternative", "CAL", "acal30", "fitac", "t1t2_deforestation"),
+    "ean": ("alternative", "CNF", "acnf30", "preac", "t2t3_deforestation"),
+}
+for _name, (_model, _phase, _pixels, _values, _loss) in EVALUATIONS.items():
+    evaluation_tables(_name, _pixels, _values, "v", _loss)
+
 POSITION = 'r AS "row", c AS col'
 
 BODIES: dict[str, str] = {
@@ -398,6 +428,13 @@ BODIES: dict[str, str] = {
   WHERE area_px / CAST(top AS DOUBLE) > 0.999 AND mask_px > 0""",
     "mask_parts": """SELECT component, count(*) AS n_px FROM (SELECT start, min(here) AS component FROM reach GROUP BY start)
   GROUP BY component""",
+    "evaluation_stage": " UNION ALL ".join(
+        f"""SELECT '{model}' AS model, '{phase}' AS phase, count(*) AS n, round(regr_slope(y, x), 5) AS ols_slope,
+  round(pow(corr(x, y), 2), 5) AS r2, round(median(abs(x - y)), 5) AS medae, round(max(s), 5) AS ts_slope,
+  round(median(y) - max(s) * median(x), 5) AS ts_intercept FROM {name}use,
+  (SELECT median((b.y - a.y) / (b.x - a.x)) AS s FROM {name}use a JOIN {name}use b ON b.x > a.x)"""
+        for name, (model, phase, _, _, _) in EVALUATIONS.items()
+    ),
     "alloc_targets": "SELECT area, region, round(target_ha, 6) AS target_ha, target_px FROM alt",
     "alloc_report": """SELECT area, region, round(target_ha, 6) AS target_ha, target_px, available_px, allocated_px,
   round(allocated_ha, 6) AS allocated_ha, round(deficit_ha, 6) AS deficit_ha FROM alr""",

@@ -525,6 +525,21 @@ def mask_parts(spark, sf_dir):
     return parts.groupBy("component").agg(F.count("*").alias("n_px"))
 
 
+@query
+def evaluation_stage(spark, sf_dir):
+    """Both models evaluated on both testing phases, through whole-run stages."""
+    base, grid = data.layers(spark, sf_dir), data.grid_of(spark, sf_dir)
+    stages = [s for s, (_, _, phase) in runs.STAGES.items() if phase in ("CAL", "CNF")]
+    done = runs.run(stages, base, grid, ph.Params(evaluation_grid_area=CELL_HA))
+    out = None
+    for (model, phase), found in done.evaluations.items():
+        part = found.metrics.select(
+            F.lit(model).alias("model"), F.lit(phase).alias("phase"), "n", "ols_slope", "r2", "medae", "ts_slope", "ts_intercept"
+        )
+        out = part if out is None else out.unionByName(part)
+    return rounded(out, "ols_slope", "r2", "medae", "ts_slope", "ts_intercept", digits=5)
+
+
 # Allocation
 
 

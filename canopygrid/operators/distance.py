@@ -5,8 +5,8 @@ columns ``c`` of ``(col - c)^2 + dy(c)^2``, where ``dy(c)`` is the vertical
 distance to the nearest target in column ``c``.  Work is split into square
 tiles so that no task ever holds a whole row or column of the grid:
 
-1. each (column, tile row) is reduced to its first and last target, and two
-   running windows over tile rows carry the nearest target above and below;
+1. each (column, tile row) is reduced to its first and last target, and one
+   window over the tile rows carries the nearest target above and below;
 2. each tile turns targets plus carried values into the few parabolas per row
    that can win outside the tile;
 3. per grid row the lower envelope of these parabolas tells each tile which of
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from canopygrid.grid import TILE, GridSpec
+from canopygrid.lineage import materialise
 from canopygrid.operators.tiles import block_of, with_tile
 
 FAR = np.int64(2**62)
@@ -99,7 +100,8 @@ def _horizontal(square: np.ndarray) -> np.ndarray:
     out = square.copy()
     width = square.shape[1]
     for k in range(1, width):
-        if k * k >= out.max():
+        # No pixel farther than the farthest one so far can still gain.
+        if k % 8 == 1 and k * k >= out.max():
             break
         step = np.int64(k * k)
         np.minimum(out[:, k:], square[:, :-k] + step, out=out[:, k:])
@@ -251,23 +253,35 @@ def squared_distances(
         .groupBy("layer", "col", "tile_r")
         .agg(F.min("row").alias("first_row"), F.max("row").alias("last_row"))
     )
-    every = ends.select("layer", "col").distinct().withColumn("tile_r", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))))
-    column = Window.partitionBy("layer", "col")
-    before = column.orderBy("tile_r").rowsBetween(Window.unboundedPreceding, -1)
-    after = column.orderBy(F.desc("tile_r")).rowsBetween(Window.unboundedPreceding, -1)
-    carry = every.join(ends, ["layer", "col", "tile_r"], "left").select(
-        "tile_r",
+    # Each end knows its neighbours in the column and serves its own tile row and the
+    # empty tile rows up to the next end, so every (column, tile row) appears once.
+    column = Window.partitionBy("layer", "col").orderBy("tile_r")
+    linked = ends.select(
+        "*",
+        F.lag("last_row").over(column).alias("before"),
+        F.lead("first_row").over(column).alias("after"),
+        F.lead("tile_r").over(column).alias("next_r"),
+    )
+    served = F.sequence(
+        F.when(F.col("before").isNull(), 0).otherwise(F.col("tile_r")),
+        F.coalesce(F.col("next_r") - 1, F.lit(bands - 1)),
+    )
+    own, at = F.col("tile_r"), F.col("at")
+    carry = linked.withColumn("at", F.explode(served)).select(
+        at.alias("tile_r"),
         block_of("col", tile).alias("tile_c"),
         F.lit(0).alias("kind"),
         "layer",
         F.col("col").alias("x"),
-        F.max("last_row").over(before).cast("long").alias("a"),
-        F.min("first_row").over(after).cast("long").alias("b"),
+        F.when(at > own, F.col("last_row")).when(at == own, F.col("before")).cast("long").alias("a"),
+        F.when(at < own, F.col("first_row")).otherwise(F.col("after")).cast("long").alias("b"),
     )
     hints = carry
 
     if blocks > 1:
-        # 2. and 3. Parabolas that cross tile borders.
+        # 2. and 3. Parabolas that cross tile borders.  The carried values (one row per
+        # tile column and tile row) are read twice from here on, so they are written out.
+        carry = hints = materialise(carry)
         lines = (
             hit.groupBy("tile_r", "tile_c")
             .cogroup(carry.groupBy("tile_r", "tile_c"))

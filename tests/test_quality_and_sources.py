@@ -94,8 +94,8 @@ def test_result_store(spark, tmp_path):
 
 
 def test_names():
-    assert named("T1_forest.tif", "MyProject", "1") == "MyProject_T1_forest_v1.tif"
-    assert named("01_BCM_Histogram_deforestation_distance.png", "MyProject", "2") == "01_MyProject_BCM_Histogram_deforestation_distance_v2.png"
-    assert named("T1_forest.tif", None, "1") == "T1_forest_v1.tif"
-    assert named("T1_forest.tif", "MyProject") == "MyProject_T1_forest.tif"
-    assert named("T1_forest") == "T1_forest"
+    assert named("forest.tif", "Demo", "1") == "Demo_forest_v1.tif"
+    assert named("07_density_map.tif", "Demo", "2") == "07_Demo_density_map_v2.tif"
+    assert named("forest.tif", None, "1") == "forest_v1.tif"
+    assert named("forest.tif", "Demo") == "Demo_forest.tif"
+    assert named("forest") == "forest"
