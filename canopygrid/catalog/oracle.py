@@ -426,6 +426,8 @@ BODIES: dict[str, str] = {
    coalesce(sum(hrp_deforestation) FILTER (mask = 1), 0) AS loss_px, coalesce(sum(etp_cal * {HA}) FILTER (mask = 1), 0) AS pred_ha,
    max(count(*) FILTER (area = 1)) OVER () AS top FROM cellpx GROUP BY cell_r, cell_c)
   WHERE area_px / CAST(top AS DOUBLE) > 0.999 AND mask_px > 0""",
+    "part_coverage": """SELECT cell_r, cell_c, component, count(*) AS area_px FROM cellpx
+  JOIN (SELECT start, min(here) AS component FROM reach GROUP BY start) ON start = r * 128 + c GROUP BY 1, 2, 3""",
     "mask_parts": """SELECT component, count(*) AS n_px FROM (SELECT start, min(here) AS component FROM reach GROUP BY start)
   GROUP BY component""",
     "evaluation_stage": " UNION ALL ".join(

@@ -511,9 +511,8 @@ def evaluation_cells_strict(spark, sf_dir):
     """Cells whose coverage is measured per connected part of the area mask."""
     grid = data.grid_of(spark, sf_dir)
     pixels = derived(spark, sf_dir).withColumn("density", F.col("etp_cal") * grid.pixel_ha)
-    parts = mask_components(pixels, grid, "area")
-    wide = pixels.join(parts, ["row", "col"], "left")
-    out = cel.evaluation_grid(wide, grid, CELL_HA, loss="hrp_deforestation", component="component")
+    coverage = ph.strict_coverage(pixels, grid, CELL_HA)
+    out = cel.evaluation_grid(pixels, grid, CELL_HA, loss="hrp_deforestation", coverage=coverage)
     return rounded(out, "area_ha", "actual_ha", "pred_ha", "residual_ha")
 
 
@@ -540,6 +539,14 @@ def evaluation_stage(spark, sf_dir):
     return rounded(out, "ols_slope", "r2", "medae", "ts_slope", "ts_intercept", digits=5)
 
 
+@query
+def part_coverage(spark, sf_dir):
+    """Pixels per evaluation cell and connected part of the forest mask."""
+    grid = data.grid_of(spark, sf_dir)
+    parts = mask_components(derived(spark, sf_dir), grid, "t2_forest", tile=48)
+    return cel.part_coverage(parts, cel.spacing(CELL_HA, grid), grid)
+
+
 # Allocation
 
 

@@ -81,6 +81,12 @@ def number_cells(cells: DataFrame) -> DataFrame:
     )
 
 
+def part_coverage(parts: DataFrame, g: int, grid: GridSpec) -> DataFrame:
+    """Pixels per cell and connected part of the area mask (``row, col, component``)."""
+    inside = with_cell(parts, g, grid).withColumn("area", F.lit(1))
+    return cell_coverage(inside, "area", "component")
+
+
 def evaluation_grid(
     pixels: DataFrame,
     grid: GridSpec,
@@ -89,37 +95,29 @@ def evaluation_grid(
     mask: str = "mask",
     loss: str = "loss",
     density: str = "density",
-    component: str | None = None,
+    coverage: DataFrame | None = None,
 ) -> DataFrame:
     """Cells with area, actual, predicted and residual hectares.
 
     Whole cells are kept by the area mask without exclusions; the statistics
     then run over the mask with exclusions, and cells emptied by it vanish.
     Everything comes from one aggregation of the pixels, written out before its
-    maximum is taken so that the pixels are read once; with ``component``
-    coverage is measured per connected part of the area mask.
+    maximum is taken so that the pixels are read once.  ``coverage`` replaces
+    the coverage per cell, for instance by ``part_coverage``.
     """
-    g = spacing(grid_area_ha, grid)
-    keyed = with_cell(pixels, g, grid)
-    keys = ["cell_r", "cell_c"] + ([component] if component else [])
     inside = F.col(mask) == 1
-    parts = cut(
-        keyed.groupBy(*keys).agg(
+    cells = cut(
+        with_cell(pixels, spacing(grid_area_ha, grid), grid)
+        .groupBy("cell_r", "cell_c")
+        .agg(
             F.count(F.when(F.col(area) == 1, 1)).alias("area_px"),
             F.count(F.when(inside, 1)).alias("mask_px"),
             F.coalesce(F.sum(F.when(inside, F.col(loss))), F.lit(0)).alias("loss_px"),
             F.coalesce(F.sum(F.when(inside, F.col(density))), F.lit(0.0)).alias("pred_ha"),
         )
     )
-    fullest = parts.agg(F.max("area_px")).scalar()
-    if component:
-        parts = parts.groupBy("cell_r", "cell_c").agg(
-            F.max("area_px").alias("area_px"),
-            F.sum("mask_px").alias("mask_px"),
-            F.sum("loss_px").alias("loss_px"),
-            F.sum("pred_ha").alias("pred_ha"),
-        )
-    kept = parts.filter((F.col("area_px") / fullest > FULL_SHARE) & (F.col("mask_px") > 0))
+    whole = edge_filter(cells if coverage is None else coverage)
+    kept = cells.join(whole.select("cell_r", "cell_c"), ["cell_r", "cell_c"], "left_semi").filter("mask_px > 0")
     actual = F.col("loss_px") * grid.pixel_ha
     return number_cells(kept).select(
         "cell_id",

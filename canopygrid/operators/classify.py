@@ -125,16 +125,17 @@ def edge_table(spark: SparkSession, edges: Sequence[tuple]) -> DataFrame:
 
 
 def _interval(value: Column, cuts: list[float], guess: Column) -> Column:
-    """Index ``i`` with ``cuts[i] <= value < cuts[i + 1]`` from a closed-form guess.
+    """Index ``i`` with ``cuts[i] <= value < cuts[i + 1]``, -1 below and the last index above.
 
-    The guess may be off by one through rounding; the exact cuts settle it, so
-    the expression stays small for any number of classes.
+    The guess comes from a closed form and may be off by one through rounding;
+    the exact cuts settle it.  The expression stays small for any number of
+    classes, which keeps the generated code below the size the JIT accepts.
     """
     exact = F.array(*[F.lit(c) for c in cuts])
     start = F.least(F.greatest(guess, F.lit(0)), F.lit(len(cuts) - 2)).cast("int")
-    down = F.when(value < F.get(exact, start), 1).otherwise(0)
-    up = F.when(value >= F.get(exact, start + 1), 1).otherwise(0)
-    return (start - down + up).cast("int")
+    down = (value < F.get(exact, start)).cast("int")
+    up = (value >= F.get(exact, start + 1)).cast("int")
+    return start - down + up
 
 
 def benchmark_class(distance: str | Column, nrt: float, n_classes: int, step: float) -> Column:
@@ -143,8 +144,7 @@ def benchmark_class(distance: str | Column, nrt: float, n_classes: int, step: fl
     cuts = sorted(lower for _, _, lower in benchmark_edges(nrt, n_classes, step))
     low, high = cuts[0], cuts[-1]
     guess = F.floor(F.ln(d / low) * ((len(cuts) - 1) / math.log(high / low)))
-    inside = F.lit(int(n_classes)) - _interval(d, cuts, guess)
-    return F.when(d >= high, 1).when(d >= low, inside).when(d.isNotNull(), 0)
+    return F.when(d >= low, F.lit(int(n_classes)) - _interval(d, cuts, guess)).when(d.isNotNull(), 0)
 
 
 def rescale(df: DataFrame, value: str) -> Column:
@@ -161,9 +161,9 @@ def alternative_class(rescaled: str | Column, n_classes: int, mask: str = "mask"
     """
     v = F.col(rescaled) if isinstance(rescaled, str) else rescaled
     edges = alternative_edges(n_classes)
-    n, cuts = len(edges), [1.0] + [upper for _, upper, _ in edges]
-    guess = F.floor(n - n * F.log2(F.lit(3.0) - v))
-    found = F.when(v >= 2.0, n).when(v >= 1.0, _interval(v, cuts, guess) + 1).otherwise(0)
+    n = len(edges)
+    cuts = [1.0] + [upper for _, upper, _ in edges[:-1]] + [float("inf")]
+    found = _interval(v, cuts, F.floor(n - n * F.log2(F.lit(3.0) - v))) + 1
     inside = (F.col(mask) == 1) & (F.col(forest) == 1)
     return F.when(F.col(forest).isNotNull() & v.isNotNull(), F.when(inside, found).otherwise(0))
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopygrid.grid import TILE, GridSpec
-from canopygrid.lineage import cut
+from canopygrid.lineage import cut, materialise
 from canopygrid.operators.tiles import with_tile
 
 
@@ -97,7 +97,7 @@ def contract(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
 def mask_components(pixels: DataFrame, grid: GridSpec, mask: str = "mask", tile: int = TILE) -> DataFrame:
     """``row, col, component`` for mask pixels; the id is the component's first pixel position."""
     inside = with_tile(pixels.filter(F.col(mask) == 1).select("row", "col"), tile)
-    local = cut(
+    local = materialise(
         inside.groupBy("tile_r", "tile_c").applyInArrow(
             _make_local(grid.width, tile), "row int, col int, local long"
         )

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from canopygrid.grid import GridSpec
 from canopygrid.lineage import cut, materialise
 from canopygrid.operators import adjust as adj
+from canopygrid.operators import cells as cel
 from canopygrid.operators import classify as cls
 from canopygrid.operators import tabulate as tab
-from canopygrid.operators.cells import evaluation_grid
+from canopygrid.operators.components import mask_components
 from canopygrid.operators.distance import euclidean_distances
 from canopygrid.operators.layers import DERIVED_MAPS, area_mask, combined_mask, derived_map
 from canopygrid.operators.metrics import evaluation_metrics
@@ -34,6 +35,8 @@ class Params:
     evaluation_grid_area: float = 100000
     expected_deforestation: float | None = None
     vp_years: float | None = None
+    # Whole evaluation cells must be covered by one connected part of the area.
+    strict_cells: bool = True
 
 
 @dataclass(frozen=True)
@@ -106,10 +109,12 @@ def risk_class(pixels: DataFrame, model: str, phase: str, grid: GridSpec, n_clas
     elif model == "alternative":
         if names.potential not in pixels.columns:
             raise ValueError(f"the alternative model needs the layer {names.potential}")
-        value = cls.alternative_class(cls.rescale(pixels, names.potential), n_classes, "mask", names.forest)
+        # A column of its own, so that the class expression reads it instead of repeating it.
+        pixels = pixels.withColumn("_rescaled", cls.rescale(pixels, names.potential))
+        value = cls.alternative_class("_rescaled", n_classes, "mask", names.forest)
     else:
         raise ValueError(f"unknown model: {model}")
-    return pixels.withColumn("risk_class", value).withColumn("region_id", cls.region_id())
+    return pixels.withColumn("risk_class", value).withColumn("region_id", cls.region_id()).drop("_rescaled")
 
 
 @dataclass
@@ -181,11 +186,17 @@ class Evaluation:
     metrics: DataFrame
 
 
+def strict_coverage(pixels: DataFrame, grid: GridSpec, grid_area_ha: float) -> DataFrame:
+    """Cell coverage per connected part of the area mask, shared by all evaluations of a run."""
+    g = cel.spacing(grid_area_ha, grid)
+    return cut(cel.part_coverage(mask_components(pixels, grid, "area"), g, grid))
+
+
 def evaluate(
-    pixels: DataFrame, phase: str, grid: GridSpec, grid_area_ha: float, density: str, component: str | None = None
+    pixels: DataFrame, phase: str, grid: GridSpec, grid_area_ha: float, density: str, coverage: DataFrame | None = None
 ) -> Evaluation:
     """Cells and metrics of a phase: fitted density for CAL, adjusted density for CNF."""
     cells = cut(
-        evaluation_grid(pixels, grid, grid_area_ha, "area", "mask", PHASES[phase].loss, density, component)
+        cel.evaluation_grid(pixels, grid, grid_area_ha, "area", "mask", PHASES[phase].loss, density, coverage)
     )
     return Evaluation(cells, evaluation_metrics(cells, grid_area_ha))

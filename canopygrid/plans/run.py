@@ -91,6 +91,9 @@ def run(
     )
     pixels = ph.prepare(layers, grid, params.area_value, tuple(needed))
     result = RunResult()
+    coverage = None
+    if params.strict_cells and any(kind == "evaluate" for _, kind, _ in chosen):
+        coverage = ph.strict_coverage(pixels, grid, params.evaluation_grid_area)
     for model, kind, phase in chosen:
         if model == "benchmark" and result.nrt is None and kind != "evaluate":
             result.nrt = _threshold(pixels, grid, params, store, (kind, phase))
@@ -103,7 +106,7 @@ def run(
         elif kind == "predict":
             result.predictions[model, phase] = _predict(pixels, model, phase, grid, params, store, result)
         else:
-            result.evaluations[model, phase] = _evaluate(pixels, model, phase, grid, params, store, result)
+            result.evaluations[model, phase] = _evaluate(pixels, model, phase, grid, params, store, result, coverage)
     return result
 
 
@@ -139,7 +142,7 @@ def _predict(pixels, model, phase, grid, params, store, result) -> ph.Prediction
     return done
 
 
-def _evaluate(pixels, model, phase, grid, params, store, result) -> ph.Evaluation:
+def _evaluate(pixels, model, phase, grid, params, store, result, coverage) -> ph.Evaluation:
     density = "density" if phase == "CAL" else "adjusted"
     made = result.fits.get((model, phase)) if phase == "CAL" else result.predictions.get((model, phase))
     if made is not None:
@@ -147,7 +150,7 @@ def _evaluate(pixels, model, phase, grid, params, store, result) -> ph.Evaluatio
     else:
         stored = store.read("density", model, phase).select("row", "col", density)
         source = pixels.join(stored, ["row", "col"], "left")
-    done = ph.evaluate(source, phase, grid, params.evaluation_grid_area, density)
+    done = ph.evaluate(source, phase, grid, params.evaluation_grid_area, density, coverage)
     if store is not None:
         store.write(done.cells, "evaluation_cells", model, phase)
         store.write(done.metrics, "evaluation_metrics", model, phase)

@@ -59,12 +59,15 @@ def test_exclusions_apply_after_edge_filter(spark):
 def test_strict_coverage_needs_one_component(spark):
     grid = GridSpec(12, 12, 100.0, 100.0)
     base = grid_pixels(spark, 12, 12).withColumn("area", F.when(F.col("col") == 4, 0).otherwise(1))
-    parts = mask_components(base, grid, "area", tile=5)
-    wide = base.join(parts, ["row", "col"], "left")
-    loose = cel.evaluation_grid(wide, grid, 16)
-    strict = cel.evaluation_grid(wide, grid, 16, component="component")
-    assert {r.cell_c for r in loose.collect()} == {2}
-    assert strict.count() <= loose.count()
+    coverage = cel.part_coverage(mask_components(base, grid, "area", tile=5), 4, grid)
+    assert {(r.cell_c, r.area_px) for r in coverage.filter("cell_r = 1").collect()} == {(0, 8), (1, 8), (1, 4), (2, 16)}
+    strict = cel.evaluation_grid(base, grid, 16, coverage=coverage)
+    assert {r.cell_c for r in strict.collect()} == {2}
+    # A thin gap splits a cell without costing it 0.1 % of its area.
+    split = spark.createDataFrame([(0, 0, 1_200_000, 1), (0, 0, 1_200_000, 2), (1, 0, 2_400_500, 1)], "cell_r int, cell_c int, area_px long, component int")
+    assert [tuple(r)[:2] for r in cel.edge_filter(split).collect()] == [(1, 0)]
+    whole = split.groupBy("cell_r", "cell_c").agg(F.sum("area_px").alias("area_px"))
+    assert cel.edge_filter(whole).count() == 2
 
 
 def cells(spark, xs, ys):
