@@ -203,6 +203,11 @@ def _make_combine(layers: int, tile: int, passed: list[str]):
         top, left = key[0].as_py() * tile, key[1].as_py() * tile
         row, col = _ints(pixels, "row") - top, _ints(pixels, "col") - left
         out = pixels.select(passed)
+        if not pixels.num_rows:
+            # A tile without pixels, known only through its carried values.
+            for layer in range(layers):
+                out = out.append_column(f"_d{layer}", pa.array([], pa.int64()))
+            return out
         kind, which = _ints(hints, "kind"), _ints(hints, "layer")
         span = np.arange(left, left + tile, dtype=np.int64)[None, :]
         for layer in range(layers):
@@ -264,7 +269,7 @@ def squared_distances(
     )
     served = F.sequence(
         F.when(F.col("before").isNull(), 0).otherwise(F.col("tile_r")),
-        F.coalesce(F.col("next_r") - 1, F.lit(bands - 1)),
+        F.coalesce(F.col("next_r") - 1, F.greatest(F.lit(bands - 1), F.col("tile_r"))),
     )
     own, at = F.col("tile_r"), F.col("at")
     carry = linked.withColumn("at", F.explode(served)).select(

@@ -13,6 +13,8 @@ from canopygrid.functions.algebra import OUTPUT_TYPES, to_storage
 from canopygrid.grid import TILE
 from canopygrid.operators.tiles import block_of
 
+FILE_COLUMNS = 1024 * TILE
+
 
 def sentinel(dtype: str) -> float:
     """NoData value stored for an output type."""
@@ -79,10 +81,13 @@ def encode_layer(pixels: DataFrame, value: str, dtype: str) -> DataFrame:
 
 
 def write_layer(pixels: DataFrame, path: str, value: str, dtype: str = "uint8", mode: str = "errorifexists") -> None:
-    """Write a layer partitioned by bands of ``TILE`` rows, sorted for min/max pruning."""
+    """Write a layer partitioned by bands of ``TILE`` rows, sorted for min/max pruning.
+
+    A band is cut into files of at most ``FILE_COLUMNS`` columns (67 million pixels).
+    """
     out = encode_layer(pixels, value, dtype).withColumn("block_r", block_of("row", TILE))
     (
-        out.repartition("block_r", block_of("col", 16 * TILE))
+        out.repartition("block_r", block_of("col", FILE_COLUMNS))
         .sortWithinPartitions("block_r", "row", "col")
         .write.mode(mode)
         .partitionBy("block_r")

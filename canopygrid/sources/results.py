@@ -53,9 +53,11 @@ class ResultStore:
     # Frequency tables keep every revision: 0 as fitted, higher ones after imputation.
 
     def write_frequency(self, table: DataFrame, model: str, phase: str, revision: int = 0) -> None:
-        columns = ["region_id", "defor_px", "area_px", "rel_freq", "imputed"]
-        path = f"{self.path('frequency', model, phase)}/revision={revision}"
-        table.select(columns).write.mode("overwrite").parquet(path)
+        """Store one revision; a new fit (revision 0) replaces all revisions of the old one."""
+        out = table.select("region_id", "defor_px", "area_px", "rel_freq", "imputed", F.lit(revision).alias("revision"))
+        writer = out.write.mode("overwrite").partitionBy("revision")
+        scope = "static" if revision == 0 else "dynamic"
+        writer.option("partitionOverwriteMode", scope).parquet(self.path("frequency", model, phase))
 
     def read_frequency(self, model: str, phase: str, revision: int | None = None) -> DataFrame:
         """The newest revision, or the one asked for."""

@@ -86,6 +86,8 @@ def test_result_store(spark, tmp_path):
     assert store.add_frequency_revision(grown, "benchmark", "CAL") == 1
     assert store.read_frequency("benchmark", "CAL").count() == 2
     assert store.read_frequency("benchmark", "CAL", 0).count() == 1  # the first one stays
+    store.write_frequency(table, "benchmark", "CAL")  # a new fit starts over
+    assert store.read_frequency("benchmark", "CAL").count() == 1
     store.write_threshold(spark.createDataFrame([(225, 210.0, 240.0, 0.998)], "nrt int, bin_start double, bin_end double, cum_share double"))
     assert store.read_threshold() == 225
     assert store.overview("threshold").select("project", "stage", "phase").first() == ("demo", "testing", "CAL")
