@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from canopygrid.grid import TILE, GridSpec
 from canopygrid.lineage import cut, materialise
-from canopygrid.operators.tiles import with_tile
+from canopygrid.operators.tiles import unpack, with_tile
 
 
 def _label_runs(flags: np.ndarray) -> np.ndarray:
@@ -45,7 +45,8 @@ def _make_local(width: int, tile: int):
     schema = pa.schema([("row", pa.int32()), ("col", pa.int32()), ("local", pa.int64())])
 
     def run(key: tuple[pa.Scalar, ...], pixels: pa.Table) -> pa.Table:
-        top, left = key[0].as_py() * tile, key[1].as_py() * tile
+        tile_r, tile_c = unpack(key[0].as_py())
+        top, left = tile_r * tile, tile_c * tile
         row = pixels.column("row").to_numpy().astype(np.int64)
         col = pixels.column("col").to_numpy().astype(np.int64)
         flags = np.zeros((tile, tile), dtype=bool)
@@ -98,7 +99,7 @@ def mask_components(pixels: DataFrame, grid: GridSpec, mask: str = "mask", tile:
     """``row, col, component`` for mask pixels; the id is the component's first pixel position."""
     inside = with_tile(pixels.filter(F.col(mask) == 1).select("row", "col"), tile)
     local = materialise(
-        inside.groupBy("tile_r", "tile_c").applyInArrow(
+        inside.groupBy("tile").applyInArrow(
             _make_local(grid.width, tile), "row int, col int, local long"
         )
     )

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from canopygrid.grid import TILE, GridSpec
 from canopygrid.lineage import materialise
-from canopygrid.operators.tiles import block_of, with_tile
+from canopygrid.operators.tiles import block_of, tile_key, unpack, with_tile
 
 FAR = np.int64(2**62)
 
@@ -135,7 +135,7 @@ def _make_outgoing(layers: int, tile: int):
     schema = pa.schema([("layer", pa.int32()), ("row", pa.int32()), ("c", pa.int32()), ("g", pa.int64())])
 
     def run(key, pixels: pa.Table, hints: pa.Table) -> pa.Table:
-        top, left = key[0].as_py() * tile, key[1].as_py() * tile
+        top, left = (block * tile for block in unpack(key[0].as_py()))
         parts = []
         for layer in range(layers):
             above, below = _carried(hints, layer, left, tile)
@@ -159,7 +159,7 @@ def _make_outgoing(layers: int, tile: int):
 
 def _make_incoming(tile: int, blocks: int):
     schema = pa.schema(
-        [(n, pa.int32()) for n in ("tile_r", "tile_c", "layer")] + [("row", pa.int32()), ("c", pa.int32()), ("g", pa.int64())]
+        [("tile", pa.int64()), ("layer", pa.int32()), ("row", pa.int32()), ("c", pa.int32()), ("g", pa.int64())]
     )
 
     def run(key: tuple[pa.Scalar, ...], lines: pa.Table) -> pa.Table:
@@ -185,8 +185,7 @@ def _make_incoming(tile: int, blocks: int):
         n = len(tiles)
         return pa.table(
             [
-                pa.array(np.full(n, row // tile, dtype=np.int32)),
-                pa.array(np.array(tiles, dtype=np.int32)),
+                pa.array(np.array(tiles, dtype=np.int64) + (row // tile << 32)),
                 pa.array(np.full(n, layer, dtype=np.int32)),
                 pa.array(np.full(n, row, dtype=np.int32)),
                 pa.array(np.array(cols, dtype=np.int32)),
@@ -200,7 +199,7 @@ def _make_incoming(tile: int, blocks: int):
 
 def _make_combine(layers: int, tile: int, passed: list[str]):
     def run(key, pixels: pa.Table, hints: pa.Table) -> pa.Table:
-        top, left = key[0].as_py() * tile, key[1].as_py() * tile
+        top, left = (block * tile for block in unpack(key[0].as_py()))
         row, col = _ints(pixels, "row") - top, _ints(pixels, "col") - left
         out = pixels.select(passed)
         if not pixels.num_rows:
@@ -248,14 +247,14 @@ def squared_distances(
     for i, name in enumerate(names):
         bits = bits + F.when(targets[name], 1 << i).otherwise(0)
     flagged = with_tile(pixels.withColumn("targets", bits), tile)
-    hit = flagged.select("row", "col", "targets", "tile_r", "tile_c").filter("targets > 0")
+    hit = flagged.select("row", "col", "targets", "tile").filter("targets > 0")
 
     # 1. First and last target per layer, column and tile row, then carried across tile rows.
     layer_of = F.explode(F.array(*[F.when(F.col("targets").bitwiseAND(1 << i) != 0, i) for i in range(len(names))]))
     ends = (
         hit.withColumn("layer", layer_of)
         .filter("layer IS NOT NULL")
-        .groupBy("layer", "col", "tile_r")
+        .groupBy("layer", "col", block_of("row", tile).alias("tile_r"))
         .agg(F.min("row").alias("first_row"), F.max("row").alias("last_row"))
     )
     # Each end knows its neighbours in the column and serves its own tile row and the
@@ -273,8 +272,7 @@ def squared_distances(
     )
     own, at = F.col("tile_r"), F.col("at")
     carry = linked.withColumn("at", F.explode(served)).select(
-        at.alias("tile_r"),
-        block_of("col", tile).alias("tile_c"),
+        tile_key(at, block_of("col", tile)).alias("tile"),
         F.lit(0).alias("kind"),
         "layer",
         F.col("col").alias("x"),
@@ -288,17 +286,16 @@ def squared_distances(
         # tile column and tile row) are read twice from here on, so they are written out.
         carry = hints = materialise(carry)
         lines = (
-            hit.groupBy("tile_r", "tile_c")
-            .cogroup(carry.groupBy("tile_r", "tile_c"))
+            hit.groupBy("tile")
+            .cogroup(carry.groupBy("tile"))
             .applyInArrow(_make_outgoing(len(names), tile), "layer int, row int, c int, g long")
         )
         incoming = lines.groupBy("layer", "row").applyInArrow(
-            _make_incoming(tile, blocks), "tile_r int, tile_c int, layer int, row int, c int, g long"
+            _make_incoming(tile, blocks), "tile long, layer int, row int, c int, g long"
         )
         hints = carry.unionByName(
             incoming.select(
-                "tile_r",
-                "tile_c",
+                "tile",
                 F.lit(1).alias("kind"),
                 "layer",
                 F.col("c").alias("x"),
@@ -310,8 +307,8 @@ def squared_distances(
     # 4. One pass over the pixels.
     schema = T.StructType(list(pixels.schema.fields) + [T.StructField(f"_d{i}", T.LongType()) for i in range(len(names))])
     done = (
-        flagged.groupBy("tile_r", "tile_c")
-        .cogroup(hints.groupBy("tile_r", "tile_c"))
+        flagged.groupBy("tile")
+        .cogroup(hints.groupBy("tile"))
         .applyInArrow(_make_combine(len(names), tile, passed), schema)
     )
     return done.select(*passed, *[F.col(f"_d{i}").alias(name) for i, name in enumerate(names)])

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopygrid.grid import TILE
-from canopygrid.operators.tiles import with_halo
+from canopygrid.operators.tiles import unpack, with_halo
 
 
 def stratum_key(area: str = "area", region: str = "region") -> Column:
@@ -44,7 +44,8 @@ def _open(labels: np.ndarray, steps: int) -> np.ndarray:
 
 def _make_survivors(steps: int, halo: int, tile: int):
     def run(key: tuple[pa.Scalar, ...], pixels: pa.Table) -> pa.Table:
-        top, left = key[0].as_py() * tile - halo, key[1].as_py() * tile - halo
+        tile_r, tile_c = unpack(key[0].as_py())
+        top, left = tile_r * tile - halo, tile_c * tile - halo
         row = pixels.column("row").to_numpy().astype(np.int64) - top
         col = pixels.column("col").to_numpy().astype(np.int64) - left
         size = tile + 2 * halo
@@ -70,6 +71,6 @@ def opened_pixels(pixels: DataFrame, kernel: int, tile: int = TILE) -> DataFrame
     halo = 2 * steps
     return (
         with_halo(narrow, halo, tile)
-        .groupBy("tile_r", "tile_c")
+        .groupBy("tile")
         .applyInArrow(_make_survivors(steps, halo, tile), "row int, col int, stratum long")
     )

@@ -13,9 +13,23 @@ def block_of(column: str, tile: int = TILE) -> Column:
     return F.floor(F.col(column) / tile).cast("int")
 
 
+def tile_key(tile_r: Column, tile_c: Column) -> Column:
+    """Tile row and column packed into one BIGINT.
+
+    Grouping sorts rows by the key; a single number lets Spark use its radix sort.
+    """
+    return F.shiftleft(tile_r.cast("long"), 32) + tile_c
+
+
+def unpack(key: int) -> tuple[int, int]:
+    """Tile row and column of a key."""
+    tile_c = (key + 2**31) % 2**32 - 2**31
+    return (key - tile_c) >> 32, tile_c
+
+
 def with_tile(df: DataFrame, tile: int = TILE) -> DataFrame:
-    """Add ``tile_r`` and ``tile_c``."""
-    return df.withColumn("tile_r", block_of("row", tile)).withColumn("tile_c", block_of("col", tile))
+    """Add ``tile``, the key of the tile that holds a pixel."""
+    return df.withColumn("tile", tile_key(block_of("row", tile), block_of("col", tile)))
 
 
 def with_halo(df: DataFrame, halo: int, tile: int = TILE) -> DataFrame:
@@ -31,4 +45,5 @@ def with_halo(df: DataFrame, halo: int, tile: int = TILE) -> DataFrame:
         last = F.floor((F.col(column) + halo) / tile).cast("int")
         return F.explode(F.sequence(first, last))
 
-    return df.withColumn("tile_r", reach("row")).withColumn("tile_c", reach("col"))
+    spread = df.withColumn("_tile_r", reach("row")).withColumn("_tile_c", reach("col"))
+    return spread.withColumn("tile", tile_key(F.col("_tile_r"), F.col("_tile_c"))).drop("_tile_r", "_tile_c")

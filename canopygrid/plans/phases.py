@@ -82,7 +82,8 @@ def prepare(
     Distances start from non-forest inside the mask only.  All periods share
     one pass of the distance operator.
     """
-    masked = with_masks(layers, area_value)
+    # The masks replace the layers they come from; fewer columns go through the shuffle.
+    masked = with_masks(layers, area_value).drop("aoi", "excl")
     if distances:
         targets = {d: F.coalesce(derived_map(DISTANCE_SOURCES[d]) == 1, F.lit(False)) for d in distances}
         masked = euclidean_distances(masked, targets, grid, mask="mask")
