@@ -22,25 +22,29 @@ BLOCK = 2048
 Summary = Callable[[float, float], DataFrame]
 
 
-def _select(summary: Summary, low: float, high: float, rank: int) -> float:
-    """Value of 0-based ``rank`` given per-bucket ``bucket, n, low, high`` summaries."""
-    while low < high:
-        rows = sorted(summary(low, high).collect(), key=lambda r: r["bucket"])
-        for row in rows:
-            if rank < row["n"]:
-                break
-            rank -= row["n"]
-        if (row["low"], row["high"]) == (low, high) and len(rows) == 1:
-            raise RuntimeError("selection did not narrow")
-        low, high = row["low"], row["high"]
-    return low
+def _select(summary: Summary, low: float, high: float, ranks: list[int]) -> list[float]:
+    """Values of ascending 0-based ``ranks`` given per-bucket ``bucket, n, low, high`` summaries.
+
+    Ranks that fall in the same bucket share all further rounds.
+    """
+    if low == high:
+        return [low] * len(ranks)
+    rows = sorted(summary(low, high).collect(), key=lambda r: r["bucket"])
+    if len(rows) == 1 and (rows[0]["low"], rows[0]["high"]) == (low, high):
+        raise RuntimeError("selection did not narrow")
+    found: list[float] = []
+    before = 0
+    for row in rows:
+        inside = [rank - before for rank in ranks if before <= rank < before + row["n"]]
+        if inside:
+            found += _select(summary, row["low"], row["high"], inside)
+        before += row["n"]
+    return found
 
 
 def _middle(summary: Summary, low: float, high: float, n: int) -> float:
-    upper = _select(summary, low, high, n // 2)
-    if n % 2:
-        return upper
-    return (_select(summary, low, high, n // 2 - 1) + upper) / 2.0
+    middle = _select(summary, low, high, [n // 2] if n % 2 else [n // 2 - 1, n // 2])
+    return sum(middle) / len(middle)
 
 
 def exact_median(df: DataFrame, value: str) -> float | None:
