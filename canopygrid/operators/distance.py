@@ -75,7 +75,7 @@ def _flags(pixels: pa.Table, layer: int, top: int, left: int, tile: int) -> np.n
     return flags
 
 
-def _outgoing(square: np.ndarray, left: int) -> tuple[np.ndarray, np.ndarray]:
+def _outgoing(square: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Tile pixels whose parabola can win left or right of the tile.
 
     A parabola loses everywhere beyond a border if another one starting nearer
@@ -140,7 +140,7 @@ def _make_outgoing(layers: int, tile: int):
         for layer in range(layers):
             above, below = _carried(hints, layer, left, tile)
             square = _vertical(_flags(pixels, layer, top, left, tile), top, above, below)
-            r, c = _outgoing(square, left)
+            r, c = _outgoing(square)
             parts.append(
                 pa.table(
                     [
