@@ -39,7 +39,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,11 +48,11 @@ from canopygrid.llm.graph import components
 
 WIDTH = 5
 #: Parts of the domain for each element of the largest set of a band.
-PARTS = 0.6
+PARTS = 0.45
 #: Signatures of one packed block.
 BLOCK_SIGNATURES = 1 << 20
 #: Documents of the sample that finds common shingles, about; their least count there; and how many are kept at most.
-SAMPLE_DOCS, SAMPLE_COUNT, COMMON_ROWS = 4096, 4, 1 << 17
+SAMPLE_DOCS, SAMPLE_COUNT, COMMON_ROWS = 8192, 2, 1 << 18
 #: Bins of the histogram that excludes pairs.
 BINS = 256
 _SPACE = c.byte_set((9, 13), (32, 32))
@@ -275,24 +274,34 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _close_pairs(members: DataFrame) -> DataFrame:
     """Pairs of ``gid, node, root, n, bins`` rows in one group, of different roots, that sizes and histograms allow."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "node"])
-        node, root, n = pdf["node"].to_numpy(), pdf["root"].to_numpy(), pdf["n"].to_numpy()
-        bins = np.frombuffer(b"".join(pdf["bins"]), dtype=np.uint8).reshape(-1, BINS).astype(np.int16)
-        src, dst = [], []
-        for i in range(len(node)):
-            end = int(np.searchsorted(n, 4 * n[i] // 3, side="right"))
-            others = np.arange(i + 1, end)
-            others = others[root[others] != root[i]]
-            for a in range(0, len(others), 4096):
-                some = others[a : a + 4096]
-                some = some[np.abs(bins[some] - bins[i]).sum(axis=1) <= (n[some] + n[i]) // 7]
-                src.append(np.full(len(some), node[i]))
-                dst.append(node[some])
-        src, dst = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (src, dst))
-        return pd.DataFrame({"src": np.minimum(src, dst), "dst": np.maximum(src, dst)})
-
-    return members.groupBy("gid").applyInPandas(run, "src long, dst long").dropDuplicates()
+    def pairs(node: np.ndarray, root: np.ndarray, n: np.ndarray, bins: np.ndarray) -> Iterator[np.ndarray]:
+        order = np.lexsort((node, n))
+        node, root, n, bins = node[order], root[order], n[order], bins[order].astype(np.int16)
+        step = max(1, (1 << 22) // (BINS * len(node)))
+        for i in range(0, len(node), step):
+            some = slice(i, i + step)
+            # Later ones in the order of sizes, up to 4/3 of the size.
+            end = int(np.searchsorted(n, 4 * n[some][-1] // 3, side="right"))
+            x, y = np.nonzero((root[some, None] != root[None, i:end]) & (3 * n[None, i:end] <= 4 * n[some, None]) & (np.arange(len(n[some]))[:, None] < np.arange(end - i)[None, :]))
+            x, y = x + i, y + i
+            for a in range(0, len(x), 1 << 14):
+                left, right = x[a : a + (1 << 14)], y[a : a + (1 << 14)]
+                near = np.abs(bins[left] - bins[right]).sum(axis=1) <= (n[left] + n[right]) // 7
+                yield np.sort(np.c_[node[left[near]], node[right[near]]], axis=1)
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("held")
+            flat = lists.flatten()
+            node, root, n = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            bins = np.frombuffer(b"".join(flat.field(3).to_pylist()), dtype=np.uint8).reshape(-1, BINS)
+            edges = np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]
+            found = [p for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) for p in pairs(node[a:b], root[a:b], n[a:b], bins[a:b])]
+            every = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(every[:, 0]), pa.array(every[:, 1])], names=["src", "dst"])
+
+    held = members.groupBy("gid").agg(F.collect_list(F.struct("node", "root", "n", "bins")).alias("held")).select("held")
+    return held.mapInArrow(run, "src long, dst long").dropDuplicates()
 
 
 def _stored_sets(docs: DataFrame, places: DataFrame, width: int) -> DataFrame:
