@@ -22,7 +22,7 @@ sequence; without words, nothing, and such a document links with none).  Two set
 * Signatures are shuffled as packed blocks.  Sets that share one are grouped.
   Each set is verified against one other set of its groups; connected
   components contract; pairs of a group that are still in different components
-  are verified when a count histogram does not exclude them.  So a group of many
+  are verified when their parity sketches do not exclude them.  So a group of many
   near copies costs about one comparison a member, and no link between components
   is lost.
 
@@ -53,8 +53,8 @@ PARTS = 0.45
 BLOCK_SIGNATURES = 1 << 20
 #: Documents of the sample that finds common shingles, about; their least count there; and how many are kept at most.
 SAMPLE_DOCS, SAMPLE_COUNT, COMMON_ROWS = 8192, 2, 1 << 18
-#: Bins of the histogram that excludes pairs.
-BINS = 256
+#: Bits of the parity sketch that excludes pairs, at least.
+SKETCH_BITS = 1024
 _SPACE = c.byte_set((9, 13), (32, 32))
 _PART_SEED = np.uint64(0xD6E8FEB86659FD93)
 
@@ -271,13 +271,32 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "src").join(right, "dst").mapInArrow(run, "src long, dst long")
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """Parities of the numbers of elements in as many bins as a power of two, at least two for each element.
+
+    Two sets differ by at least as many elements as their sketches by bits.  The
+    sketch of half as many bins is its two halves combined by exclusive or.
+    """
+    bits = max(SKETCH_BITS, 1 << (2 * len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def _close_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of ``gid, node, root, n, bins`` rows in one group, of different roots, that sizes and histograms allow."""
+    """Pairs of ``gid, node, root, n, sketch`` rows in one group, of different roots, that sizes and sketches allow."""
+
+    def folded(sketches: list[bytes]) -> np.ndarray:
+        size = min(map(len, sketches))
+        out = np.zeros((len(sketches), size // 8), dtype=np.uint64)
+        for i, one in enumerate(sketches):
+            np.bitwise_xor.reduce(np.frombuffer(one, dtype=np.uint64).reshape(-1, size // 8), axis=0, out=out[i])
+        return out
 
-    def pairs(node: np.ndarray, root: np.ndarray, n: np.ndarray, bins: np.ndarray) -> Iterator[np.ndarray]:
+    def pairs(node: np.ndarray, root: np.ndarray, n: np.ndarray, sketches: list[bytes]) -> Iterator[np.ndarray]:
         order = np.lexsort((node, n))
-        node, root, n, bins = node[order], root[order], n[order], bins[order].astype(np.int16)
-        step = max(1, (1 << 22) // (BINS * len(node)))
+        bits = folded(sketches)[order]
+        node, root, n = node[order], root[order], n[order]
+        step = max(1, (1 << 20) // len(node))
         for i in range(0, len(node), step):
             some = slice(i, i + step)
             # Later ones in the order of sizes, up to 4/3 of the size.
@@ -286,7 +305,7 @@ def _close_pairs(members: DataFrame) -> DataFrame:
             x, y = x + i, y + i
             for a in range(0, len(x), 1 << 14):
                 left, right = x[a : a + (1 << 14)], y[a : a + (1 << 14)]
-                near = np.abs(bins[left] - bins[right]).sum(axis=1) <= (n[left] + n[right]) // 7
+                near = np.bitwise_count(bits[left] ^ bits[right]).sum(axis=1, dtype=np.int64) <= (n[left] + n[right]) // 7
                 yield np.sort(np.c_[node[left[near]], node[right[near]]], axis=1)
 
     def run(batches):
@@ -294,32 +313,31 @@ def _close_pairs(members: DataFrame) -> DataFrame:
             lists = batch.column("held")
             flat = lists.flatten()
             node, root, n = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-            bins = np.frombuffer(b"".join(flat.field(3).to_pylist()), dtype=np.uint8).reshape(-1, BINS)
+            sketches = flat.field(3).to_pylist()
             edges = np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]
-            found = [p for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) for p in pairs(node[a:b], root[a:b], n[a:b], bins[a:b])]
+            found = [p for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) for p in pairs(node[a:b], root[a:b], n[a:b], sketches[a:b])]
             every = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(every[:, 0]), pa.array(every[:, 1])], names=["src", "dst"])
 
-    held = members.groupBy("gid").agg(F.collect_list(F.struct("node", "root", "n", "bins")).alias("held")).select("held")
+    held = members.groupBy("gid").agg(F.collect_list(F.struct("node", "root", "n", "sketch")).alias("held")).select("held")
     return held.mapInArrow(run, "src long, dst long").dropDuplicates()
 
 
 def _stored_sets(docs: DataFrame, places: DataFrame, width: int) -> DataFrame:
-    """``node, n, shingles, bins`` of the documents at ``places`` (id, place), one for each node."""
+    """``node, n, shingles, sketch`` of the documents at ``places`` (id, place), one for each node."""
 
     def run(batches):
         for batch in batches:
             found = [x for x in shingle_sets(batch.column(0), width) if len(x)]
-            bins = [np.minimum(np.bincount((x & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8) for x in found]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([fingerprint(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary()), pa.array([x.tobytes() for x in bins], pa.binary())],
-                names=["node", "n", "shingles", "bins"],
+                [pa.array([fingerprint(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary()), pa.array([sketch(x) for x in found], pa.binary())],
+                names=["node", "n", "shingles", "sketch"],
             )
 
     side = F.broadcast(places) if c.fits_broadcast(places) else places
     at = F.xxhash64("text").eqNullSafe(F.col("__place")) & F.col("doc_id").eqNullSafe(F.col("__id"))
     texts = docs.join(side, at, "left_semi").select("text")
-    return c.stored(texts.mapInArrow(run, "node long, n long, shingles binary, bins binary").dropDuplicates(["node"]))
+    return c.stored(texts.mapInArrow(run, "node long, n long, shingles binary, sketch binary").dropDuplicates(["node"]))
 
 
 def join(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -342,8 +360,10 @@ def join(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col:
     places = c.stored(members.select("node").distinct().join(reps, "node").select(F.col("rep.doc_id").alias("__id"), F.col("rep.place").alias("__place")))
     shingles = _stored_sets(docs, places, width)
 
-    # One comparison for each node: with the head of the group that it meets most.
-    heads = groups.select(F.array_min("members").alias("src"), F.explode("members").alias("dst")).filter("src <> dst")
+    # One comparison for each node: with the hub (the node of most company) of the group that it meets most.
+    company = groups.select(F.explode("members").alias("node"), (F.size("members") - 1).alias("others")).groupBy("node").agg(F.sum("others").alias("company"))
+    hubs = members.join(company, "node").groupBy("gid").agg(F.max(F.struct("company", "node")).alias("hub")).select("gid", F.col("hub.node").alias("src"))
+    heads = members.join(hubs, "gid").select("src", F.col("node").alias("dst")).filter("src <> dst")
     counted = heads.groupBy("src", "dst").count()
     first = counted.groupBy("dst").agg(F.max(F.struct("count", "src")).alias("best")).select(F.col("best.src").alias("src"), "dst")
     links = c.stored(_verified(first, shingles.select("node", "shingles")))
@@ -352,7 +372,7 @@ def join(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col:
     # What is left: pairs of a group that the first links have not joined.
     rooted = members.join(roots, "node", "left").select("gid", "node", F.coalesce("root", "node").alias("root"))
     split = rooted.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("gid")
-    open_members = rooted.join(split, "gid").join(shingles.select("node", "n", "bins"), "node")
+    open_members = rooted.join(split, "gid").join(shingles.select("node", "n", "sketch"), "node")
     more = c.stored(_verified(_close_pairs(open_members), shingles.select("node", "shingles")))
     links = c.stored(links.union(more).dropDuplicates())
     roots = components(links)
