@@ -55,6 +55,8 @@ BLOCK_SIGNATURES = 1 << 20
 SAMPLE_DOCS, SAMPLE_COUNT, COMMON_ROWS = 8192, 2, 1 << 18
 #: Bits of the parity sketch that excludes pairs, at least.
 SKETCH_BITS = 1024
+#: Members of the groups of one hub that one task holds, about.
+PART_MEMBERS = 20_000
 _SPACE = c.byte_set((9, 13), (32, 32))
 _PART_SEED = np.uint64(0xD6E8FEB86659FD93)
 
@@ -254,8 +256,10 @@ def _groups(packed: DataFrame, buckets: int) -> DataFrame:
     return dealt.mapInArrow(run, "gid long, members array<long>").dropDuplicates(["gid"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``src, dst`` of the pairs of nodes that link."""
+def _verified(pairs: DataFrame, docs: DataFrame, places: DataFrame, width: int) -> DataFrame:
+    """``src, dst`` of the pairs of nodes that link; only the sets of those nodes are made again."""
+    pairs = c.stored(pairs)
+    sets = _sets_at(docs, places, pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), width).select("node", "shingles")
 
     def run(batches):
         for batch in batches:
@@ -268,7 +272,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     left = sets.select(F.col("node").alias("src"), F.col("shingles").alias("left_set"))
     right = sets.select(F.col("node").alias("dst"), F.col("shingles").alias("right_set"))
-    return pairs.join(left, "src").join(right, "dst").mapInArrow(run, "src long, dst long")
+    return c.stored(pairs.join(left, "src").join(right, "dst").mapInArrow(run, "src long, dst long"))
 
 
 def sketch(shingles: np.ndarray) -> bytes:
@@ -282,20 +286,46 @@ def sketch(shingles: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def _close_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of ``gid, node, root, n, sketch`` rows in one group, of different roots, that sizes and sketches allow."""
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches brought to the size of the smallest, as rows of 64-bit numbers."""
+    size = min(map(len, sketches))
+    out = np.zeros((len(sketches), size // 8), dtype=np.uint64)
+    for i, one in enumerate(sketches):
+        np.bitwise_xor.reduce(np.frombuffer(one, dtype=np.uint64).reshape(-1, size // 8), axis=0, out=out[i])
+    return out
 
-    def folded(sketches: list[bytes]) -> np.ndarray:
-        size = min(map(len, sketches))
-        out = np.zeros((len(sketches), size // 8), dtype=np.uint64)
-        for i, one in enumerate(sketches):
-            np.bitwise_xor.reduce(np.frombuffer(one, dtype=np.uint64).reshape(-1, size // 8), axis=0, out=out[i])
-        return out
 
-    def pairs(node: np.ndarray, root: np.ndarray, n: np.ndarray, sketches: list[bytes]) -> Iterator[np.ndarray]:
+def _near(left: np.ndarray, right: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether sketches allow sets with these sums of sizes to link."""
+    return np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64) <= sizes // 7
+
+
+def _close_heads(first: DataFrame, sketches: DataFrame) -> DataFrame:
+    """``src, dst`` of the pairs that sizes and sketches allow."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = (batch.column(i).to_numpy() for i in (2, 4))
+            x, y = (batch.column(i).to_pylist() for i in (3, 5))
+            keep = [3 * max(p, q) <= 4 * min(p, q) and bool(_near(*np.vsplit(_folded([u, v]), 2), np.array([p + q]))[0]) for p, q, u, v in zip(a, b, x, y, strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+
+    left = sketches.select(F.col("node").alias("src"), F.col("n").alias("a"), F.col("sketch").alias("x"))
+    right = sketches.select(F.col("node").alias("dst"), F.col("n").alias("b"), F.col("sketch").alias("y"))
+    return first.join(left, "src").join(right, "dst").select("src", "dst", "a", "x", "b", "y").mapInArrow(run, "src long, dst long")
+
+
+def _close_pairs(groups: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs of nodes in one of ``gid, hub, members`` groups, of different roots, that sizes and sketches allow.
+
+    ``known`` has ``node, root, n, sketch``.  Groups of one hub have much the same
+    members, so they are dealt together, and a node's sketch travels once for them all;
+    a hub with many groups is cut into several parts.
+    """
+
+    def pairs(node: np.ndarray, root: np.ndarray, n: np.ndarray, bits: np.ndarray) -> Iterator[np.ndarray]:
         order = np.lexsort((node, n))
-        bits = folded(sketches)[order]
-        node, root, n = node[order], root[order], n[order]
+        node, root, n, bits = node[order], root[order], n[order], bits[order]
         step = max(1, (1 << 20) // len(node))
         for i in range(0, len(node), step):
             some = slice(i, i + step)
@@ -305,26 +335,36 @@ def _close_pairs(members: DataFrame) -> DataFrame:
             x, y = x + i, y + i
             for a in range(0, len(x), 1 << 14):
                 left, right = x[a : a + (1 << 14)], y[a : a + (1 << 14)]
-                near = np.bitwise_count(bits[left] ^ bits[right]).sum(axis=1, dtype=np.int64) <= (n[left] + n[right]) // 7
+                near = _near(bits[left], bits[right], n[left] + n[right])
                 yield np.sort(np.c_[node[left[near]], node[right[near]]], axis=1)
 
     def run(batches):
         for batch in batches:
-            lists = batch.column("held")
-            flat = lists.flatten()
-            node, root, n = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-            sketches = flat.field(3).to_pylist()
-            edges = np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]
-            found = [p for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) for p in pairs(node[a:b], root[a:b], n[a:b], sketches[a:b])]
+            found = []
+            for held, lists in zip(batch.column("held"), batch.column("lists"), strict=True):
+                held, lists = held.values, lists.values
+                node, root, n = (held.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                order = np.argsort(node)
+                node, root, n, bits = node[order], root[order], n[order], _folded(held.field(3).to_pylist())[order]
+                at = np.searchsorted(node, lists.flatten().to_numpy(zero_copy_only=False))
+                edges = np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]
+                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    some = at[a:b]
+                    if (root[some] != root[some[0]]).any():
+                        found += pairs(node[some], root[some], n[some], bits[some])
             every = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(every[:, 0]), pa.array(every[:, 1])], names=["src", "dst"])
 
-    held = members.groupBy("gid").agg(F.collect_list(F.struct("node", "root", "n", "sketch")).alias("held")).select("held")
-    return held.mapInArrow(run, "src long, dst long").dropDuplicates()
+    parts = groups.groupBy("hub").agg(F.ceil(F.sum(F.size("members")) / PART_MEMBERS).alias("parts"))
+    dealt = groups.join(parts, "hub").withColumn("part", F.pmod("gid", "parts")).select("hub", "part", "members")
+    nodes = dealt.select("hub", "part", F.explode("members").alias("node")).distinct().join(known, "node")
+    held = nodes.groupBy("hub", "part").agg(F.collect_list(F.struct("node", "root", "n", "sketch")).alias("held"))
+    lists = dealt.groupBy("hub", "part").agg(F.collect_list("members").alias("lists"))
+    return held.join(lists, ["hub", "part"]).select("held", "lists").mapInArrow(run, "src long, dst long").dropDuplicates()
 
 
-def _stored_sets(docs: DataFrame, places: DataFrame, width: int) -> DataFrame:
-    """``node, n, shingles, sketch`` of the documents at ``places`` (id, place), one for each node."""
+def _sets_at(docs: DataFrame, places: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """``node, n, shingles, sketch`` of some nodes, made from their documents at ``places`` (``node, __id, __place``)."""
 
     def run(batches):
         for batch in batches:
@@ -334,10 +374,11 @@ def _stored_sets(docs: DataFrame, places: DataFrame, width: int) -> DataFrame:
                 names=["node", "n", "shingles", "sketch"],
             )
 
-    side = F.broadcast(places) if c.fits_broadcast(places) else places
+    wanted = c.stored(places.join(nodes, "node", "left_semi").select("__id", "__place"))
+    side = F.broadcast(wanted) if c.fits_broadcast(wanted) else wanted
     at = F.xxhash64("text").eqNullSafe(F.col("__place")) & F.col("doc_id").eqNullSafe(F.col("__id"))
     texts = docs.join(side, at, "left_semi").select("text")
-    return c.stored(texts.mapInArrow(run, "node long, n long, shingles binary, sketch binary").dropDuplicates(["node"]))
+    return texts.mapInArrow(run, "node long, n long, shingles binary, sketch binary").dropDuplicates(["node"])
 
 
 def join(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -357,23 +398,21 @@ def join(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col:
 
     members = groups.select("gid", F.explode("members").alias("node"))
     reps = sets.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "place")).alias("rep"))
-    places = c.stored(members.select("node").distinct().join(reps, "node").select(F.col("rep.doc_id").alias("__id"), F.col("rep.place").alias("__place")))
-    shingles = _stored_sets(docs, places, width)
+    company = groups.select(F.explode("members").alias("node"), (F.size("members") - 1).alias("others")).groupBy("node").agg(F.sum("others").alias("company"))
+    places = c.stored(company.join(reps, "node").select("node", "company", F.col("rep.doc_id").alias("__id"), F.col("rep.place").alias("__place")))
+    sketches = c.stored(_sets_at(docs, places, places.select("node"), width).select("node", "n", "sketch"))
 
     # One comparison for each node: with the hub (the node of most company) of the group that it meets most.
-    company = groups.select(F.explode("members").alias("node"), (F.size("members") - 1).alias("others")).groupBy("node").agg(F.sum("others").alias("company"))
-    hubs = members.join(company, "node").groupBy("gid").agg(F.max(F.struct("company", "node")).alias("hub")).select("gid", F.col("hub.node").alias("src"))
-    heads = members.join(hubs, "gid").select("src", F.col("node").alias("dst")).filter("src <> dst")
-    counted = heads.groupBy("src", "dst").count()
+    hubs = members.join(places.select("node", "company"), "node").groupBy("gid").agg(F.max(F.struct("company", "node")).alias("best"))
+    groups = c.stored(groups.join(hubs.select("gid", F.col("best.node").alias("hub")), "gid").select("gid", "hub", "members"))
+    counted = groups.select(F.col("hub").alias("src"), F.explode("members").alias("dst")).filter("src <> dst").groupBy("src", "dst").count()
     first = counted.groupBy("dst").agg(F.max(F.struct("count", "src")).alias("best")).select(F.col("best.src").alias("src"), "dst")
-    links = c.stored(_verified(first, shingles.select("node", "shingles")))
+    links = _verified(_close_heads(first, sketches), docs, places, width)
     roots = components(links)
 
     # What is left: pairs of a group that the first links have not joined.
-    rooted = members.join(roots, "node", "left").select("gid", "node", F.coalesce("root", "node").alias("root"))
-    split = rooted.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("gid")
-    open_members = rooted.join(split, "gid").join(shingles.select("node", "n", "sketch"), "node")
-    more = c.stored(_verified(_close_pairs(open_members), shingles.select("node", "shingles")))
+    known = sketches.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", "sketch")
+    more = _verified(_close_pairs(groups, c.stored(known)), docs, places, width)
     links = c.stored(links.union(more).dropDuplicates())
     roots = components(links)
 
