@@ -9,16 +9,22 @@ from pyspark.sql import functions as F
 YEAR_RANGE = (1900, 2200)
 
 
+def numeric_text(text: Column) -> Column:
+    """Trimmed text; NULL where it ends in a type letter, which a cast would read as a number."""
+    trimmed = F.trim(text)
+    return F.when(~trimmed.rlike(r"(?i)[0-9.][df]$"), trimmed)
+
+
 def to_number(text: Column, default: float | None = None) -> Column:
     """Trimmed text as DOUBLE; empty or unreadable text gives ``default``."""
-    value = F.trim(text).try_cast("double")
+    value = numeric_text(text).try_cast("double")
     fallback = F.lit(default).cast("double")
     return F.coalesce(F.when(F.isnan(value), F.lit(None)).otherwise(value), fallback)
 
 
 def to_whole(text: Column, default: int | None = None) -> Column:
     """Trimmed text as BIGINT, decimals cut off; otherwise ``default``."""
-    number = F.trim(text).try_cast("double")
+    number = numeric_text(text).try_cast("double")
     exact = F.trim(text).try_cast("bigint")
     cut = F.when(~F.isnan(number), number).try_cast("bigint")
     return F.coalesce(exact, cut, F.lit(default).cast("bigint"))
@@ -27,7 +33,7 @@ def to_whole(text: Column, default: int | None = None) -> Column:
 def decimal_year(text: Column) -> Column:
     """Date text as a decimal year: year + (day of year - 1) / days in that year."""
     trimmed = F.trim(text)
-    number = trimmed.try_cast("double")
+    number = numeric_text(text).try_cast("double")
     bare = F.when(number.between(*YEAR_RANGE), number)
     # The year-first layouts need all their digits; a shorter text is no date.
     shaped = F.when(trimmed.rlike(r"^(\d{8}|\d{4}/\d{1,2}/\d{1,2}|\d{4}-\d{1,2}-\d{1,2})$"), trimmed)

@@ -85,7 +85,7 @@ def evaluation_metrics(cells: DataFrame, grid_area_ha: float, small: int = SMALL
         F.regr_intercept(y, x).alias("ols_intercept"),
         F.pow(F.corr(x, y), 2).alias("r2"),
         error.alias("medae"),
-        (error / int(grid_area_ha) * 100).alias("medae_pct"),
+        (error / (int(grid_area_ha) or grid_area_ha) * 100).alias("medae_pct"),
         slope.alias("ts_slope"),
         intercept.alias("ts_intercept"),
         F.min(x).alias("min_actual"),

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from canopygrid.functions.scalars import numeric_text
+
 GRID_FIELDS = ("height", "width", "pixel_x", "pixel_y", "origin_x", "origin_y", "crs")
 # Accepted flags and colour range.
 FLAGS = ("yes", "no")
@@ -99,7 +101,7 @@ def schema_issues(df: DataFrame, required: dict[str, str | None]) -> list[tuple[
 
 def invalid_ids(df: DataFrame, column: str = "id") -> DataFrame:
     """Rows whose id is not a non-negative whole number, with the reason."""
-    number = F.trim(F.col(column).cast("string")).try_cast("double")
+    number = numeric_text(F.col(column).cast("string")).try_cast("double")
     problem = (
         F.when(number.isNull() | F.isnan(number), "not numeric")
         .when(number != F.floor(number), "not an integer")
@@ -114,7 +116,7 @@ def duplicate_ids(df: DataFrame, column: str = "id") -> DataFrame:
     Counts are combined before the shuffle and joined back, so one very
     frequent id does not gather its rows in one task.
     """
-    number = F.trim(F.col(column).cast("string")).try_cast("double")
+    number = numeric_text(F.col(column).cast("string")).try_cast("double")
     keyed = df.withColumn("_id", number)
     repeated = keyed.filter("_id IS NOT NULL").groupBy("_id").agg(F.count("*").alias("copies")).filter("copies > 1")
     return keyed.join(repeated, "_id").drop("_id")
@@ -151,7 +153,7 @@ def invalid_colours(df: DataFrame, columns: Sequence[str] = ("r", "g", "b")) ->
     """``problem`` per row and component: not numeric, or outside 0..255."""
 
     def check(name: str) -> Column:
-        number = F.trim(F.col(name).cast("string")).try_cast("double")
+        number = numeric_text(F.col(name).cast("string")).try_cast("double")
         problem = F.when(number.isNull() | F.isnan(number), "not numeric").when(
             ~number.between(*COLOUR_RANGE), "out of range"
         )

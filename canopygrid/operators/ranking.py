@@ -1,9 +1,11 @@
 """Exact top-N per group without sorting the groups.
 
 For every group the key ``(score desc, row, col)`` of its N-th pixel is found by
-counting: each round splits the group's open interval into buckets, counts them
-(partial counts per task) and keeps the bucket that holds rank N.  Only that
-bucket, bounded in size, is ever ranked in a window.  Selection is then a plain
+counting: each round splits the group's open interval at quantiles of its keys,
+counts the buckets (partial counts per task) and keeps the bucket that holds rank N.
+Keys are only ever compared, and a key equal to an edge has a bucket of its own, so every
+round narrows the interval, whatever the distribution, infinite scores included.  Only
+the last bucket, bounded in size, is ever ranked in a window.  Selection is then a plain
 comparison with the group's cut key, so pixels are not shuffled and a group
 holding a third of all pixels costs no more than many small ones.
 """
@@ -15,10 +17,8 @@ from pyspark.sql import functions as F
 
 from canopygrid.lineage import cut
 
-# Buckets per group and round; fewer when many groups are open at once.
-MAX_BUCKETS = 65536
-MIN_BUCKETS = 256
-BUCKET_ROWS = 8_000_000
+# Quantiles per group and round.
+EDGES = 255
 # Rows of a group that may be ranked in one window.
 RANK_LIMIT = 100_000
 # Groups up to this number are broadcast next to the pixels.
@@ -86,17 +86,18 @@ def cut_keys(
         # The first key whose interval is still open decides the bucket.
         active = [F.col(f"lo{i}") < F.col(f"hi{i}") for i in range(3)]
 
-        def pick(columns: list[Column]) -> Column:
-            return F.when(active[0], columns[0]).when(active[1], columns[1]).otherwise(columns[2])
-
-        low = pick([F.col(f"lo{i}") for i in range(3)])
-        high = pick([F.col(f"hi{i}") for i in range(3)])
-        key = pick([F.col(k) for k in KEYS])
-        parts = max(MIN_BUCKETS, min(MAX_BUCKETS, BUCKET_ROWS // n_open))
-        bucket = F.least(F.floor((key - low) / (high - low) * parts), F.lit(parts - 1)).cast("int")
+        key = F.when(active[0], F.col("k0")).when(active[1], F.col("k1")).otherwise(F.col("k2"))
         inside = _inside(keyed, small_side(open_groups.select(*groups, *BOUNDS), n_open), groups)
-        counted = inside.withColumn("bucket", bucket).groupBy(*groups, "bucket").agg(
-            F.count("*").alias("n"), *_bounds_aggs()
+        fractions = [i / (EDGES + 1) for i in range(1, EDGES + 1)]
+        edges = cut(inside.groupBy(*groups).agg(F.array_distinct(F.percentile_approx(key, fractions, 4 * EDGES)).alias("edges")))
+        # Edges below the key, and edges not above it: between two edges both counts are the same.
+        below = F.size(F.filter("edges", lambda e: e < F.col("key"))) + F.size(F.filter("edges", lambda e: e <= F.col("key")))
+        counted = (
+            inside.withColumn("key", key)
+            .join(small_side(edges, n_open), groups)
+            .withColumn("bucket", below)
+            .groupBy(*groups, "bucket")
+            .agg(F.count("*").alias("n"), *_bounds_aggs())
         )
         running = Window.partitionBy(*groups).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         narrowed = (

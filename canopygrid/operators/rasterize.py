@@ -31,10 +31,10 @@ def polygon_spans(polygons: DataFrame, grid: GridSpec) -> DataFrame:
     ).select(
         "seq",
         # Pixel coordinates: centre of pixel (r, c) is (c + 0.5, r + 0.5).
-        ((F.col("col.p.x") - grid.origin_x) / grid.pixel_x).alias("x0"),
-        ((grid.origin_y - F.col("col.p.y")) / grid.pixel_y).alias("y0"),
-        ((F.col("col.q.x") - grid.origin_x) / grid.pixel_x).alias("x1"),
-        ((grid.origin_y - F.col("col.q.y")) / grid.pixel_y).alias("y1"),
+        ((F.col("col.p.x") - grid.origin_x) / abs(grid.pixel_x)).alias("x0"),
+        ((grid.origin_y - F.col("col.p.y")) / abs(grid.pixel_y)).alias("y0"),
+        ((F.col("col.q.x") - grid.origin_x) / abs(grid.pixel_x)).alias("x1"),
+        ((grid.origin_y - F.col("col.q.y")) / abs(grid.pixel_y)).alias("y1"),
     )
     low, high = F.least("y0", "y1"), F.greatest("y0", "y1")
     first = F.greatest(F.ceil(low - 0.5), F.lit(0))

@@ -24,9 +24,8 @@ def sentinel(dtype: str) -> float:
 def drop_sentinel(value: str, nodata: float | None) -> Column:
     """NULL in place of the NoData sentinel and of NaN."""
     column = F.col(value)
-    if nodata is None:
-        return column
-    return F.when((column != nodata) & ~F.isnan(column.cast("double")), column)
+    number = ~F.isnan(column.cast("double"))
+    return F.when(number if nodata is None else (column != nodata) & number, column)
 
 
 def read_layer(spark: SparkSession, path: str, value: str = "value", nodata: float | None = None) -> DataFrame:

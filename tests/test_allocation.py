@@ -33,6 +33,17 @@ def test_top_n_matches_sort(spark, limit):
     assert got == want
 
 
+@pytest.mark.parametrize("kind", ["infinite", "tied", "lognormal"])
+def test_top_n_ends_for_any_scores(spark, kind):
+    random.seed(5)
+    scores = {"infinite": lambda: random.choice([math.inf, math.inf, -math.inf, 1.0, 2.0]), "tied": lambda: 0.5, "lognormal": lambda: random.lognormvariate(0, 5)}
+    rows = [(r, c, "g", scores[kind]()) for r in range(30) for c in range(20)]
+    df = spark.createDataFrame(rows, "row int, col int, g string, s double")
+    targets = spark.createDataFrame([("g", 333)], "g string, n long")
+    got = {(r.row, r.col) for r in top_n(df, ["g"], "s", targets, "n", 2).collect()}
+    assert got == {(r[0], r[1]) for r in sorted(rows, key=lambda r: (-r[3], r[0], r[1]))[:333]}
+
+
 def reference_allocation(rows, pixel_ha, years, forest, score):
     targets, areas = {}, {}
     for r in rows:
