@@ -210,6 +210,25 @@ def map_algebra_functions(spark, sf_dir):
     return rounded(base.select("row", "col", *expressions), *expressions, digits=9)
 
 
+@query
+def map_algebra_no_numbers(spark, sf_dir):
+    """Roots of negative values, logarithms of zero, divisors of zero and NoData inside expressions."""
+    base = masked(spark, sf_dir)
+    flags = {
+        "root_above": "if(sqrt(map1[1] - 5) > 1, 1, 0)",
+        "root_equal": "if(sqrt(map1[1] - 5) == sqrt(map1[1] - 5), 1, 0)",
+        "root_missing": "if(sqrt(map1[1] - 5) == no_data, 1, 0)",
+        "ratio_above": "if(map2[1] / (map1[1] - 5) > 0.5, 1, 0)",
+        "log_below": "if(ln(map1[1] - 5) < 0, 1, 0)",
+    }
+    numbers = {"root_up": "round_up(sqrt(map1[1] - 5))", "huge_up": "round_up(map2[1] * 1e300) / 1e300"}
+    for name, text in flags.items():
+        base = algebra.map_algebra(base, text, ["fcbm", "etp_cal"], name)
+    for name, text in numbers.items():
+        base = algebra.map_algebra(base, text, ["fcbm", "etp_cal"], name, "float64")
+    return rounded(base.select("row", "col", *flags, *numbers), *numbers)
+
+
 @query
 def map_algebra_layer_scalars(spark, sf_dir):
     """Whole-layer minimum and maximum inside an expression."""

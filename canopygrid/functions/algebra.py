@@ -3,22 +3,55 @@
 An expression names layers as ``map1[1]`` (first layer, first band) and uses a
 fixed list of functions.  Python's own ``ast`` module reads the text; every
 node becomes a Spark column, so Catalyst sees an ordinary projection.
-NoData is NULL: comparisons with it are false, arithmetic on it gives NULL.
+Inside an expression numbers follow IEEE arithmetic and NoData is NaN, so that
+a NaN made on the way is NoData too: comparisons with it are false except
+``!=``.  Only the stored result turns NaN and infinities into NULL.
 """
 
 from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Doubles from here on have no fraction.
+WHOLE = float(1 << 53)
+
+
+def _nan() -> Column:
+    return F.lit(float("nan"))
+
+
+def _log(log: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """Logarithm that is -inf at zero and NaN below it, where Spark has NULL."""
+    return lambda x: F.when(x == 0, float("-inf")).otherwise(F.coalesce(log(x), _nan()))
+
+
+def _whole(rounding: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """Rounding through BIGINT where it is exact; larger values, infinities and NaN stay."""
+    return lambda x: F.when(F.abs(x) < WHOLE, rounding(x).cast("double")).otherwise(x)
+
+
+def _divide(a: Column, b: Column) -> Column:
+    """Quotient; over zero it is infinite by the signs of both, or NaN."""
+    return F.coalesce(F.try_divide(a, b), a * F.pow(b, F.lit(-1.0)))
+
+
+def _compare(op: ast.cmpop, a: Column, b: Column) -> Column:
+    """Comparison in which NaN differs from everything; Spark sorts it above all numbers."""
+    numbers = ~F.isnan(a) & ~F.isnan(b)
+    if isinstance(op, ast.NotEq):
+        return ~(numbers & (a == b))
+    return numbers & COMPARE[type(op)](a, b)
+
+
 # One-argument functions of the expression language.
 UNARY = {
-    "ln": F.ln,
-    "log10": F.log10,
+    "ln": _log(F.ln),
+    "log10": _log(F.log10),
     "sqrt": F.sqrt,
     "square": lambda x: x * x,
     "sin": F.sin,
@@ -28,8 +61,8 @@ UNARY = {
     "arccos": F.acos,
     "arctan": F.atan,
     "abs": F.abs,
-    "round_up": F.ceil,
-    "round_down": F.floor,
+    "round_up": _whole(F.ceil),
+    "round_down": _whole(F.floor),
 }
 
 # Output types, their storage range and their NoData sentinel.
@@ -67,7 +100,7 @@ class _Translator:
         if isinstance(node, ast.Constant) and isinstance(node.value, (int, float)):
             return F.lit(float(node.value))
         if isinstance(node, ast.Name) and node.id == "no_data":
-            return F.lit(None).cast("double")
+            return _nan()
         if isinstance(node, ast.Subscript):
             return self.band(node)
         if isinstance(node, ast.UnaryOp) and isinstance(node.op, (ast.USub, ast.UAdd)):
@@ -89,7 +122,7 @@ class _Translator:
         layer, band = int(match.group(1)), int(node.slice.value)
         if not (1 <= layer <= len(self.layers) and 1 <= band <= len(self.layers[layer - 1])):
             raise ValueError(f"no such layer band: {name}[{band}]")
-        return F.col(self.layers[layer - 1][band - 1]).cast("double")
+        return F.coalesce(F.col(self.layers[layer - 1][band - 1]).cast("double"), _nan())
 
     def arithmetic(self, node: ast.BinOp) -> Column:
         left, right = self.number(node.left), self.number(node.right)
@@ -100,9 +133,9 @@ class _Translator:
         if isinstance(node.op, ast.Mult):
             return left * right
         if isinstance(node.op, ast.Div):
-            return F.try_divide(left, right)
+            return _divide(left, right)
         if isinstance(node.op, ast.Pow):
-            return F.pow(left, right)
+            return F.when(left == 1, 1.0).otherwise(F.pow(left, right))
         raise ValueError(f"operator not supported: {type(node.op).__name__}")
 
     def call(self, node: ast.Call) -> Column:
@@ -116,9 +149,9 @@ class _Translator:
         if name in ("min", "max"):
             # Whole-layer scalar over the valid pixels, as a scalar subquery.
             reduce = F.min if name == "min" else F.max
-            return self.df.select(reduce(finite(value)).alias("v")).scalar()
+            return F.coalesce(self.df.select(reduce(finite(value)).alias("v")).scalar(), _nan())
         if name in UNARY:
-            return UNARY[name](value).cast("double")
+            return UNARY[name](value)
         raise ValueError(f"function not supported: {name or 'call'}")
 
     def predicate(self, node: ast.AST) -> Column:
@@ -138,7 +171,7 @@ class _Translator:
         if isinstance(node, ast.UnaryOp) and isinstance(node.op, (ast.Invert, ast.Not)):
             return ~self.predicate(node.operand)
         # A bare number is true unless it is zero; NoData counts as non-zero.
-        return F.coalesce(self.number(node) != 0, F.lit(True))
+        return self.number(node) != 0
 
     def comparison(self, left: ast.AST, op: ast.cmpop, right: ast.AST) -> Column:
         def is_no_data(n: ast.AST) -> bool:
@@ -147,12 +180,11 @@ class _Translator:
         if is_no_data(left) or is_no_data(right):
             value = self.number(left if is_no_data(right) else right)
             if isinstance(op, ast.Eq):
-                return value.isNull()
+                return F.isnan(value)
             if isinstance(op, ast.NotEq):
-                return value.isNotNull()
+                return ~F.isnan(value)
             raise ValueError("no_data compares with == and != only")
-        result = COMPARE[type(op)](self.number(left), self.number(right))
-        return F.coalesce(result, F.lit(isinstance(op, ast.NotEq)))
+        return _compare(op, self.number(left), self.number(right))
 
 
 def to_storage(value: Column, dtype: str) -> Column:

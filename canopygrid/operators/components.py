@@ -66,11 +66,12 @@ def _make_local(width: int, tile: int):
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star round over edges ``u > v``.
 
-    The minimum is a partially combined aggregate joined back on the node, so a
-    node with very many neighbours is split by the adaptive skew join.
+    The minimum is a partially combined aggregate.  It is stored before it is joined
+    back on the node: both sides of that join are then plain shuffles, which the
+    adaptive skew join can split for a node with very many neighbours.
     """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
     joined = both.join(low, "u")
     if large:
         out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -279,30 +279,28 @@ def squared_distances(
         F.when(at > own, F.col("last_row")).when(at == own, F.col("before")).cast("long").alias("a"),
         F.when(at < own, F.col("first_row")).otherwise(F.col("after")).cast("long").alias("b"),
     )
-    hints = carry
-
-    if blocks > 1:
-        # 2. and 3. Parabolas that cross tile borders.  The carried values (one row per
-        # tile column and tile row) are read twice from here on, so they are written out.
-        carry = hints = materialise(carry)
-        lines = (
-            hit.groupBy("tile")
-            .cogroup(carry.groupBy("tile"))
-            .applyInArrow(_make_outgoing(len(names), tile), "layer int, row int, c int, g long")
-        )
-        incoming = lines.groupBy("layer", "row").applyInArrow(
-            _make_incoming(tile, blocks), "tile long, layer int, row int, c int, g long"
-        )
-        hints = carry.unionByName(
-            incoming.select(
-                "tile",
-                F.lit(1).alias("kind"),
-                "layer",
-                F.col("c").alias("x"),
-                F.col("row").cast("long").alias("a"),
-                F.col("g").alias("b"),
-            )
+
+    # 2. and 3. Parabolas that cross tile borders.  The carried values (one row per
+    # tile column and tile row) are read twice from here on, so they are written out.
+    carry = materialise(carry)
+    lines = (
+        hit.groupBy("tile")
+        .cogroup(carry.groupBy("tile"))
+        .applyInArrow(_make_outgoing(len(names), tile), "layer int, row int, c int, g long")
+    )
+    incoming = lines.groupBy("layer", "row").applyInArrow(
+        _make_incoming(tile, blocks), "tile long, layer int, row int, c int, g long"
+    )
+    hints = carry.unionByName(
+        incoming.select(
+            "tile",
+            F.lit(1).alias("kind"),
+            "layer",
+            F.col("c").alias("x"),
+            F.col("row").cast("long").alias("a"),
+            F.col("g").alias("b"),
         )
+    )
 
     # 4. One pass over the pixels.
     schema = T.StructType(list(pixels.schema.fields) + [T.StructField(f"_d{i}", T.LongType()) for i in range(len(names))])

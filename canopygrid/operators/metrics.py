@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from canopygrid.operators.order_stats import exact_median, theil_sen_slope
 
 # Hectares below which both sides of a cell count as empty.
 SAMPLE_FLOOR_HA = 0.01
-# Samples up to this size use in-memory medians and slopes (8 million pairs);
-# longer ones use the distributed selection.
-SMALL_SAMPLE = 4096
 
 METRICS_SCHEMA = (
     "n long, ols_slope double, ols_intercept double, r2 double, medae double, medae_pct double, "
@@ -30,41 +24,24 @@ def regression_sample(cells: DataFrame) -> DataFrame:
     return cells.filter(valid | (n_valid < 2))
 
 
-@F.pandas_udf(T.DoubleType())
-def _small_slope(x: pd.Series, y: pd.Series) -> float:
-    order = np.argsort(x.to_numpy(), kind="stable")
-    xs, ys = x.to_numpy()[order], y.to_numpy()[order]
-    i, j = np.triu_indices(len(xs), 1)
-    apart = xs[j] > xs[i]
-    if not apart.any():
-        return None
-    return float(np.median((ys[j] - ys[i])[apart] / (xs[j] - xs[i])[apart]))
-
-
-def theil_sen(sample: DataFrame, n: int, small: int = SMALL_SAMPLE) -> tuple[float | None, float | None]:
+def theil_sen(sample: DataFrame, n: int) -> tuple[float | None, float | None]:
     """Slope and intercept: median pair slope, ``med(y) - slope * med(x)``."""
-    if n <= small:
-        slope = sample.agg(_small_slope("actual_ha", "pred_ha")).first()[0]
-        medians = sample.agg(F.median("actual_ha"), F.median("pred_ha")).first()
-    else:
-        slope = theil_sen_slope(sample, n, "actual_ha", "pred_ha")
-        medians = (exact_median(sample, "actual_ha"), exact_median(sample, "pred_ha"))
-    return slope, None if slope is None else medians[1] - slope * medians[0]
+    slope = theil_sen_slope(sample, n, "actual_ha", "pred_ha")
+    if slope is None:
+        return None, None
+    return slope, exact_median(sample, "pred_ha") - slope * exact_median(sample, "actual_ha")
 
 
-def median_abs_error(sample: DataFrame, n: int, small: int = SMALL_SAMPLE) -> float:
+def median_abs_error(sample: DataFrame) -> float:
     """Median of ``|actual - predicted|``."""
-    error = sample.select(F.abs(F.col("actual_ha") - F.col("pred_ha")).alias("e"))
-    if n <= small:
-        return error.agg(F.median("e")).first()[0]
-    return exact_median(error, "e")
+    return exact_median(sample.select(F.abs(F.col("actual_ha") - F.col("pred_ha")).alias("e")), "e")
 
 
-def evaluation_metrics(cells: DataFrame, grid_area_ha: float, small: int = SMALL_SAMPLE) -> DataFrame:
+def evaluation_metrics(cells: DataFrame, grid_area_ha: float) -> DataFrame:
     """One row of metrics, or none when there are fewer than two cells.
 
-    The sample size is read once; it decides between in-memory medians (bounded
-    by ``small``) and the distributed selection.  Give ``cells`` materialised.
+    Medians and slopes come from distributed selection at every size.  Give
+    ``cells`` materialised.
     """
     x, y = F.col("actual_ha"), F.col("pred_ha")
     valid = (x > SAMPLE_FLOOR_HA) | (y > SAMPLE_FLOOR_HA)
@@ -72,13 +49,8 @@ def evaluation_metrics(cells: DataFrame, grid_area_ha: float, small: int = SMALL
     if n_cells < 2:
         return cells.sparkSession.createDataFrame([], METRICS_SCHEMA)
     sample, n = (cells.filter(valid), n_valid) if n_valid >= 2 else (cells, n_cells)
-    if n <= small:
-        error = F.median(F.abs(x - y))
-        slope = F.lit(sample.agg(_small_slope(x, y)).first()[0]).cast("double")
-        intercept = F.median(y) - slope * F.median(x)
-    else:
-        error = F.lit(median_abs_error(sample, n, small))
-        slope, intercept = (F.lit(v).cast("double") for v in theil_sen(sample, n, small))
+    error = F.lit(median_abs_error(sample))
+    slope, intercept = (F.lit(v).cast("double") for v in theil_sen(sample, n))
     return sample.agg(
         F.count("*").alias("n"),
         F.regr_slope(y, x).alias("ols_slope"),

@@ -20,9 +20,9 @@ FLOAT_TYPES = ("float", "double")
 def alignment_issues(grids: DataFrame, reference: str) -> DataFrame:
     """``layer, field, expected, found`` for every grid property that differs from the reference layer.
 
-    ``grids`` has one row per layer: ``layer`` and ``GRID_FIELDS``.
+    ``grids`` has one row per layer: ``layer`` and ``GRID_FIELDS``; a second row of the reference is an error.
     """
-    ref = grids.filter(F.col("layer") == reference).select(F.struct(*GRID_FIELDS)).limit(1).scalar()
+    ref = grids.filter(F.col("layer") == reference).select(F.struct(*GRID_FIELDS)).scalar()
     checks = F.array(
         *[
             F.struct(
@@ -53,7 +53,7 @@ def crs_issues(grids: DataFrame, reference: str) -> DataFrame:
 
     ``grids`` also has ``projected`` (boolean).
     """
-    ref = grids.filter(F.col("layer") == reference).select("crs").limit(1).scalar()
+    ref = grids.filter(F.col("layer") == reference).select("crs").scalar()
     problem = (
         F.when(F.col("crs").isNull(), "missing")
         .when(~F.col("projected"), "not projected")
@@ -70,7 +70,6 @@ def extent_gaps(extents: DataFrame, reference: str) -> DataFrame:
     ref = (
         extents.filter(F.col("layer") == reference)
         .select(F.struct("crs", "min_x", "min_y", "max_x", "max_y"))
-        .limit(1)
         .scalar()
     )
     apart = (

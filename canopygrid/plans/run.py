@@ -127,7 +127,7 @@ def _threshold(pixels, grid, params, store, step) -> int:
 def _predict(pixels, model, phase, grid, params, store, result) -> ph.Prediction:
     source = ph.FITTED_BY[phase]
     fitted = result.fits.get((model, source))
-    frequency = fitted.frequency if fitted is not None else store.read_frequency(model, source)
+    frequency = fitted.frequency if fitted is not None else store.read_frequency(model, source, revision=0)
     expected, years = (params.expected_deforestation, params.vp_years) if phase == "VP" else (None, None)
     done = ph.predict(
         pixels, frequency, model, phase, grid, params.n_classes, result.nrt,
@@ -138,6 +138,7 @@ def _predict(pixels, model, phase, grid, params, store, result) -> ph.Prediction
         store.write(
             done.pixels.select("row", "col", "risk_class", "region_id", "density", "adjusted"), "density", model, phase
         )
+        store.write(done.unseen, "unseen_zones", model, phase)
         store.write(done.adjustment.log_table(), "adjustment_log", model, phase)
     return done
 

@@ -67,8 +67,12 @@ class ResultStore:
         return every.filter(F.col("revision") == revision).drop("revision")
 
     def add_frequency_revision(self, table: DataFrame, model: str, phase: str) -> int:
-        """Store a table after imputation beside the earlier ones; the input is never overwritten."""
+        """Store a table after imputation beside the earlier ones; an unchanged table adds none."""
         newest = self.read("frequency", model, phase).agg(F.max("revision")).first()[0]
+        exact = ["region_id", "defor_px", "area_px", "imputed", F.round("rel_freq", 12).alias("rel_freq")]
+        old, new = self.read_frequency(model, phase, newest).select(exact), table.select(exact)
+        if new.exceptAll(old).isEmpty() and old.exceptAll(new).isEmpty():
+            return newest
         self.write_frequency(table, model, phase, newest + 1)
         return newest + 1
 

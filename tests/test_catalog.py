@@ -77,6 +77,12 @@ def test_stages_can_run_apart(spark, sf_dir, tmp_path):
     for key, done in whole.evaluations.items():
         part = parts[next(s for s in bcm if runs.STAGES[s][0::2] == key and runs.STAGES[s][1] == "evaluate")].evaluations[key]
         assert part.cells.agg(F.round(F.sum("pred_ha"), 6)).first() == done.cells.agg(F.round(F.sum("pred_ha"), 6)).first()
+    # A repeated prediction starts from the fitted rows, so it sees the same zones and adds no revision.
+    unseen = store.read("unseen_zones", "benchmark", "CNF").count()
+    revisions = store.read("frequency", "benchmark", "CAL").select("revision").distinct().count()
+    again = runs.run(["BCM Confirmation (CNF)"], layers, grid, PARAMS, store)
+    assert again.predictions["benchmark", "CNF"].unseen.count() == unseen
+    assert store.read("frequency", "benchmark", "CAL").select("revision").distinct().count() == revisions
     for table in ("threshold", "distance_histogram", "class_edges", "frequency", "density", "adjustment_log", "evaluation_cells", "evaluation_metrics"):
         assert store.overview(table).count() > 0
 

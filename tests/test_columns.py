@@ -79,6 +79,28 @@ def test_map_algebra(spark, text, want):
     assert all((g is None) == (w is None) and (g is None or math.isclose(g, w, abs_tol=1e-12)) for g, w in zip(got, want)), got
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("if(sqrt(map1[1]) > 1, 1, 0)", [0, 0, 0, 0]),
+        ("if(sqrt(map1[1]) == sqrt(map1[1]), 1, 0)", [1, 1, 0, 1]),
+        ("round_up(sqrt(map1[1] - 0.5))", [None, 1, None, None]),
+        ("round_up(map1[1] * 1e300) / 1e300", [0.25, 1, -4, 0]),
+        ("if(map1[1] / map2[1] > 0.5, 1, 0)", [1, 1, 0, 0]),
+        ("if(map1[1] / map2[1] < -0.5, 1, 0)", [0, 0, 1, 0]),
+        ("if(ln(map1[1]) < 0, 1, 0)", [1, 0, 0, 1]),
+        ("if(ln(map1[1]) == no_data, 1, 0)", [0, 0, 1, 0]),
+        ("if(map1[1] / map2[1] == no_data, 1, 0)", [0, 0, 0, 1]),
+        ("1 / (map1[1] / map2[1])", [0, 0, -0.5, None]),
+    ],
+)
+def test_map_algebra_without_numbers(spark, text, want):
+    """NaN and infinities made inside an expression follow IEEE rules."""
+    rows = ((0.25, 0.0), (1.0, 0.0), (-4.0, 2.0), (0.0, 0.0))
+    got = evaluate(spark, text, rows)
+    assert all((g is None) == (w is None) and (g is None or math.isclose(g, w, abs_tol=1e-12)) for g, w in zip(got, want)), got
+
+
 @pytest.mark.parametrize("text", ["map3[1]", "map1[2]", "__import__('os')", "open(map1[1])", "map1[1] % 2", "1 < map1[1] < 9", "map1[1] < no_data", "'a'"])
 def test_map_algebra_rejects(spark, text):
     with pytest.raises(ValueError):
