@@ -11,16 +11,20 @@ out depth first, so shared tokens stand once.  Each node has
 
 * ``first_token`` and ``n_tokens``: its place in the tree's token sequence,
 * ``first_position``: position id of its first token, the tokens of its ancestors,
-* ``intervals``: the token intervals of its ancestors and itself, which are what its
-  tokens may attend to (causally),
+* ``intervals``: the token intervals of its ancestors, merged where they touch, and then its
+  own, which are what its tokens may attend to (causally),
+* ``runs``: the same nodes as ranges of depths of chains,
 * its text, its token ids, and whether its text is under the loss mask
   (assistant turns; the mask covers the text between role and end mark).
 
 ``leaves`` has the last node of every conversation.  Reading a
-conversation back takes the intervals of that node and the texts that lie there.
+conversation back takes the runs of that node and the texts that lie there.
 
 A node is named by a 128-bit hash of the path to it, found by one pass over each
-conversation; the depth-first places are running sums over (tree, branch, path).
+conversation.  Different conversations of a tree are ranked by their paths, and a node
+belongs to the chain of the first of them that passes it.  Depth first is then the order
+of (branch, chain, depth), and a path is a few runs of chains, so that a long conversation
+costs rows and bytes in proportion to its turns.
 
 Edge cases: a null role or text is empty; rows without a conversation id form one
 conversation; rows that repeat a turn number are turns in the order of role and text;
@@ -63,8 +67,8 @@ def _role_back(role: Column) -> Column:
     return F.replace(F.replace(F.replace(aside, F.lit("\\n"), F.lit("\n")), F.lit("<\\|"), F.lit("<|")), F.lit("\\0"), F.lit("\\"))
 
 
-def turns(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """``conv_id, depth, role, text, path``: ``path`` has the hashes of the turns so far, as fixed-width text."""
+def paths(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """``conv_id, turns, chain``: ``chain`` has the hash of the path to each turn."""
     plain = rows.select(F.col(id_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     own = F.substring(F.sha2(F.concat_ws("\n", F.length("role"), "role", "text"), 256), 1, 32)
     whole = plain.withColumn("own", own).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "own"))).alias("turns"))
@@ -74,61 +78,87 @@ def turns(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role
         F.array().cast("array<string>"),
         lambda done, t: F.concat(done, F.array(F.substring(F.sha2(F.concat(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit("")), t["own"]), 256), 1, 32))),
     )
-    zipped = F.transform(F.col("turns"), lambda t, i: F.struct(i.alias("depth"), t["role"].alias("role"), t["text"].alias("text")))
-    out = whole.select("conv_id", zipped.alias("turns"), chain.alias("chain")).select("conv_id", "chain", F.explode("turns").alias("t"))
-    node = lambda i: F.element_at("chain", i)
-    depth = F.col("t.depth")
-    return out.select("conv_id", F.size("chain").alias("n_turns"), depth.alias("depth"), "t.role", "t.text", node(1).alias("tree"), node(depth + 1).alias("node"), F.when(depth > 0, node(F.greatest(depth, F.lit(1)))).alias("parent"), F.slice("chain", 1, depth + 1).alias("path"))
+    return whole.select("conv_id", "turns", chain.alias("chain"))
+
+
+def _branch() -> Column:
+    """Part of a tree that the second turn chooses."""
+    return F.when(F.size("chain") > 1, F.substring(F.try_element_at("chain", F.lit(2)), 1, BRANCH_DIGITS)).otherwise("")
 
 
 def tree(rows: DataFrame, tokenizer_path: str, **columns) -> tuple[DataFrame, DataFrame]:
     """Nodes (see above) and ``conv_id, n_turns, tree, node`` of the last turn of every conversation."""
     c.small_batches(rows.sparkSession)
-    every = c.stored(turns(rows, **columns))
-    nodes = every.groupBy("tree", "node").agg(F.first("depth").alias("depth"), F.first("path").alias("path"), F.first("parent").alias("parent"), F.first("role").alias("role"), F.first("text").alias("text"))
+    whole = c.stored(paths(rows, **columns))
+    above = F.concat(F.array(F.lit(None).cast("string")), F.slice("chain", 1, F.size("chain") - 1))
+    every = whole.select(F.element_at("chain", 1).alias("tree"), _branch().alias("branch"), F.posexplode(F.arrays_zip("turns", F.col("chain").alias("node"), above.alias("parent"))).alias("depth", "t"))
+    every = every.select("tree", F.when(F.col("depth") > 0, F.col("branch")).otherwise("").alias("branch"), "depth", "t.node", "t.parent", "t.turns.role", "t.turns.text")
+    nodes = every.groupBy("tree", "node").agg(*[F.first(x).alias(x) for x in ("branch", "depth", "parent", "role", "text")])
     is_loss = F.col("role") == LOSS_ROLE
     head = F.concat(F.lit(START), _role_out(F.col("role")), F.lit("\n"))
-    nodes = nodes.select("tree", "node", "parent", "path", "depth", is_loss.alias("is_loss"), F.length(head).alias("loss_start"), F.length(escaped(F.col("text"))).alias("loss_length"), F.concat(head, escaped(F.col("text")), F.lit(END + "\n")).alias("formatted"))
+    nodes = nodes.select("tree", "node", "parent", "branch", "depth", is_loss.alias("is_loss"), F.length(head).alias("loss_start"), F.length(escaped(F.col("text"))).alias("loss_length"), F.concat(head, escaped(F.col("text")), F.lit(END + "\n")).alias("formatted"))
 
     names = nodes.columns
 
     def tokenize(batches):
-        from tokenizers import Tokenizer
+        import os
+
+        import tokenizers
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        tokenizer.encode_special_tokens = True
+        # A task has one core; threads of its own would only cost memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        kept = tokenizers.__dict__.setdefault("_canopygrid_tokenizers", {})
+        if tokenizer_path not in kept:
+            kept[tokenizer_path] = tokenizers.Tokenizer.from_file(tokenizer_path)
+            kept[tokenizer_path].encode_special_tokens = True
+        encode = kept[tokenizer_path].encode_batch_fast
         for batch in batches:
-            found = [np.array(e.ids, dtype=np.int32) for e in tokenizer.encode_batch(batch.column(len(names) - 1).to_pylist(), add_special_tokens=False)]
+            found = [np.array(encode([text], add_special_tokens=False)[0].ids, dtype=np.int32) for text in batch.column(len(names) - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32())), pa.array([len(x) for x in found], pa.int64())], names=[*names, "ids", "n_tokens"])
 
     schema = nodes.withColumn("ids", F.lit(None).cast("array<int>")).withColumn("n_tokens", F.lit(None).cast("long")).schema
     nodes = c.stored(nodes.mapInArrow(tokenize, schema))
-    # Running sums in path order, within branches of a tree and then over its branches, so that a hot tree is spread over tasks.
-    branched = nodes.withColumn("branch", F.when(F.size("path") > 1, F.substring(F.try_element_at("path", F.lit(2)), 1, BRANCH_DIGITS)).otherwise(""))
+    # Different conversations by rank among those of their branch; a node's chain is the first rank that passes it.
+    paths_of = whole.withColumn("leaf", F.element_at("chain", -1)).groupBy("leaf").agg(F.first("chain").alias("chain"))
+    in_order = Window.partitionBy("tree", "branch").orderBy("path")
+    ranked = paths_of.select(F.element_at("chain", 1).alias("tree"), _branch().alias("branch"), F.array_join("chain", "").alias("path"), "chain")
+    ranked = c.stored(ranked.select("tree", "branch", F.row_number().over(in_order).alias("rank"), "chain"))
+    steps = ranked.select("tree", "branch", "rank", F.posexplode("chain").alias("depth", "node"))
+    owners = steps.filter("depth > 0").groupBy("tree", "node").agg(F.min("rank").alias("chain"))
+    owned = nodes.select("tree", "node", "branch", "depth", "n_tokens").join(owners, ["tree", "node"], "left").withColumn("chain", F.coalesce("chain", F.lit(0)))
+    # Running sums in this order, within branches of a tree and then over its branches, so that a hot tree is spread over tasks.
     earlier = Window.partitionBy("tree").orderBy("branch").rowsBetween(Window.unboundedPreceding, -1)
-    branches = branched.groupBy("tree", "branch").agg(F.sum("n_tokens").alias("size")).select("tree", "branch", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("base"))
-    before = Window.partitionBy("tree", "branch").orderBy(F.array_join("path", "")).rowsBetween(Window.unboundedPreceding, -1)
-    placed = branched.withColumn("inside", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).join(branches, ["tree", "branch"]).withColumn("first_token", F.col("base") + F.col("inside"))
-    # The intervals of a node are those of the nodes on its path.
-    spans = placed.select(F.col("tree"), F.col("node").alias("step"), "first_token", F.col("n_tokens").alias("size"))
-    steps = nodes.select("tree", "node", F.posexplode("path").alias("at", "step"))
-    intervals = steps.join(spans, ["tree", "step"]).groupBy("tree", "node").agg(F.array_sort(F.collect_list(F.struct("first_token", "size"))).alias("found"))
-    ends = F.transform("found", lambda x: F.struct(x["first_token"].alias("start"), (x["first_token"] + x["size"]).alias("end")))
-    intervals = intervals.select("tree", "node", ends.alias("intervals"))
-    own = F.element_at("intervals", -1)
+    branches = owned.groupBy("tree", "branch").agg(F.sum("n_tokens").alias("size")).select("tree", "branch", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("base"))
+    before = Window.partitionBy("tree", "branch").orderBy("chain", "depth").rowsBetween(Window.unboundedPreceding, -1)
+    placed = owned.withColumn("inside", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).join(branches, ["tree", "branch"])
+    places = c.stored(placed.select("tree", "node", "branch", "chain", "depth", (F.col("base") + F.col("inside")).alias("start"), (F.col("base") + F.col("inside") + F.col("n_tokens")).alias("end")))
+    # The path of a conversation: one run of touching nodes for each chain that it follows.
+    passed = steps.drop("depth").join(places.withColumnRenamed("branch", "of"), ["tree", "node"])
+    runs = passed.groupBy("tree", "branch", "rank", "of", "chain").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("depth").alias("first_depth"), F.max("depth").alias("last_depth"))
+    run = F.struct("start", "end", F.col("of").alias("branch"), "chain", "first_depth", "last_depth")
+    followed = runs.groupBy("tree", "branch", F.col("rank").alias("chain")).agg(F.array_sort(F.collect_list(run)).alias("found"))
+    # A node follows the runs of its chain, the last of them down to itself; the first node has no chain.
+    last, none = F.element_at("found", -1), F.array().cast("array<struct<start:bigint,end:bigint>>")
+    prior = F.coalesce(F.slice("found", 1, F.size("found") - 1), F.array().cast("array<struct<start:bigint,end:bigint,branch:string,chain:int,first_depth:int,last_depth:int>>"))
+    same_chain = F.when(last["start"] < F.col("start"), F.array(F.struct(last["start"].alias("start"), F.col("start").alias("end")))).otherwise(none)
+    intervals = F.concat(F.transform(prior, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))), same_chain, F.array(F.struct("start", "end")))
+    here = F.struct(F.col("branch"), F.col("chain"), F.coalesce(last["first_depth"], F.col("depth")).alias("first_depth"), F.col("depth").alias("last_depth"))
+    above = F.transform(prior, lambda x: F.struct(x["branch"].alias("branch"), x["chain"].alias("chain"), x["first_depth"].alias("first_depth"), x["last_depth"].alias("last_depth")))
+    laid = places.join(followed, ["tree", "branch", "chain"], "left").select("tree", "node", "chain", F.col("start").alias("first_token"), intervals.alias("intervals"), F.concat(above, F.array(here)).alias("runs"))
     total = F.aggregate("intervals", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    nodes = nodes.join(intervals, ["tree", "node"]).withColumn("first_token", own["start"]).withColumn("first_position", total - F.col("n_tokens"))
-    leaves = every.filter(F.col("depth") == F.col("n_turns") - 1).select("conv_id", "n_turns", "tree", "node")
-    return nodes.drop("path"), leaves
+    nodes = nodes.join(c.stored(laid), ["tree", "node"]).withColumn("first_position", total - F.col("n_tokens"))
+    leaves = whole.select("conv_id", F.size("chain").alias("n_turns"), F.element_at("chain", 1).alias("tree"), F.element_at("chain", -1).alias("node"))
+    return nodes, leaves
 
 
 def read_back(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
     """``conv_id, at, role, text, is_loss, loss_text, formatted`` of every turn, from the written trees alone."""
-    steps = leaves.join(nodes.select("tree", "node", "intervals"), ["tree", "node"]).select("conv_id", "tree", F.explode("intervals.start").alias("first_token"))
-    found = steps.join(nodes.select("tree", "first_token", "formatted", "is_loss", "loss_start", "loss_length"), ["tree", "first_token"])
+    followed = leaves.join(nodes.select("tree", "node", "runs"), ["tree", "node"]).select("conv_id", "tree", F.explode("runs").alias("run"))
+    steps = followed.select("conv_id", "tree", "run.branch", "run.chain", F.explode(F.sequence("run.first_depth", "run.last_depth")).alias("depth"))
+    found = steps.join(nodes.select("tree", "branch", "chain", "depth", "first_token", "formatted", "is_loss", "loss_start", "loss_length"), ["tree", "branch", "chain", "depth"])
     body = F.expr(f"substring(formatted, {len(START) + 1}, length(formatted) - {len(START) + len(END) + 1})")
     split = F.locate("\n", body)
-    role, text = F.substring(body, F.lit(1), split - 1), F.expr(f"substring(formatted, {len(START) + 1}, length(formatted) - {len(START) + len(END) + 1})").substr(split + 1, F.length(body))
+    role, text = F.substring(body, F.lit(1), split - 1), body.substr(split + 1, F.length(body))
     loss = F.substring(F.col("formatted"), F.col("loss_start") + 1, F.col("loss_length"))
     return found.select("conv_id", F.col("first_token").alias("at"), _role_back(role).alias("role"), unescaped(text).alias("text"), "is_loss", F.when(F.col("is_loss"), unescaped(loss)).otherwise("").alias("loss_text"), "formatted")
 

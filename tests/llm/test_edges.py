@@ -118,6 +118,28 @@ def test_shared_turns_stand_once(spark):
         at += r["n_tokens"]
 
 
+def test_long_conversations_follow_few_runs(spark):
+    """Conversations that leave a long one at some turn: intervals merge, places are gapless, texts come back."""
+    long = [(0, t, "user" if t % 2 == 0 else "assistant", f"t{t % 7}") for t in range(400)]
+    left = [(k, t, r, x if t < 40 * k else f"{x} of {k}") for k in range(1, 9) for _, t, r, x in long[: 40 * k + 30]]
+    short = [(10, t, r, x) for _, t, r, x in long[:100]]
+    table = spark.createDataFrame(long + left + short, "conv_id long, turn long, role string, text string")
+    nodes, leaves = chat.tree(table, tokenizer("byte_bpe_50k.json"))
+    kept = sorted(rows(nodes), key=lambda r: r["first_token"])
+    assert len(kept) == 400 + 8 * 30
+    by_name, at = {r["node"]: r for r in kept}, 0
+    for r in kept:
+        assert r["first_token"] == at and r["intervals"][-1] == (at, at + r["n_tokens"]) and len(r["intervals"]) <= 11
+        at += r["n_tokens"]
+        above = by_name.get(r["parent"])
+        seen = {k for start, end in r["intervals"][:-1] for k in range(start, end)}
+        assert len(seen) == r["first_position"]
+        assert seen == ({k for start, end in above["intervals"] for k in range(start, end)} if above else set())
+    sha = lambda conv: hashlib.sha256("".join(f"{r}\n{x}\n" for k, _, r, x in long + left + short if k == conv).encode()).hexdigest()
+    found = rows(chat.digests(chat.read_back(nodes, leaves)))
+    assert {r["conv_id"]: r["turns_sha256"] for r in found} == {k: sha(k) for k in (*range(9), 10)}
+
+
 def test_urls(spark):
     rules = [urls.host_rule(v, t) for v, t in (("block", "com/en/"), ("allow", "example.com/en/7"))]
     data = [(1, None, "", "", None, "allow"), (1, "", "", "", None, "allow"), (2, "no scheme/en/", "", "", None, "allow"), (3, "HTTP://A.Com/en/x?y#z", "a.com", "/en/x", "com/en/", "block"), (3, "http://xcom/en/", "xcom", "/en/", None, "allow"), (4, "x://example.com/en/70", "example.com", "/en/70", "example.com/en/7", "allow"), (5, "x://notexample.com/en/7", "notexample.com", "/en/7", "com/en/", "block"), (6, "x://com?/en/", "com", "", None, "allow"), (7, "x://org/a.com/en/", "org", "/a.com/en/", None, "allow"), (8, "x://com/en/" + "a" * 100_000, "com", "/en/" + "a" * 100_000, "com/en/", "block"), (None, "x://com/EN/", "com", "/EN/", None, "allow")]
