@@ -360,7 +360,7 @@ BODIES: dict[str, str] = {
   CASE WHEN fcbm = 5 THEN CASE WHEN etp_cal > 0 THEN 1 ELSE 0 END
     WHEN etp_cal / nullif(fcbm - 5, 0) > 0.5 THEN 1 ELSE 0 END AS ratio_above,
   CASE WHEN fcbm = 5 THEN 1 ELSE 0 END AS log_below,
-  CASE WHEN fcbm >= 5 THEN ceil(sqrt(greatest(fcbm - 5, 0))) END AS root_up, round(etp_cal, 6) AS huge_up FROM mk""",
+  CASE WHEN fcbm >= 5 THEN ceil(sqrt(greatest(fcbm - 5, 0))) END AS root_up, round(etp_cal, 9) AS huge_up FROM mk""",
     "map_algebra_layer_scalars": f"""SELECT {POSITION}, round((etp_cal - lo) / (hi - lo), 6) AS stretched
   FROM px, (SELECT min(etp_cal) AS lo, max(etp_cal) AS hi FROM px)""",
     "storage_types": f"""SELECT {POSITION}, CAST(least(greatest(w, 0), 255) AS INT) AS as_uint8,

@@ -226,7 +226,7 @@ def map_algebra_no_numbers(spark, sf_dir):
         base = algebra.map_algebra(base, text, ["fcbm", "etp_cal"], name)
     for name, text in numbers.items():
         base = algebra.map_algebra(base, text, ["fcbm", "etp_cal"], name, "float64")
-    return rounded(base.select("row", "col", *flags, *numbers), *numbers)
+    return rounded(base.select("row", "col", *flags, *numbers), *numbers, digits=9)
 
 
 @query
