@@ -15,6 +15,9 @@ of equal vectors, is cut further by a hash of the id.
   neighbours together few blocks are left, and where vectors are close to evenly spread (no curve
   can keep those together) it comes near a scan of all blocks by the query set.
 
+A vector's place is computed anew where it is needed (it depends on the vector alone), so
+only the vectors themselves are shuffled, once for each curve and once for the second round.
+
 Distances are Euclidean, in double precision, on the original vectors; ties go to
 the smaller id.
 
@@ -33,6 +36,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from canopygrid.llm import common as c
 
@@ -84,8 +88,10 @@ def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def valid(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``vec_id, vector`` (doubles) of the rows that take part."""
-    vector = F.col(vector_col).cast("array<double>")
+    """``vec_id, vector`` of the rows that take part; vectors of 32-bit numbers stay so until they are computed with."""
+    kind = rows.schema[vector_col].dataType
+    narrow = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+    vector = F.col(vector_col) if narrow else F.col(vector_col).cast("array<double>")
     rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), vector.alias("vector")).filter("vec_id IS NOT NULL AND vector IS NOT NULL")
     sound = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0.0)
     rows = rows.filter(F.coalesce(sound, F.lit(False)))
@@ -93,44 +99,105 @@ def valid(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.filter(F.size("vector") == (common["length"] if common else 0))
 
 
-def _matrix(column: pa.Array, length: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, length)
+class Layout:
+    """Where a vector stands on every curve: a function of the vector alone, whatever batch it comes in."""
+
+    def __init__(self, length: int, curves: int) -> None:
+        planes = [directions(length, k) for k in range(curves)]
+        self.length, self.curves, self.dims = length, curves, planes[0][0].shape[1]
+        self.basis = np.concatenate([basis for basis, _ in planes], axis=1)
+        self.shift = np.concatenate([shift for _, shift in planes])
+        self.low = self.size = np.zeros(0)
+        self.cuts: list[np.ndarray] = []
+
+    def projections(self, column: pa.Array) -> np.ndarray:
+        """Projections of a batch on all directions, added up in the order of the components."""
+        points = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, self.length).astype(np.float64)
+        at = np.zeros((len(points), self.basis.shape[1]))
+        for i, weights in enumerate(self.basis):
+            at += points[:, i, None] * weights
+        return at
+
+    def places(self, column: pa.Array):
+        """Curve, projections and keys of a batch, curve by curve."""
+        at = self.projections(column)
+        cells = np.clip((at - self.low) / self.size * ((1 << BITS) - 2) + self.shift, 0, (1 << BITS) - 1).astype(np.int64)
+        for k in range(self.curves):
+            mine = slice(k * self.dims, (k + 1) * self.dims)
+            yield k, at[:, mine], hilbert(cells[:, mine])
+
+    def blocks(self, column: pa.Array):
+        """Curve, projections and blocks of a batch, curve by curve."""
+        for k, at, keys in self.places(column):
+            yield k, at, np.searchsorted(self.cuts[k], keys, side="right")
+
+
+def _measure(rows: DataFrame, layout: Layout) -> None:
+    """Set the range of the projections on every direction."""
+
+    def run(batches):
+        for batch in batches:
+            if len(batch):
+                at = layout.projections(batch.column("vector"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at.shape[1], dtype=np.int32)), pa.array(at.min(axis=0)), pa.array(at.max(axis=0))], names=["place", "low", "high"])
 
+    found = rows.select("vector").mapInArrow(run, "place int, low double, high double").groupBy("place").agg(F.min("low"), F.max("high")).orderBy("place").collect()
+    layout.low = np.array([r[1] for r in found])
+    layout.size = np.maximum(np.array([r[2] for r in found]) - layout.low, 1e-300)
 
-def _keyed(rows: DataFrame, length: int, low: np.ndarray, high: np.ndarray, curves: int) -> DataFrame:
-    """``curve, key, vec_id, vector, at`` of each row on each curve; ``at`` is its projection."""
+
+def _cut(rows: DataFrame, layout: Layout, blocks: int) -> None:
+    """Set the block edges of the curves: at most ``CURVES * MOST_BLOCKS`` numbers."""
+    if blocks == 1:
+        layout.cuts = [np.zeros(0, dtype=np.int64)] * layout.curves
+        return
 
     def run(batches):
-        planes = [directions(length, k) for k in range(curves)]
         for batch in batches:
-            points = _matrix(batch.column("vector"), length)
-            if not len(points):
-                continue
-            for k, (basis, shift) in enumerate(planes):
-                at = points @ basis
-                size = np.maximum(high[k] - low[k], 1e-300)
-                cells = np.clip((at - low[k]) / size * ((1 << BITS) - 2) + shift, 0, (1 << BITS) - 1)
-                edges = pa.array(np.arange(len(at) + 1, dtype=np.int32) * at.shape[1])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), k, dtype=np.int32)), pa.array(hilbert(cells.astype(np.int64))), batch.column("vec_id"), batch.column("vector"), pa.ListArray.from_arrays(edges, pa.array(at.ravel()))],
-                    names=["curve", "key", "vec_id", "vector", "at"],
-                )
+            for k, _, keys in layout.places(batch.column("vector")) if len(batch) else ():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k, dtype=np.int32)), pa.array(keys)], names=["curve", "key"])
 
-    return rows.mapInArrow(run, "curve int, key long, vec_id long, vector array<double>, at array<double>")
+    share = [i / blocks for i in range(1, blocks)]
+    found = rows.select("vector").mapInArrow(run, "curve int, key long").groupBy("curve").agg(F.percentile_approx("key", share, 100 * blocks).alias("cuts")).collect()
+    edges = {r["curve"]: sorted(set(r["cuts"])) for r in found}
+    layout.cuts = [np.array(edges[k], dtype=np.int64) for k in range(layout.curves)]
 
 
-def _bounds(rows: DataFrame, length: int, curves: int) -> tuple[np.ndarray, np.ndarray]:
-    """Least and greatest projection on every direction of every curve."""
+def _boxes(rows: DataFrame, layout: Layout) -> DataFrame:
+    """``curve, block, n, low0, high0, ...`` of every block."""
+    sides = [f"{side}{i}" for side in ("low", "high") for i in range(layout.dims)]
 
     def run(batches):
-        planes = np.concatenate([directions(length, k)[0] for k in range(curves)], axis=1)
         for batch in batches:
-            at = _matrix(batch.column("vector"), length) @ planes
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at.shape[1], dtype=np.int32)), pa.array(at.min(axis=0)), pa.array(at.max(axis=0))], names=["place", "low", "high"])
+            for k, at, block in layout.blocks(batch.column("vector")) if len(batch) else ():
+                order = np.argsort(block, kind="stable")
+                first = np.flatnonzero(np.r_[True, np.diff(block[order]) != 0])
+                low, high = (f.reduceat(at[order], first, axis=0) for f in (np.minimum, np.maximum))
+                count = np.diff(np.r_[first, len(block)])
+                numbers = [np.full(len(first), k, dtype=np.int32), block[order][first], count]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*numbers, *low.T, *high.T)], names=["curve", "block", "n", *sides])
 
-    found = rows.select("vector").mapInArrow(run, "place int, low double, high double").groupBy("place").agg(F.min("low"), F.max("high")).orderBy("place").collect()
-    return np.array([r[1] for r in found]).reshape(curves, -1), np.array([r[2] for r in found]).reshape(curves, -1)
+    schema = "curve int, block long, n long, " + ", ".join(f"{x} double" for x in sides)
+    part = rows.select("vector").mapInArrow(run, schema).groupBy("curve", "block")
+    return part.agg(F.sum("n").alias("n"), *[(F.min if x.startswith("low") else F.max)(x).alias(x) for x in sides])
+
+
+def _placed(rows: DataFrame, layout: Layout, curves: int) -> DataFrame:
+    """``curve, block, vec_id, vector, at`` of each row on the first ``curves`` curves; ``at`` is its projection."""
+    kind = rows.schema["vector"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for k, at, block in layout.blocks(batch.column("vector")) if len(batch) else ():
+                if k == curves:
+                    break
+                edges = pa.array(np.arange(len(at) + 1, dtype=np.int32) * at.shape[1])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(at), k, dtype=np.int32)), pa.array(block), batch.column("vec_id"), batch.column("vector"), pa.ListArray.from_arrays(edges, pa.array(at.ravel()))],
+                    names=["curve", "block", "vec_id", "vector", "at"],
+                )
+
+    return rows.mapInArrow(run, f"curve int, block long, vec_id long, vector {kind}, at array<double>")
 
 
 def _nearest(rows: DataFrame, asked: DataFrame, keys: list[str], length: int, k: int) -> DataFrame:
@@ -140,7 +207,7 @@ def _nearest(rows: DataFrame, asked: DataFrame, keys: list[str], length: int, k:
         empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         if not len(left) or not len(right):
             return empty
-        points, ids = np.stack(left["vector"]), left["vec_id"].to_numpy()
+        points, ids = np.stack(left["vector"]).astype(np.float64), left["vec_id"].to_numpy()
         out = [[], [], []]
         for query, vector in zip(right["vec_id"].to_numpy(), right["vector"], strict=True):
             # A running sum adds the components in their order, whatever the block's size.
@@ -173,32 +240,18 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id
     if first is None:
         return rows.sparkSession.createDataFrame([], schema)
     length = len(first["vector"])
-    low, high = _bounds(rows, length, CURVES)
-    keyed = c.stored(_keyed(rows, length, low, high, CURVES))
-    total = rows.count()
-    blocks = int(min(MOST_BLOCKS, max(1, total // BLOCK_ROWS)))
-    # Block edges of the curves: at most CURVES * MOST_BLOCKS numbers.
-    share = [i / blocks for i in range(1, blocks)]
-    cuts = {r["curve"]: sorted(set(r["cuts"] or [])) for r in keyed.groupBy("curve").agg((F.percentile_approx("key", share, 100 * blocks) if share else F.array().cast("array<long>")).alias("cuts")).collect()}
-    shared = rows.sparkSession.sparkContext.broadcast([np.array(cuts[i], dtype=np.int64) for i in range(CURVES)])
-
-    def block_of(curve: pd.Series, key: pd.Series) -> pd.Series:
-        out = np.zeros(len(key), dtype=np.int64)
-        for i, edges in enumerate(shared.value):
-            mine = (curve == i).to_numpy()
-            out[mine] = np.searchsorted(edges, key.to_numpy()[mine], side="right")
-        return pd.Series(out)
-
+    layout = Layout(length, CURVES)
+    _measure(rows, layout)
+    _cut(rows, layout, int(min(MOST_BLOCKS, max(1, rows.count() // BLOCK_ROWS))))
+    sizes = c.stored(_boxes(rows, layout))
     # A block of one key that many vectors share is cut by ids.
-    placed = c.stored(keyed.withColumn("block", F.pandas_udf(block_of, "long")("curve", "key")))
-    sizes = c.stored(placed.groupBy("curve", "block").agg(F.count("*").alias("n"), *[F.min(F.col("at")[i]).alias(f"low{i}") for i in range(low.shape[1])], *[F.max(F.col("at")[i]).alias(f"high{i}") for i in range(low.shape[1])]))
     parts = sizes.select("curve", "block", F.ceil(F.col("n") / (2 * BLOCK_ROWS)).alias("parts"))
     side = F.broadcast(parts)  # at most CURVES * (MOST_BLOCKS + 1) rows
-    dealt = placed.join(side, ["curve", "block"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts"))
 
-    queries = placed.filter(is_query)
-    one = queries.groupBy("vec_id").agg(F.min("vector").alias("one"))
-    queries = c.stored(queries.join(one, "vec_id").filter("vector = one").dropDuplicates(["curve", "vec_id"]).select("curve", "block", "vec_id", "vector", "at"))
+    def dealt(curves: int) -> DataFrame:
+        return _placed(rows, layout, curves).join(side, ["curve", "block"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts"))
+
+    queries = c.stored(_placed(rows.filter(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector")), layout, CURVES))
     near = queries.select("curve", F.explode(F.array(*[F.col("block") + i for i in range(-WINDOW, WINDOW + 1)])).alias("block"), "vec_id", "vector")
     chunk = F.pmod(F.xxhash64("vec_id"), F.lit(1 + queries.filter("curve = 0").count() // QUERY_ROWS))
     keys = ["curve", "block", "part", "chunk"]
@@ -209,18 +262,18 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id
         held = some.select("curve", "block", "part", "vec_id", "vector").join(wanted, ["curve", "block", "part"])
         return _nearest(held, asked.select(*keys, "vec_id", "vector"), keys, length, k)
 
-    found = c.stored(meet(near, dealt))
+    found = c.stored(meet(near, dealt(CURVES)))
     # The same row may be found on several curves.
     best = _best(found.distinct(), k)
     if complete:
         best = c.stored(best)
         reach = F.when(F.size("near") == k, F.element_at("near", -1)["score"]).otherwise(float("inf"))
         home = queries.filter("curve = 0").join(best.select(F.col("query_id").alias("vec_id"), reach.alias("reach")), "vec_id", "left")
-        gap = sum((F.greatest(F.lit(0.0), F.col(f"low{i}") - F.col("at")[i], F.col("at")[i] - F.col(f"high{i}")) ** 2 for i in range(low.shape[1])), F.lit(0.0))
+        gap = sum((F.greatest(F.lit(0.0), F.col(f"low{i}") - F.col("at")[i], F.col("at")[i] - F.col(f"high{i}")) ** 2 for i in range(layout.dims)), F.lit(0.0))
         boxes = sizes.filter("curve = 0").withColumnRenamed("block", "box").drop("curve", "n")
         # Rounding never makes a box seem too far. Blocks of the windows have been looked at.
         left = home.join(F.broadcast(boxes), (F.sqrt(gap) <= F.coalesce("reach", F.lit(float("inf"))) * (1 + 1e-9) + 1e-12) & (F.abs(F.col("box") - F.col("block")) > WINDOW))
-        more = meet(left.select("curve", F.col("box").alias("block"), "vec_id", "vector"), dealt.filter("curve = 0"))
+        more = meet(left.select("curve", F.col("box").alias("block"), "vec_id", "vector"), dealt(1))
         best = _best(found.union(more).distinct(), k)
     ranked = best.select("query_id", F.posexplode("near").alias("at", "hit"))
     return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
