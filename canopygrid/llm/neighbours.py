@@ -258,7 +258,8 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id
 
     def meet(asked: DataFrame, some: DataFrame) -> DataFrame:
         asked = asked.withColumn("chunk", chunk).join(side, ["curve", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        wanted = asked.select(*[F.col(x).alias(x) for x in keys]).distinct()
+        wanted = c.stored(asked.select(*[F.col(x).alias(x) for x in keys]).distinct())
+        wanted = F.broadcast(wanted) if c.fits_broadcast(wanted) else wanted
         held = some.select("curve", "block", "part", "vec_id", "vector").join(wanted, ["curve", "block", "part"])
         return _nearest(held, asked.select(*keys, "vec_id", "vector"), keys, length, k)
 
