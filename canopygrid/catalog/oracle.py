@@ -85,21 +85,31 @@ TABLES: dict[str, str] = {
     "acalr": "SELECT *, CASE WHEN risk_class > 0 THEN risk_class * 1000 + division END AS region_id FROM acal",
     "acnfr": "SELECT *, CASE WHEN risk_class > 0 THEN risk_class * 1000 + division END AS region_id FROM acnf",
     "avpr": "SELECT *, CASE WHEN risk_class > 0 THEN risk_class * 1000 + division END AS region_id FROM avp",
-    # A gap: fitted on the fine regions of CNF, wanted for those of CAL.
-    "gapfit": """SELECT region_id, count(*) FILTER (t2t3_deforestation = 1) AS defor_px, count(*) AS area_px,
-  count(*) FILTER (t2t3_deforestation = 1) / CAST(count(*) AS DOUBLE) AS rel_freq
-  FROM acnfr WHERE n = 254 AND region_id IS NOT NULL GROUP BY region_id""",
-    "gapmiss": """SELECT DISTINCT region_id FROM acalr WHERE n = 254 AND region_id IS NOT NULL
-  AND region_id NOT IN (SELECT region_id FROM gapfit)""",
-    "gapzones": """SELECT region_id // 1000 AS zone, sum(area_px * rel_freq) AS zone_defor, sum(area_px) AS zone_area,
-  sum(area_px * rel_freq) / sum(area_px) AS zone_freq FROM gapfit
-  WHERE region_id // 1000 IN (SELECT region_id // 1000 FROM gapmiss) GROUP BY 1""",
-    "gapfull": """SELECT region_id, defor_px, area_px, rel_freq, false AS imputed FROM gapfit UNION ALL
-  SELECT region_id, CAST(round(coalesce(zone_defor, 0)) AS BIGINT), CAST(coalesce(zone_area, 0) AS BIGINT),
-  coalesce(zone_freq, 0.0), true FROM gapmiss LEFT JOIN gapzones ON zone = region_id // 1000""",
 }
 
 
+def gap_tables(name: str, fit: str, loss: str, wanted: str) -> dict[str, str]:
+    """Fine regions fitted on ``fit`` and wanted for ``wanted``: fitted rows, missing ones, zone averages, all rows."""
+    return {
+        f"{name}fit": f"""SELECT region_id, count(*) FILTER ({loss} = 1) AS defor_px, count(*) AS area_px,
+  count(*) FILTER ({loss} = 1) / CAST(count(*) AS DOUBLE) AS rel_freq
+  FROM {fit} WHERE n = 254 AND region_id IS NOT NULL GROUP BY region_id""",
+        f"{name}miss": f"""SELECT DISTINCT region_id FROM {wanted} WHERE n = 254 AND region_id IS NOT NULL
+  AND region_id NOT IN (SELECT region_id FROM {name}fit)""",
+        f"{name}zones": f"""SELECT region_id // 1000 AS zone, sum(area_px * rel_freq) AS zone_defor, sum(area_px) AS zone_area,
+  sum(area_px * rel_freq) / sum(area_px) AS zone_freq FROM {name}fit
+  WHERE region_id // 1000 IN (SELECT region_id // 1000 FROM {name}miss) GROUP BY 1""",
+        f"{name}full": f"""SELECT region_id, defor_px, area_px, rel_freq, false AS imputed FROM {name}fit UNION ALL
+  SELECT region_id, CAST(round(coalesce(zone_defor, 0)) AS BIGINT), CAST(coalesce(zone_area, 0) AS BIGINT),
+  coalesce(zone_freq, 0.0), true FROM {name}miss LEFT JOIN {name}zones ON zone = region_id // 1000""",
+    }
+
+
+# A gap: fitted on the fine regions of CNF, wanted for those of CAL; and the other way round.
+TABLES |= gap_tables("gap", "acnfr", "t2t3_deforestation", "acalr")
+TABLES |= gap_tables("stage", "acalr", "t1t2_deforestation", "acnfr")
+
+
 def adjustment_tables(prefix: str, counts: str, total: str) -> dict[str, str]:
     """Five unrolled rounds of the capped rescaling over a region table.
 
@@ -503,6 +513,14 @@ BODIES: dict[str, str] = {
   SELECT 'HRP', count(*), CAST(sum(area_px) AS BIGINT), round(sum(area_px * rel_freq * {HA}), 5) FROM afh UNION ALL
   SELECT 'CNF', count(*), CAST(sum(n_px) AS BIGINT), round(sum(n_px * d), 5) FROM ax5 UNION ALL
   SELECT 'VP', count(*), CAST(sum(n_px) AS BIGINT), round(sum(n_px * d) / 10, 5) FROM ay5""",
+    "stored_layer": f"SELECT {POSITION}, CASE WHEN fcbm >= 6 THEN division END AS value FROM px",
+    "stored_frequency": """SELECT 'testing' AS stage, 0 AS revision, region_id, defor_px, area_px, round(rel_freq, 6) AS rel_freq, false AS imputed
+  FROM stagefit UNION ALL SELECT 'testing', 1, region_id, defor_px, area_px, round(rel_freq, 6), imputed FROM stagefull""",
+    "staged_unseen_zones": """SELECT DISTINCT region_id // 1000 AS zone FROM stagemiss
+  WHERE region_id // 1000 NOT IN (SELECT region_id // 1000 FROM stagefit)""",
+    "stored_threshold": "SELECT bin, n, round(cum_share, 6) AS cum_share, (SELECT nrt FROM nrt) AS nrt FROM cums",
+    "exported_cells": """SELECT cell_id, cell_r, cell_c, round(area_ha, 6) AS area_ha, round(actual_ha, 6) AS actual_ha,
+  round(pred_ha, 6) AS pred_ha, round(residual_ha, 6) AS residual_ha, '01_demo_cells_v2.csv' AS file FROM cells""",
 }
 
 # Allocation with isolated pixels removed: score > 0 first, then opening.

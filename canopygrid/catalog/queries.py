@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from canopygrid.catalog import bindings as data
 from canopygrid.functions import algebra, scalars
-from canopygrid.lineage import cut, materialise
+from canopygrid.lineage import cut, materialise, scratch_path
 from canopygrid.operators import adjust as adj
 from canopygrid.operators import allocate as alloc
 from canopygrid.operators import cells as cel
@@ -31,6 +31,7 @@ from canopygrid.operators.rasterize import rasterize_divisions
 from canopygrid.plans import phases as ph
 from canopygrid.plans import run as runs
 from canopygrid.sources import pixels as src
+from canopygrid.sources.results import ResultStore, named, write_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -811,3 +812,57 @@ def workflow_benchmark(spark, sf_dir):
 def workflow_alternative(spark, sf_dir):
     """All four phases of the alternative model."""
     return workflow(spark, sf_dir, "alternative", "ALT")
+
+
+# Stored layers and results, read back
+
+
+@query
+def stored_layer(spark, sf_dir):
+    """The divisions of lost pixels, written as a layer file and read back."""
+    base = data.layers(spark, sf_dir).withColumn("value", F.when(F.col("fcbm") >= 6, F.col("division")))
+    path = scratch_path(spark, "layer")
+    src.write_layer(base, path, "value", "uint8")
+    return src.read_layer(spark, path, nodata=src.sentinel("uint8"))
+
+
+def staged(spark: SparkSession, sf_dir: str, *stages: str) -> ResultStore:
+    """A store after the stages were run, each in a call of its own."""
+    store = ResultStore(spark, scratch_path(spark, "store"), project="demo", version="2")
+    base, grid = materialise(data.layers(spark, sf_dir)), data.grid_of(spark, sf_dir)
+    for stage in stages:
+        runs.run([stage], base, grid, ph.Params(n_classes=FINE), store)
+    return store
+
+
+@query
+def stored_frequency(spark, sf_dir):
+    """Both revisions of a table: as fitted, and with the regions that two equal predictions found missing."""
+    store = staged(spark, sf_dir, "ALT Calibration (CAL)", *["ALT Confirmation (CNF)"] * 2)
+    out = store.overview("frequency").filter("project = 'demo' AND model = 'alternative' AND phase = 'CAL'")
+    return rounded(out.select("stage", "revision", "region_id", "defor_px", "area_px", "rel_freq", "imputed"), "rel_freq")
+
+
+@query
+def staged_unseen_zones(spark, sf_dir):
+    """Zones that fitting never saw, as a repeated prediction reports them."""
+    store = staged(spark, sf_dir, "ALT Calibration (CAL)", *["ALT Confirmation (CNF)"] * 2)
+    return store.read("unseen_zones", "alternative", "CNF")
+
+
+@query
+def stored_threshold(spark, sf_dir):
+    """The risk threshold of one call, as a later call reads it, with the histogram beside it."""
+    store = staged(spark, sf_dir, "BCM Calibration (CAL)")
+    bins = store.read("distance_histogram", "benchmark", "CAL")
+    return rounded(bins.select("bin", "n", "cum_share", F.lit(store.read_threshold()).alias("nrt")), "cum_share")
+
+
+@query
+def exported_cells(spark, sf_dir):
+    """Evaluation cells exported as CSV under the project's name and read back."""
+    path = f"{scratch_path(spark, 'export')}/{named('01_cells.csv', 'demo', '2')}"
+    cells = evaluation_cells(spark, sf_dir)
+    write_csv(cells, path)
+    back = spark.read.option("header", True).schema(cells.schema).csv(path)
+    return back.withColumn("file", F.element_at(F.split(F.lit(path), "/"), -1))
