@@ -107,7 +107,10 @@ def gap_tables(name: str, fit: str, loss: str, wanted: str) -> dict[str, str]:
 
 # A gap: fitted on the fine regions of CNF, wanted for those of CAL; and the other way round.
 TABLES |= gap_tables("gap", "acnfr", "t2t3_deforestation", "acalr")
-TABLES |= gap_tables("stage", "acalr", "t1t2_deforestation", "acnfr")
+for period, name, potential in ((1, "swapfit", "v_cnf"), (2, "swapwant", "v_cal")):
+    TABLES[name] = f"""SELECT n, d.*, e.class * 1000 + division AS region_id FROM resc d
+  JOIN aedges e ON {potential} >= e."lower" AND {potential} < e."upper" WHERE t{period}_forest = 1"""
+TABLES |= gap_tables("stage", "swapfit", "t1t2_deforestation", "swapwant")
 
 
 def adjustment_tables(prefix: str, counts: str, total: str) -> dict[str, str]:
