@@ -33,6 +33,11 @@ HEADLINE = [
     "rasterized_divisions",
     "decimal_years",
     "workflow_benchmark",
+    "workflow_alternative",
+    "evaluation_stage",
+    "euclidean_distance_tiled",
+    "top_pixels_per_division",
+    "median_and_slope_distributed",
 ]
 
 
