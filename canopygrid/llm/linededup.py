@@ -2,18 +2,27 @@
 
 A line's words are its runs without white space; a word with a digit is a variable
 field.  The tree has a fixed depth: the number of words, then the first ``LEAD``
-words.  In a leaf, equal lines are one template, and so are lines of at least
-``GENERAL_WORDS`` words that agree at all even or at all odd places, directly or
-through other lines: the places where they differ are variable fields.  A template recurs
-when lines of it stand in at least ``MIN_DOCS`` different texts (exact copies of a
-document count once).  Lines shorter than ``MIN_WORDS`` words never go.
+words.  In a leaf, equal lines are one template, and so are lines that agree at no
+less than ``SHARE`` tenths of their places, or (from ``GENERAL_WORDS`` words on) at all even or at
+all odd places, directly or through other lines: the places where they differ are
+variable fields.  A template recurs when lines of it stand in at least ``MIN_DOCS``
+different texts (exact copies of a document count once).  Lines shorter than
+``MIN_WORDS`` words never go.
+
+No pair that agrees so far is lost: of ``n`` places at most ``d = n * (10 - SHARE) // 10``
+differ, so with the places after the lead dealt into ``d + 1`` parts, one part is equal.
+Lines that share a part are candidates, and equal places are counted.  Each line is
+compared with one other first (the smallest of the part-groups that it meets most);
+then lines of a part-group that are still in different components are
+compared in blocks of bounded size, those outside the group's largest component with all.
 
 Of a recurring template, only the document with the smallest id keeps its lines, each
 once; all its other lines are dropped.  A document stays, even with no line left.
 
 All counts cover all lines, as 64-bit hashes: one scan finds them, leaves with too few
 documents go at once, templates are components of links between lines, and a
-second scan removes the lines.
+last scan removes the lines.  A scan between them makes the words of the lines of
+leaves with different lines, and nothing else.
 
 Edge cases: a null text stays null; an empty one empty; lines end at ``\\n`` only;
 a template without any id loses all its lines; repeated rows are copies; other
@@ -34,6 +43,10 @@ MIN_DOCS = 5
 MIN_WORDS = 3
 GENERAL_WORDS = 8
 LEAD = 3
+#: Tenths of a line's places that two lines of one template have equal.
+SHARE = 7
+#: Lines, and words of lines, of one side of a comparison in one task, at most (a longer line is alone).
+BLOCK_LINES, BLOCK_WORDS = 4096, 1 << 20
 _SPACE = c.byte_set((9, 13), (32, 32))
 _DIGIT = c.byte_set((48, 57))
 _VARIABLE = np.uint64(0x2545F4914F6CDD1D)
@@ -50,6 +63,7 @@ class Lines:
         words = hasher.ranges(w_starts, w_ends)
         digits = np.r_[0, np.cumsum(_DIGIT[data])]
         words[digits[w_ends] > digits[w_starts]] = _VARIABLE
+        self.words = words
         edges = np.searchsorted(w_starts, np.r_[self.starts, len(data)])
         # White space other than a blank may end a line's last word at the same place as the line.
         self.first, self.count = edges[:-1], np.diff(edges)
@@ -96,9 +110,113 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("copy")).mapInArrow(run, f"doc_id {kind}, copy long, leaf long, line long, even long, odd long")
 
 
-def recurring(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``line, template, n_docs, keeper`` of every line of a recurring template."""
-    leaves = lines.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("leaf")
+def _words(docs: DataFrame, leaves: DataFrame) -> DataFrame:
+    """``leaf, line, words`` of the distinct lines of some leaves."""
+    few = c.fits_broadcast(leaves)
+    shared = docs.sparkSession.sparkContext.broadcast(np.sort(leaves.select("leaf").toArrow().column(0).to_numpy()) if few else None)
+
+    def run(batches):
+        wanted = shared.value
+        for batch in batches:
+            for _, _, data, offsets in c.text_blocks(batch.column("text")):
+                found = Lines(data, offsets)
+                line, at = np.unique(found.line.view(np.int64), return_index=True)
+                leaf = found.leaf[at].view(np.int64)
+                if wanted is not None:
+                    some = c.among(leaf, wanted)
+                    line, leaf, at = line[some], leaf[some], at[some]
+                first, count = found.first[found.long][at], found.count[found.long][at]
+                words = pa.array([found.words[i : i + n].tobytes() for i, n in zip(first.tolist(), count.tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(line), words], names=["leaf", "line", "words"])
+
+    found = docs.select("text").mapInArrow(run, "leaf long, line long, words binary")
+    return (found if few else found.join(leaves, "leaf", "left_semi")).dropDuplicates(["line"])
+
+
+def parts(words: np.ndarray, leaf: int) -> np.ndarray:
+    """One number for each part of the places after the lead."""
+    tail = words[LEAD:]
+    most = len(words) * (10 - SHARE) // 10 + 1
+    padded = np.zeros(-(-len(tail) // most) * most, dtype=np.uint64)
+    padded[: len(tail)] = c.mix(tail + np.arange(1, len(tail) + 1, dtype=np.uint64) * _VARIABLE)
+    sums = padded.reshape(-1, most).sum(axis=0, dtype=np.uint64)
+    return c.mix(sums + c.mix(np.arange(most, dtype=np.uint64) + np.array([leaf], dtype=np.int64).view(np.uint64)))
+
+
+def _members(lines: DataFrame) -> DataFrame:
+    """``part, line, n_words`` of ``leaf, line, words``."""
+
+    def run(batches):
+        for batch in batches:
+            found = [parts(np.frombuffer(w, dtype=np.uint64), leaf) for leaf, w in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            at = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            size = np.array([len(w) // 8 for w in batch.column(2).to_pylist()], dtype=np.int64)
+            every = np.concatenate(found).view(np.int64) if found else np.zeros(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(every), batch.column(1).take(pa.array(at)), pa.array(size[at])], names=["part", "line", "n_words"])
+
+    return lines.select("leaf", "line", "words").mapInArrow(run, "part long, line long, n_words long")
+
+
+def _alike(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The ``src, dst`` pairs of lines with enough equal places."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                keep.append(len(a) == len(b) and 10 * int((a == b).sum()) >= SHARE * len(a))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+
+    left = lines.select(F.col("line").alias("src"), F.col("words").alias("x"))
+    right = lines.select(F.col("line").alias("dst"), F.col("words").alias("y"))
+    return pairs.join(left, "src").join(right, "dst").select("src", "dst", "x", "y").mapInArrow(run, "src long, dst long")
+
+
+def _across(members: DataFrame, lines: DataFrame, roots: DataFrame) -> DataFrame:
+    """``src, dst`` links of lines of a part-group that have different roots, one for each line and root at least."""
+    named = members.join(roots.select(F.col("node").alias("line"), "root"), "line", "left").withColumn("root", F.coalesce("root", "line"))
+    sizes = named.groupBy("part", "root").agg(F.count("*").alias("n"), F.first("n_words").alias("n_words"))
+    groups = sizes.groupBy("part").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("n_roots"), F.first("n_words").alias("n_words")).filter("n_roots > 1")
+    block = F.greatest(F.lit(1), F.least(F.lit(BLOCK_LINES), F.floor(F.lit(BLOCK_WORDS) / F.col("n_words"))))
+    open_ = groups.select("part", F.col("main.root").alias("main"), F.ceil((F.col("n") - F.col("main.n")) / block).alias("lefts"), F.ceil(F.col("n") / block).alias("rights"))
+    open_ = c.stored(open_)
+    dealt = c.stored(named.select("part", "line", "root").join(open_, "part"))
+    hashed = F.xxhash64("line")
+
+    def side(rows: DataFrame, is_left: bool) -> DataFrame:
+        mine, others = ("lefts", "rights") if is_left else ("rights", "lefts")
+        one, all_ = F.pmod(hashed, F.col(mine)).alias("one"), F.explode(F.sequence(F.lit(0).cast("long"), F.col(others).cast("long") - 1)).alias("other")
+        rows = rows.select("part", "line", "root", one, all_)
+        return rows.select("part", F.col("one" if is_left else "other").alias("left"), F.col("other" if is_left else "one").alias("right"), "line", "root", F.lit(is_left).alias("is_left"))
+
+    placed = side(dealt.filter("root <> main"), True).union(side(dealt, False)).join(lines.select("line", "words"), "line")
+    blocks = placed.groupBy("part", "left", "right").agg(F.collect_list(F.struct("line", "root", "is_left", "words")).alias("held"))
+
+    def run(batches):
+        for batch in batches:
+            found = [np.zeros((0, 2), dtype=np.int64)]
+            for held in batch.column(0):
+                held = held.values
+                line, root, is_left = (held.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                words = np.frombuffer(b"".join(held.field(3).to_pylist()), dtype=np.uint64).reshape(len(line), -1)
+                need = -(-SHARE * words.shape[1] // 10)
+                rights = np.flatnonzero(~is_left)
+                for i in np.flatnonzero(is_left).tolist():
+                    some = rights[root[rights] != root[i]]
+                    some = some[(words[some] == words[i]).sum(axis=1) >= need]
+                    some = some[np.unique(root[some], return_index=True)[1]]
+                    found.append(np.c_[np.full(len(some), line[i]), line[some]])
+            every = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(every[:, 0]), pa.array(every[:, 1])], names=["src", "dst"])
+
+    return blocks.select("held").mapInArrow(run, "src long, dst long").dropDuplicates()
+
+
+def recurring(docs: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``line, template, n_docs, keeper`` of every line of a recurring template; ``lines`` are those of ``docs``."""
+    leaves = lines.groupBy("leaf").agg(F.count("*").alias("n"), (F.min("line") < F.max("line")).alias("varied")).filter(F.col("n") >= min_docs)
+    leaves = c.stored(leaves.select("leaf", "varied"))
     # A hot line meets its leaf once for each task, not for each document.
     some = c.stored(lines.join(leaves, "leaf", "left_semi").select("line", "even", "odd", "copy", "doc_id"))
     kinds = some.select("line", "even", "odd").dropDuplicates(["line"])
@@ -107,7 +225,17 @@ def recurring(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
         low = kinds.groupBy(side).agg(F.min("line").alias("src"), F.count("*").alias("n")).filter("n > 1").select(side, "src")
         hung = kinds.join(low, side).select("src", F.col("line").alias("dst")).filter("src <> dst")
         links = hung if links is None else links.union(hung)
-    roots = components(links).select(F.col("node").alias("line"), F.col("root").alias("template"))
+    worded = c.stored(_words(docs, c.stored(leaves.filter("varied").select("leaf"))))
+    members = c.stored(_members(worded))
+    low = members.groupBy("part").agg(F.min("line").alias("src"), F.count("*").alias("n")).filter("n > 1").select("part", "src")
+    met = members.join(low, "part").select("src", F.col("line").alias("dst")).filter("src <> dst").groupBy("src", "dst").count()
+    first = met.groupBy("dst").agg(F.max(F.struct("count", "src")).alias("best")).select(F.col("best.src").alias("src"), "dst")
+    links = c.stored(links.union(_alike(first, worded)))
+    roots = components(links)
+    across = c.stored(_across(members, worded, roots))
+    if across.take(1):
+        roots = components(links.union(across))
+    roots = roots.select(F.col("node").alias("line"), F.col("root").alias("template"))
     named = some.join(roots, "line", "left").withColumn("template", F.coalesce("template", "line"))
     texts = named.groupBy("template", "copy").agg(F.min("doc_id").alias("keeper"))
     counted = texts.groupBy("template").agg(F.count("*").alias("n_docs"), F.min("keeper").alias("keeper")).filter(F.col("n_docs") >= min_docs)
@@ -117,7 +245,7 @@ def recurring(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 def _drops(docs: DataFrame, min_docs: int) -> DataFrame:
     """``__id, __copy, __gone, __once``: lines that go from a text, and lines that it keeps once."""
     lines = c.stored(_lines(docs))
-    found = c.stored(recurring(lines, min_docs))
+    found = c.stored(recurring(docs, lines, min_docs))
     hits = lines.select("line", "doc_id", "copy").join(found.select("line", "keeper"), "line")
     keeps = F.col("doc_id").eqNullSafe(F.col("keeper")) & F.col("doc_id").isNotNull()
     per_text = hits.groupBy(F.col("doc_id").alias("__id"), F.col("copy").alias("__copy"))
