@@ -11,8 +11,11 @@ interchangeable, so the plan is made on the histogram of lengths, which has at m
   pieces of another), least waste first, and uses a filling as often as the counts
   allow, or once.  A branch ends when its sequences and the least number that the
   rest needs (its total, or pieces of which no two fit together) reach the incumbent.
-* The search ends when a plan meets the lower bound, or after ``SEARCH_NODES`` steps
-  with the best plan so far; every plan places every piece.
+* A filling holds as many pieces as fit: one that the enumeration leaves open is
+  completed, largest pieces first.
+* The search ends when a plan meets the lower bound, or after ``DIVES`` steps for each
+  distinct length (``SEARCH_NODES`` at least; a way down to a first whole plan takes
+  more than one for each) with the best plan so far; every plan places every piece.
 
 Spark then numbers the pieces of each length, in salted groups of about
 ``GROUP_ROWS``, so a hot length is spread over tasks, and each number takes its place in the plan.
@@ -41,7 +44,8 @@ from canopygrid.llm import common as c
 
 CAPACITY = 4096
 SEPARATOR = 1
-SEARCH_NODES = 3000
+#: Steps of the search: at least, and for each distinct length.
+SEARCH_NODES, DIVES = 3000, 4
 #: Fillings tried for one piece, at most.
 WIDTH = 12
 #: Pieces of one length that one task numbers, about.
@@ -250,6 +254,23 @@ class Completion:
         self.goal = lower_bound(histogram, capacity)
         self.best = best_fit(histogram, capacity)
         self.least = sum(times for _, times in self.best)
+        #: Whole plans that the search found, each better than the one before.
+        self.completed = 0
+
+    def _filled(self, held: tuple[int, ...], room: int) -> tuple[int, ...]:
+        """``held`` with the largest pieces that still fit, until none does."""
+        out, left = list(held), room - sum(held)
+        top = left
+        while top > 0:
+            fits = np.flatnonzero(self.counts[1 : top + 1])
+            if not len(fits):
+                break
+            x = int(fits[-1]) + 1
+            more = min(left // x, int(self.counts[x]) - held.count(x))
+            out += [x] * max(more, 0)
+            left -= x * max(more, 0)
+            top = min(left, x - 1)
+        return tuple(sorted(out, reverse=True))
 
     def fillings(self, room: int) -> list[tuple[int, ...]]:
         """Undominated fillings of a room, least waste first, at most ``WIDTH``."""
@@ -281,6 +302,7 @@ class Completion:
                     continue
                 for x in options[-6:].tolist():
                     stack.append(((*held, int(x)), left - int(x)))
+        found = {self._filled(f, room) if sum(f) < room else f for f in found}
         kept = [f for f in found if all(self.counts[x] >= f.count(x) for x in f) and not any(_dominated(f, o) for o in found)]
         return sorted(kept, key=lambda f: (-sum(f), len(f), [-x for x in f]))[:WIDTH] or [()]
 
@@ -324,6 +346,7 @@ class Completion:
             used += times
             if left == 0:
                 self.best, self.least = list(path), used
+                self.completed += 1
                 if self.least == self.goal:
                     break
                 open_branches.append(iter(()))
@@ -332,12 +355,18 @@ class Completion:
         return self.best
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = SEARCH_NODES) -> Plan:
+def budget(histogram: dict[int, int]) -> int:
+    """Steps of the search; at most ``capacity`` lengths are distinct."""
+    return max(SEARCH_NODES, DIVES * len(histogram))
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int | None = None) -> Plan:
     """Sequences that hold every piece of the histogram."""
-    return Completion({k: v for k, v in histogram.items() if v > 0}, capacity, nodes).run()
+    histogram = {k: v for k, v in histogram.items() if v > 0}
+    return Completion(histogram, capacity, budget(histogram) if nodes is None else nodes).run()
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, nodes: int = SEARCH_NODES) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = CAPACITY, nodes: int | None = None) -> DataFrame:
     """Rows of ``parts`` (with ``doc_id, piece, length``) with ``sequence_id, offset``."""
     spark = parts.sparkSession
     parts = c.stored(parts)
