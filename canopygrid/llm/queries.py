@@ -43,7 +43,7 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shingle_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shingle_join.join(common.read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return shingle_join.component_ids(common.read(spark, sf_dir, "documents"))
 
 
 def chat_digests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -381,12 +381,8 @@ def _sets_at(docs: DataFrame, places: DataFrame, nodes: DataFrame, width: int) -
     return texts.mapInArrow(run, "node long, n long, shingles binary, sketch binary").dropDuplicates(["node"])
 
 
-def join(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``doc_id, n_shingles, component_id, n_links``.
-
-    ``n_links`` counts the verified links of the row's set with different sets (a lower
-    bound of all its links, enough to connect its component).
-    """
+def _joined(docs: DataFrame, width: int, id_col: str, text_col: str, with_links: bool) -> DataFrame:
+    """``doc_id, n_shingles, component_id``, and ``n_links`` if asked for."""
     spark = docs.sparkSession
     c.small_batches(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -416,13 +412,39 @@ def join(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col:
     links = c.stored(links.union(more).dropDuplicates())
     roots = components(links)
 
-    ends = links.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    known = sets.join(roots, "node", "left").join(ends, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = known.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return known.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    known_roots = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = known_roots.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = known_roots.join(least, "root", "left")
+    columns = ["doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")]
+    if not with_links:
+        return named.select(*columns)
+
+    # Every pair of a group that sizes and sketches allow, as if each node were a component of its own.
+    alone = sketches.select("node", F.col("node").alias("root"), "n", "sketch")
+    every = _verified(_close_pairs(groups, alone), docs, places, width)
+    copies = sets.filter("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"))
+    both = every.select(F.col("src").alias("near"), F.col("dst").alias("node")).union(every.select(F.col("dst").alias("near"), F.col("src").alias("node")))
+    ends = both.join(copies.withColumnRenamed("node", "near"), "near").groupBy("node").agg(F.sum("copies").alias("others"))
+    counted = named.join(copies, "node", "left").join(ends, "node", "left")
+    return counted.select(*columns, (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+
+
+def component_ids(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: ``doc_id, n_shingles, component_id``."""
+    return _joined(docs, width, id_col, text_col, False)
+
+
+def join(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: ``doc_id, n_shingles, component_id, n_links``.
+
+    ``n_links`` counts the other rows that the row links with, rows of an equal set among
+    them.  All pairs that share a signature and pass sizes and sketches are verified for
+    it, so it costs the square of the different sets of a group; ``component_ids`` does not.
+    """
+    return _joined(docs, width, id_col, text_col, True)
 
 
 def deduplicated(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` without the documents that link, directly or not, to one with a smaller id; rows without an id stay."""
-    found = join(docs, width, id_col, text_col)
+    found = component_ids(docs, width, id_col, text_col)
     return c.without_ids(docs, c.stored(found.filter("doc_id <> component_id").select("doc_id").distinct()), id_col)
