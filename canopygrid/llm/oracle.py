@@ -72,10 +72,35 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM docs LEFT JOIN marked USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+SPELLING = f"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce(range(8), lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, i) ORDER BY i) AS t FROM range(256) x(i)),
+occurrences AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[a-z\u00C0-\u00FF]+')) AS run FROM documents),
+counted AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS name, run, count(*) AS k FROM occurrences WHERE length(run) >= 6 GROUP BY ALL),
+hashed AS (
+  SELECT run, k, xor(list_reduce(flatten(list_transform(string_split(name, ''), lambda ch: CASE WHEN unicode(ch) < 128 THEN [unicode(ch)] ELSE [195, unicode(ch) - 64] END)),
+    lambda r, b: xor(r >> 8, t[1 + (xor(r, b) & 255)]), 4294967295), 4294967295) AS h FROM counted, crc_table),
+words AS (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (SELECT k, CASE WHEN h % 199 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+cut AS (SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM words a JOIN cut b ON b.rest = a.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, min({{'n': -n, 'word': other}}) AS top FROM near GROUP BY word),
+formed AS (
+  SELECT word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -top.n >= 5 * w.n THEN top.word END AS form, CASE WHEN -top.n >= 5 * w.n THEN -top.n END AS form_n
+  FROM words w LEFT JOIN best USING (word)),
+steps AS (SELECT word, word AS at FROM formed UNION ALL SELECT s.word, f.form FROM steps s JOIN formed f ON f.word = s.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, s.at AS root, f.n, f.n_near, f.form_n FROM steps s JOIN formed l ON l.word = s.at AND l.form IS NULL JOIN formed f ON f.word = s.word
+"""
+
 ORACLE = {
     "op4_approximate_nearest_neighbours": NEAREST,
     "op5_ngram_jaccard_join": COMPONENTS,
     "op6_chat_formatting": CHAT,
     "op7_url_filters": URLS,
     "op9_benchmark_decontamination": CONTAMINATION,
+    "op11_spelling_variant_grouping": SPELLING,
 }

@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopygrid.llm import chat, common, decontaminate, html_text, linededup, neighbours, packing, quality, shingle_join, toxicity, urls
+from canopygrid.llm import chat, common, decontaminate, html_text, linededup, neighbours, packing, quality, shingle_join, spelling, toxicity, urls
 
 
 def tokenizer(name: str) -> str:
@@ -71,6 +71,10 @@ def packed_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(common.read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")))
 
 
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(common.read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_classifier": quality_scores,
     "op2_toxicity": toxicity_scores,
@@ -82,4 +86,5 @@ QUERIES = {
     "op8_line_dedup": dropped_lines,
     "op9_benchmark_decontamination": contamination,
     "op10_best_fit_packing": packed_pieces,
+    "op11_spelling_variant_grouping": spelling_variants,
 }
