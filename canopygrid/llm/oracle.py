@@ -96,6 +96,62 @@ steps AS (SELECT word, word AS at FROM formed UNION ALL SELECT s.word, f.form FR
 SELECT f.word, f.form, s.at AS root, f.n, f.n_near, f.form_n FROM steps s JOIN formed l ON l.word = s.at AND l.form IS NULL JOIN formed f ON f.word = s.word
 """
 
+_ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _places(kind: str, pattern: str, keep: str) -> str:
+    """Matches of one pattern with their places, counted from the pieces between them."""
+    return f"""
+SELECT doc_id, doc, '{kind}' AS kind, hit, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a
+FROM (SELECT doc_id, doc, hits, gaps, unnest(hits) AS hit, generate_subscripts(hits, 1) AS i
+  FROM (SELECT doc_id, doc, regexp_extract_all(text, '{pattern}') AS hits, string_split_regex(text, '{pattern}') AS gaps FROM texts)) WHERE {keep}"""
+
+
+SECRETS = f"""
+WITH texts AS (SELECT row_number() OVER () AS doc, doc_id, coalesce(text, '') AS text FROM documents),
+base AS (
+  {_places("assign", _ASSIGN, "length(regexp_extract(hit, '" + _ASSIGN + "', 2)) >= 6")} UNION ALL
+  {_places("access", "AKIA[A-Z0-9]+", "length(hit) >= 20")} UNION ALL
+  {_places("hex", "[0-9a-f]+", "length(hit) >= 24")}),
+kinds(kind, k, w, bits) AS (VALUES ('assign', 0, 0, 0.0), ('access', 1, 0, 0.0), ('hex', 2, 0, 0.0), ('base64', 3, 20, 3.75), ('hexadecimal', 4, 20, 3.0), ('base32', 5, 24, 3.5)),
+candidates AS (
+  SELECT * FROM ({_places("base64", "[A-Za-z0-9+/_-]{20,}", "true")} UNION ALL {_places("hexadecimal", "[0-9A-Fa-f]{20,}", "true")} UNION ALL {_places("base32", "[A-Z2-7]{24,}", "true")})
+  WHERE NOT regexp_full_match(hit, '[A-Za-z/_+-]+|[0-9A-Fa-f]{{8}}-[0-9A-Fa-f]{{4}}-[0-9A-Fa-f]{{4}}-[0-9A-Fa-f]{{4}}-[0-9A-Fa-f]{{12}}')
+    AND NOT regexp_matches(lower(hit), 'example|sample|placeholder|changeme|dummy|xxxxxx|0123456789|abcdef')),
+windows AS (SELECT doc, kind, a, w, bits, hit, unnest(range(1, length(hit) - w + 2)) AS i FROM candidates JOIN kinds USING (kind)),
+letters AS (SELECT doc, kind, a, w, bits, i, ch, count(*) AS n FROM (SELECT *, unnest(string_split(hit[i:i + w - 1], '')) AS ch FROM windows) GROUP BY ALL),
+high AS (
+  SELECT doc, kind, a, w, i FROM letters GROUP BY ALL
+  HAVING sum(CAST(round(n * log2(n) * 1048576) AS BIGINT)) <= floor(any_value(w) * (log2(any_value(w)) - any_value(bits)) * 1048576)),
+opened AS (SELECT *, CASE WHEN i > lag(i) OVER s + w THEN 1 ELSE 0 END AS opens FROM high WINDOW s AS (PARTITION BY doc, kind, a ORDER BY i)),
+numbered AS (SELECT *, sum(opens) OVER (PARTITION BY doc, kind, a ORDER BY i) AS island FROM opened),
+added AS (SELECT doc, kind, a + min(i) - 1 AS a, a + max(i) - 1 + any_value(w) AS b FROM numbered GROUP BY doc, kind, numbered.a, island),
+based AS (SELECT doc, kind, a, a + length(hit) AS b FROM base),
+spans AS (SELECT * FROM based UNION ALL SELECT * FROM added x WHERE NOT EXISTS (SELECT 1 FROM based y WHERE y.doc = x.doc AND y.a <= x.a AND y.b >= x.b)),
+written AS (SELECT doc, kind, k, a, kind || ':' || CAST(a AS VARCHAR) || ':' || CAST(b AS VARCHAR) AS s FROM spans JOIN kinds USING (kind))
+SELECT any_value(doc_id) AS doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+  sha256(coalesce(string_agg(s, ',' ORDER BY a, k) FILTER (k < 3), '')) AS base_sha256, coalesce(string_agg(s, ',' ORDER BY a, k), '') AS spans
+FROM texts LEFT JOIN written USING (doc) GROUP BY doc
+"""
+
+COLLOCATIONS = f"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+placed AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM worded, range(1, 4) x(k))),
+f AS MATERIALIZED (SELECT lang, g, any_value(k) AS k, count(*) AS f FROM placed GROUP BY lang, g),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+found AS MATERIALIZED (SELECT lang, k, g, f AS a, string_split(g, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+cut AS (SELECT lang, k, g, a, cut_at, array_to_string(w[1:cut_at], ' ') AS left_part, array_to_string(w[cut_at + 1:], ' ') AS right_part FROM (SELECT *, unnest(range(1, k)) AS cut_at FROM found)),
+scored AS (
+  SELECT c.lang, c.k, c.g, a, cut_at, x.f AS l, y.f AS r, CAST((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM cut c JOIN f x ON x.lang = c.lang AND x.g = left_part JOIN f y ON y.lang = c.lang AND y.g = right_part),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut_at) = 1),
+inner_parts AS (SELECT lang, array_to_string(w[s:s + 1], ' ') AS g, max(a) AS longer FROM (SELECT *, unnest([1, 2]) AS s FROM found WHERE k = 3) GROUP BY ALL),
+kept AS (SELECT o.* FROM lowest o LEFT JOIN inner_parts i ON i.lang = o.lang AND i.g = o.g WHERE i.longer IS NULL OR 100 * i.longer < 50 * a),
+ranked AS (SELECT lang, g AS phrase, a, l, r, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 ORACLE = {
     "op4_approximate_nearest_neighbours": NEAREST,
     "op5_ngram_jaccard_join": COMPONENTS,
@@ -103,4 +159,6 @@ ORACLE = {
     "op7_url_filters": URLS,
     "op9_benchmark_decontamination": CONTAMINATION,
     "op11_spelling_variant_grouping": SPELLING,
+    "op12_secret_scans": SECRETS,
+    "op13_phrase_collocation_mining": COLLOCATIONS,
 }

@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopygrid.llm import chat, common, decontaminate, html_text, linededup, neighbours, packing, quality, shingle_join, spelling, toxicity, urls
+from canopygrid.llm import chat, collocations, common, decontaminate, html_text, linededup, neighbours, packing, quality, secrets, shingle_join, spelling, toxicity, urls
 
 
 def tokenizer(name: str) -> str:
@@ -75,6 +75,14 @@ def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group(common.read(spark, sf_dir, "documents"))
 
 
+def secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scan(common.read(spark, sf_dir, "documents")))
+
+
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(common.read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_classifier": quality_scores,
     "op2_toxicity": toxicity_scores,
@@ -87,4 +95,6 @@ QUERIES = {
     "op9_benchmark_decontamination": contamination,
     "op10_best_fit_packing": packed_pieces,
     "op11_spelling_variant_grouping": spelling_variants,
+    "op12_secret_scans": secret_spans,
+    "op13_phrase_collocation_mining": phrase_collocations,
 }
