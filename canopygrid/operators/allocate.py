@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from canopygrid.lineage import cut, materialise
 from canopygrid.operators.opening import opened_pixels, stratum_key
-from canopygrid.operators.ranking import RANK_LIMIT, at_or_before, cut_keys, small_side
+from canopygrid.operators.ranking import at_or_before, cut_keys
 
 # Guard against float noise just above a whole number of pixels.
 EPSILON_PX = 1e-9
@@ -86,7 +86,6 @@ def allocate(
     etp: str | None = None,
     kernel: int | None = None,
     cover: str = "lulc",
-    limit: int = RANK_LIMIT,
 ) -> Allocation:
     """Two passes: top pixels per (area, region), then the area's deficit from its leftovers.
 
@@ -106,17 +105,16 @@ def allocate(
     if "_alive" in flagged.columns:
         narrow = materialise(narrow)
 
-    first = cut_keys(narrow, ["area", "region"], score, targets, "target_px", limit)
-    n_first = first.count()
+    first = cut_keys(narrow, ["area", "region"], score, targets, "target_px")
     report = cut(first_pass_report(targets, first, pixel_ha))
     cuts = first.select("area", "region", *[F.col(f"cut{i}").alias(f"first{i}") for i in range(3)])
     leftover = (
-        narrow.join(small_side(cuts, n_first), ["area", "region"], "left")
+        narrow.join(cuts, ["area", "region"], "left")
         .filter(~at_or_before(score, "first"))
         .select(narrow.columns)
     )
     deficits = cut(area_deficits(report, pixel_ha))
-    second = cut_keys(leftover, ["area"], score, deficits, "deficit_px", limit)
+    second = cut_keys(leftover, ["area"], score, deficits, "deficit_px")
     again = second.select("area", *[F.col(f"cut{i}").alias(f"second{i}") for i in range(3)])
 
     usable = F.col(cover).isin(*forest_classes) & (F.col(score) > 0) & ~F.isnan(F.col(score).cast("double"))
@@ -125,8 +123,8 @@ def allocate(
     taken_first = F.coalesce(usable, F.lit(False)) & at_or_before(score, "first")
     taken_second = F.coalesce(usable, F.lit(False)) & ~taken_first & at_or_before(score, "second")
     out = (
-        flagged.join(small_side(cuts, n_first), ["area", "region"], "left")
-        .join(small_side(again, second.count()), ["area"], "left")
+        flagged.join(cuts, ["area", "region"], "left")
+        .join(again, ["area"], "left")
         .withColumn("first_pass", taken_first.cast("int"))
         .withColumn("allocated", (taken_first | taken_second).cast("int"))
         .withColumn("modified_lulc", F.when(F.col("allocated") == 1, F.lit(non_forest_class)).otherwise(F.col(cover)))

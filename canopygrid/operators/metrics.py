@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopygrid.operators.order_stats import exact_median, theil_sen_slope
+from canopygrid.operators.order_stats import exact_medians, theil_sen_slope
 
 # Hectares below which both sides of a cell count as empty.
 SAMPLE_FLOOR_HA = 0.01
@@ -24,17 +24,12 @@ def regression_sample(cells: DataFrame) -> DataFrame:
     return cells.filter(valid | (n_valid < 2))
 
 
-def theil_sen(sample: DataFrame, n: int) -> tuple[float | None, float | None]:
-    """Slope and intercept: median pair slope, ``med(y) - slope * med(x)``."""
-    slope = theil_sen_slope(sample, n, "actual_ha", "pred_ha")
-    if slope is None:
-        return None, None
-    return slope, exact_median(sample, "pred_ha") - slope * exact_median(sample, "actual_ha")
-
-
-def median_abs_error(sample: DataFrame) -> float:
-    """Median of ``|actual - predicted|``."""
-    return exact_median(sample.select(F.abs(F.col("actual_ha") - F.col("pred_ha")).alias("e")), "e")
+def robust_line(sample: DataFrame) -> tuple[float | None, float | None, float | None]:
+    """Median of ``|actual - predicted|``, then the Theil-Sen line: median slope of pairs, ``med(y) - slope * med(x)``."""
+    x, y = F.col("actual_ha"), F.col("pred_ha")
+    medians = exact_medians(sample, {"error": F.abs(x - y), "x": x, "y": y})
+    slope = theil_sen_slope(sample, "actual_ha", "pred_ha")
+    return medians["error"], slope, None if slope is None else medians["y"] - slope * medians["x"]
 
 
 def evaluation_metrics(cells: DataFrame, grid_area_ha: float) -> DataFrame:
@@ -48,9 +43,8 @@ def evaluation_metrics(cells: DataFrame, grid_area_ha: float) -> DataFrame:
     n_cells, n_valid = cells.agg(F.count("*"), F.count(F.when(valid, 1))).first()
     if n_cells < 2:
         return cells.sparkSession.createDataFrame([], METRICS_SCHEMA)
-    sample, n = (cells.filter(valid), n_valid) if n_valid >= 2 else (cells, n_cells)
-    error = F.lit(median_abs_error(sample))
-    slope, intercept = (F.lit(v).cast("double") for v in theil_sen(sample, n))
+    sample = cells.filter(valid) if n_valid >= 2 else cells
+    error, slope, intercept = (F.lit(v).cast("double") for v in robust_line(sample))
     return sample.agg(
         F.count("*").alias("n"),
         F.regr_slope(y, x).alias("ols_slope"),

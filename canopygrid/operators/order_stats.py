@@ -1,147 +1,265 @@
 """Exact order statistics of data too long for one task.
 
-A selection narrows an interval around the wanted rank: each round counts
-values in equal buckets (partial counts per task, at most ``BUCKETS`` rows come
-back), picks the bucket that holds the rank and continues with that bucket's
-own minimum and maximum.  It ends on a single value, so the result is exact.
+Medians go by digits: doubles become whole numbers in the same order
+(:mod:`canopygrid.functions.ordered`), and each scan counts the values by their next 16
+bits, for all columns at once, so four scans settle any distribution.
+
+The Theil-Sen slope never forms pairs of points.  The pairs with a slope below
+``b`` are those that change their order when points are ordered by
+``y - b * x`` instead of ``x``, so their number is a count of inversions.  Every round counts
+inversions for many slopes at once and narrows the interval that holds the
+middle one, until it is a single double.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
-# Points per block in the pairwise pass; a task holds two blocks.
-BLOCK = 2048
-
-Summary = Callable[[float, float], DataFrame]
+from canopygrid.functions.ordered import DIGIT_BITS, DIGITS, from_ordered, midpoint, ordered_bits, to_ordered
+from canopygrid.lineage import materialise
 
+#: Points that one task sorts.
+CHUNK = 1 << 16
+#: Points that propose slopes and cut residuals into ranges; results do not depend on them.
+SAMPLE = 2048
+#: Slopes a round tries, at least and at most; between them, about ``ROUND_WORK`` residuals a chunk.
+FEW_SLOPES, MANY_SLOPES = 16, 256
+ROUND_WORK = 1 << 22
+#: Residuals that are sorted together.
+STRIP = 1 << 20
+#: Slopes beyond this (for points scaled into the unit square) count as infinite, so that no product overflows.
+STEEPEST = 2.0**900
+SPLIT = float((1 << 27) + 1)
 
-def _select(summary: Summary, low: float, high: float, ranks: list[int]) -> list[float]:
-    """Values of ascending 0-based ``ranks`` given per-bucket ``bucket, n, low, high`` summaries.
 
-    Ranks that fall in the same bucket share all further rounds.
-    """
-    if low == high:
-        return [low] * len(ranks)
-    rows = sorted(summary(low, high).collect(), key=lambda r: r["bucket"])
-    if len(rows) == 1 and (rows[0]["low"], rows[0]["high"]) == (low, high):
-        raise RuntimeError("selection did not narrow")
-    found: list[float] = []
-    before = 0
-    for row in rows:
-        inside = [rank - before for rank in ranks if before <= rank < before + row["n"]]
-        if inside:
-            found += _select(summary, row["low"], row["high"], inside)
-        before += row["n"]
-    return found
-
-
-def _middle(summary: Summary, low: float, high: float, n: int) -> float:
-    middle = _select(summary, low, high, [n // 2] if n % 2 else [n // 2 - 1, n // 2])
-    return sum(middle) / len(middle)
+def exact_medians(df: DataFrame, columns: dict[str, Column]) -> dict[str, float | None]:
+    """Medians of several columns together, interpolated for an even count; NULL ignored."""
+    named = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), ordered_bits(v).alias("key")) for n, v in columns.items()]))
+    keys = df.select(named.alias("s")).select("s.name", "s.key").filter("key IS NOT NULL")
+    found: dict[str, list[float]] = {}
+    # Per column: the prefixes that hold a wanted rank, with the ranks inside them.
+    open_: dict[tuple[str, int | None], list[int]] = {(name, None): [] for name in columns}
+    for digit in range(DIGITS):
+        shift = 64 - DIGIT_BITS * (digit + 1)
+        prefix = F.shiftright("key", shift + DIGIT_BITS) if digit else F.lit(0).cast("long")
+        wanted = F.lit(False)
+        for name, held in open_:
+            wanted = wanted | ((F.col("name") == name) & (prefix == (held or 0)))
+        counted = keys.filter(wanted).groupBy("name", prefix.alias("prefix"), F.shiftright("key", shift).alias("digits"))
+        rows = counted.agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).collect()
+        narrowed: dict[tuple[str, int | None], list[int]] = {}
+        for (name, held), ranks in open_.items():
+            mine = sorted((r for r in rows if r["name"] == name and r["prefix"] == (held or 0)), key=lambda r: r["digits"])
+            if held is None:
+                n = sum(r["n"] for r in mine)
+                ranks = sorted({(n - 1) // 2, n // 2}) if n else []
+            before = 0
+            for row in mine:
+                inside = [rank - before for rank in ranks if before <= rank < before + row["n"]]
+                if inside and row["low"] == row["high"]:
+                    found.setdefault(name, []).extend([from_ordered(row["low"])] * len(inside))
+                elif inside:
+                    narrowed[name, row["digits"]] = inside
+                before += row["n"]
+        open_ = narrowed
+        if not open_:
+            break
+    return {name: midpoint(min(found[name]), max(found[name])) if name in found else None for name in columns}
 
 
 def exact_median(df: DataFrame, value: str) -> float | None:
     """Median of a column, interpolated for an even count; NULL ignored."""
-    v = F.col(value).cast("double")
-    data = df.select(v.alias("v")).filter("v IS NOT NULL")
-    row = data.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-    if not row["n"]:
-        return None
+    return exact_medians(df, {"v": F.col(value)})["v"]
 
-    def summary(low: float, high: float) -> DataFrame:
-        share = (F.col("v") - low) / (high - low)
-        bucket = F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)).alias("bucket")
-        return (
-            data.filter(F.col("v").between(low, high))
-            .groupBy(bucket)
-            .agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-        )
-
-    return _middle(summary, row["lo"], row["hi"], row["n"])
-
-
-def _block_slopes(x: np.ndarray, y: np.ndarray, block: np.ndarray, own: bool):
-    """Slopes of all point pairs of two blocks (or inside one), a strip at a time."""
-    a = block == block.min()
-    b = a if own else ~a
-    order = np.argsort(x[b], kind="stable")
-    xb, yb = x[b][order], y[b][order]
-    for xi, yi in zip(np.array_split(x[a], max(1, a.sum() // 256)), np.array_split(y[a], max(1, a.sum() // 256))):
-        dx, dy = xb[None, :] - xi[:, None], yb[None, :] - yi[:, None]
-        use = dx > 0 if own else dx != 0
-        yield dy[use] / dx[use]
-
-
-def _blocks(points: DataFrame, n: int, x: str, y: str, block: int) -> DataFrame:
-    """Every point once per block pair it takes part in; a pair holds at most about two blocks."""
-    blocks = max(1, -(-n // block))
-    tagged = points.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    # The block must not change when a lost task is redone: hash the values and a
-    # position among equal points, not a partition-dependent number.
-    tagged = tagged.groupBy("x", "y").agg(F.count("*").alias("w"))
-    tagged = tagged.select("x", "y", F.explode(F.sequence(F.lit(1).cast("long"), F.col("w"))).alias("copy"))
-    home = tagged.withColumn("block", F.pmod(F.xxhash64("x", "y", "copy"), F.lit(blocks)).cast("int"))
-    partner = home.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return partner.select(
-        "x",
-        "y",
-        "block",
-        F.least("block", "other").alias("first"),
-        F.greatest("block", "other").alias("second"),
-    )
-
-
-def theil_sen_slope(points: DataFrame, n: int, x: str, y: str, block: int = BLOCK) -> float | None:
-    """Median slope over all point pairs with different ``x``.
-
-    Points are split into blocks; one task takes two blocks, computes their
-    slopes in strips and returns bucket counts only, so pairs are never rows.
+
+def residuals(x: np.ndarray, y: np.ndarray, slopes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``y - slope * x`` of every slope (rows) and point, as sums of two doubles, the second a rounding error of the first.
+
+    Products are exact and sums keep their error, so that nearly equal slopes
+    still tell points apart.
     """
-    pairs = _blocks(points, n, x, y, block).groupBy("first", "second")
-    schema = "bucket int, n long, low double, high double"
-
-    def counter(low: float | None, high: float | None):
-        def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-            first, second = key[0].as_py(), key[1].as_py()
-            px, py, block_id = (table.column(c).to_numpy() for c in ("x", "y", "block"))
-            n_in, lo, hi = np.zeros(BUCKETS, np.int64), np.full(BUCKETS, np.inf), np.full(BUCKETS, -np.inf)
-            present = np.unique(block_id)
-            if first == second or len(present) == 2:
-                for slopes in _block_slopes(px, py, block_id, first == second):
-                    if low is None:
-                        bucket = np.zeros(len(slopes), dtype=np.int64)
-                    else:
-                        slopes = slopes[(slopes >= low) & (slopes <= high)]
-                        bucket = np.minimum(((slopes - low) / (high - low) * BUCKETS).astype(np.int64), BUCKETS - 1)
-                    n_in += np.bincount(bucket, minlength=BUCKETS)
-                    np.minimum.at(lo, bucket, slopes)
-                    np.maximum.at(hi, bucket, slopes)
-            used = np.nonzero(n_in)[0]
-            return pa.table(
-                {
-                    "bucket": pa.array(used.astype(np.int32)),
-                    "n": pa.array(n_in[used]),
-                    "low": pa.array(lo[used]),
-                    "high": pa.array(hi[used]),
-                }
-            )
-
-        return run
-
-    def summary(low: float | None, high: float | None) -> DataFrame:
-        parts = pairs.applyInArrow(counter(low, high), schema)
-        return parts.groupBy("bucket").agg(
-            F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")
-        )
-
-    total = summary(None, None).first()
-    if total is None:
+
+    def halves(a):
+        high = a * SPLIT
+        high = high - (high - a)
+        return high, a - high
+
+    slope = slopes[:, None]
+    product = slope * x
+    (s0, s1), (x0, x1) = halves(slope), halves(x)
+    tail = ((s0 * x0 - product) + s0 * x1 + s1 * x0) + s1 * x1
+    total = y - product
+    part = total - y
+    error = ((y - (total - part)) - (product + part)) - tail
+    high = total + error
+    return high, error - (high - total)
+
+
+def inversions(lanes: np.ndarray, high: np.ndarray, low: np.ndarray, weights: np.ndarray, n_lanes: int) -> np.ndarray:
+    """Weighted pairs of each lane whose earlier element is greater; lanes stand one after another.
+
+    Elements are ranked, then dealt by the bits of their ranks, highest first: a
+    pair is found at the bit in which it differs first.
+    """
+    out = np.zeros(n_lanes, dtype=np.int64)
+    if not len(lanes):
+        return out
+    order = np.lexsort((low, high, lanes))
+    a, b, lane = high[order], low[order], lanes[order]
+    step = np.r_[False, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (lane[1:] != lane[:-1])]
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.cumsum(step)
+    # Ranks count from 0 in each lane.
+    firsts = np.flatnonzero(np.r_[True, lanes[1:] != lanes[:-1]])
+    rank -= np.repeat(np.minimum.reduceat(rank, firsts), np.diff(np.r_[firsts, len(rank)]))
+    weights, starts = weights.astype(np.int64), firsts
+    for bit in reversed(range(int(rank.max()).bit_length())):
+        sizes = np.diff(np.r_[starts, len(rank)])
+        one = (rank >> bit) & 1
+        # Ones, and their weight, before each element of its group.
+        ones = np.cumsum(one) - one
+        heavy = np.cumsum(weights * one) - weights * one
+        before = heavy - np.repeat(heavy[starts], sizes)
+        out[lanes[firsts]] += np.add.reduceat(np.where(one == 0, weights * before, 0), firsts)
+        # Zeros first, then ones, both in their order.
+        ones_inside = ones - np.repeat(ones[starts], sizes)
+        zeros = np.add.reduceat(1 - one, starts)
+        place = np.where(one == 0, np.arange(len(rank)) - ones_inside, np.repeat(starts + zeros, sizes) + ones_inside)
+        moved = np.empty_like(rank)
+        moved[place] = rank
+        rank = moved
+        moved = np.empty_like(weights)
+        moved[place] = weights
+        weights = moved
+        starts = np.unique(np.r_[starts, starts + zeros])
+        starts = starts[starts < len(rank)]
+    return out
+
+
+def _looked_at(table: pa.Table, slopes: np.ndarray, cuts: np.ndarray, several: bool) -> Iterator[dict[str, np.ndarray]]:
+    """Rows for the second step: own inversions of a chunk, its points in coarse ranges, and its points."""
+    x, y, w, chunk = (table.column(c).to_numpy() for c in ("x", "y", "w", "chunk"))
+    order = np.lexsort((y, x))
+    x, y, w = x[order], y[order], w[order].astype(np.int64)
+    strip = max(1, STRIP // len(x))
+    for first in range(0, len(slopes), strip):
+        some = slopes[first : first + strip]
+        high, low = (a.ravel() for a in residuals(x, y, some))
+        lanes = np.repeat(np.arange(len(some)), len(x))
+        own = inversions(lanes, high, low, np.tile(w, len(some)), len(some))
+        zero = np.zeros(len(some))
+        yield {"lane": np.arange(len(some)) + first, "part": np.full(len(some), -2), "high": zero, "low": zero, "w": own}
+        if not several:
+            continue
+        part = np.concatenate([np.searchsorted(cuts[first + i], high[i * len(x) : (i + 1) * len(x)]) for i in range(len(some))])
+        order = np.lexsort((low, high, lanes))
+        lane, part, high, low, weight = lanes[order], part[order], high[order], low[order], np.tile(w, len(some))[order]
+        for coarse in (True, False):
+            a = part.astype(np.float64) if coarse else high
+            b = np.zeros(len(part)) if coarse else low
+            heads = np.flatnonzero(np.r_[True, (lane[1:] != lane[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            where = np.full(len(heads), -1) if coarse else part[heads]
+            yield {"lane": lane[heads] + first, "part": where, "high": a[heads], "low": b[heads], "w": np.add.reduceat(weight, heads)}
+
+
+class _Points:
+    """Distinct points with their numbers, in chunks of ascending ``(x, y)``."""
+
+    def __init__(self, points: DataFrame, x: str, y: str, chunk: int) -> None:
+        xy = points.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+        xy = xy.filter((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")))
+        merged = materialise(xy.select((F.col("x") + 0.0).alias("x"), (F.col("y") + 0.0).alias("y")).groupBy("x", "y").agg(F.count("*").alias("w")))
+        big = F.col("w").cast("decimal(38,0)")
+        columns = merged.groupBy("x").agg(F.sum(big).alias("w"))
+        n, wide, tall, total = merged.agg(F.count("*"), F.max(F.abs("x")), F.max(F.abs("y")), F.sum(big)).first()
+        same = columns.agg(F.sum(F.col("w") * F.col("w"))).first()[0]
+        self.pairs = (int(total) ** 2 - int(same)) // 2 if n else 0
+        # Powers of two, so that scaling is exact.
+        self.x_scale, self.y_scale = (2.0 ** max(-1000, min(1000, -math.frexp(v)[1])) if v else 1.0 for v in (wide, tall))
+        scaled = merged.select((F.col("x") * self.x_scale).alias("x"), (F.col("y") * self.y_scale).alias("y"), "w")
+        self.chunks = max(1, -(-n // chunk))
+        # Stored once, so a chunk's number stays when a lost task is redone.
+        self.table = materialise(scaled.repartitionByRange(self.chunks, "x", "y").withColumn("chunk", F.spark_partition_id()))
+        picked = self.table.orderBy(F.xxhash64("x", "y"), "x", "y").limit(SAMPLE).select("x", "y").collect()
+        self.sample = np.array(picked, dtype=np.float64).reshape(-1, 2)
+        self.lanes = int(np.clip(ROUND_WORK // max(1, min(n, chunk)), FEW_SLOPES, MANY_SLOPES))
+
+    def sample_slopes(self) -> np.ndarray:
+        """Ascending slopes between the sample's points."""
+        x, y = self.sample[np.argsort(self.sample[:, 0], kind="stable")].T
+        i, j = np.triu_indices(len(x), 1)
+        use = x[j] > x[i]
+        with np.errstate(over="ignore"):
+            return np.sort((y[j] - y[i])[use] / (x[j] - x[i])[use])
+
+    def below(self, slopes: list[float]) -> list[int]:
+        """For each slope, the pairs of points with a smaller one."""
+        tried = np.array(slopes)
+        high, _ = residuals(self.sample[:, 0], self.sample[:, 1], tried)
+        cuts = np.quantile(high, np.arange(1, self.chunks) / self.chunks, axis=1, method="nearest").T if self.chunks > 1 else np.zeros((len(slopes), 0))
+        several = self.chunks > 1
+
+        def look(table: pa.Table) -> pa.Table:
+            parts = list(_looked_at(table, tried, cuts, several))
+            rows = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+            rows["chunk"] = np.full(len(rows["w"]), table.column("chunk")[0].as_py())
+            return pa.table({"lane": rows["lane"].astype(np.int32), "part": rows["part"].astype(np.int32), "chunk": rows["chunk"].astype(np.int32), "high": rows["high"], "low": rows["low"], "w": rows["w"]})
+
+        def between(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+            lane, part = (k.as_py() for k in key)
+            chunk, high, low, w = (table.column(c).to_numpy() for c in ("chunk", "high", "low", "w"))
+            # Points of one chunk stand in ascending order, so only pairs of different chunks count.
+            order = np.lexsort((low, high, chunk))
+            n = w.sum() if part == -2 else inversions(np.zeros(len(w), dtype=np.int64), high[order], low[order], w[order], 1)[0]
+            return pa.table({"lane": pa.array([lane], pa.int32()), "n": pa.array([int(n)], pa.int64())})
+
+        looked = self.table.groupBy("chunk").applyInArrow(look, "lane int, part int, chunk int, high double, low double, w long")
+        counted = looked.groupBy("lane", "part").applyInArrow(between, "lane int, n long")
+        found = {r["lane"]: r["n"] for r in counted.groupBy("lane").agg(F.sum("n").alias("n")).collect()}
+        return [int(found.get(i, 0)) for i in range(len(slopes))]
+
+
+def _proposed(low: int, high: int, share: float, sample: np.ndarray, most: int) -> set[int]:
+    """Keys strictly between two keys: evenly spread ones, and sample slopes around the wanted share."""
+    half = max(1, most // 2)
+    keys = {low + (high - low) * i // (half + 1) for i in range(1, half + 1)}
+    inside = sample[(sample > from_ordered(low)) & (sample < from_ordered(high))]
+    if len(inside):
+        steps = [0, *(s * d for d in (int(1.5**i) for i in range(half)) for s in (1, -1) if d < len(inside))][: max(1, half // 2)]
+        for value in inside[np.clip(round(share * (len(inside) - 1)) + np.array(steps), 0, len(inside) - 1)].tolist():
+            keys |= {to_ordered(value), to_ordered(value) + 1}
+    steepest = to_ordered(STEEPEST)
+    return {k for k in keys if low < k < high and -steepest <= k <= steepest}
+
+
+def theil_sen_slope(points: DataFrame, x: str, y: str, chunk: int = CHUNK) -> float | None:
+    """Median slope over all pairs of points with different ``x``, to one unit in the last place; points that are no finite numbers are left out."""
+    data = _Points(points, x, y, chunk)
+    if not data.pairs:
         return None
-    return _middle(summary, total["low"], total["high"], total["n"])
+    ranks = sorted({(data.pairs - 1) // 2, data.pairs // 2})
+    sample = data.sample_slopes()
+    # Known counts by key; a slope of a rank lies from the last key with no more pairs below it, to the next key.
+    known = {to_ordered(-math.inf): 0, to_ordered(math.inf): data.pairs}
+    while True:
+        ends = sorted(known)
+        spans = {}
+        for rank in ranks:
+            at = max(i for i, k in enumerate(ends) if known[k] <= rank and i + 1 < len(ends))
+            spans[rank] = ends[at], ends[at + 1]
+        asked: set[int] = set()
+        for rank, (low, high) in spans.items():
+            share = (rank - known[low]) / max(1, known[high] - known[low])
+            asked |= _proposed(low, high, share, sample, data.lanes // len(set(spans.values())))
+        if not asked:
+            break
+        keys = sorted(asked)
+        known |= dict(zip(keys, data.below([from_ordered(k) for k in keys]), strict=True))
+    found = [from_ordered(low) for low, _ in spans.values()]
+    return midpoint(min(found), max(found)) * (data.x_scale / data.y_scale)

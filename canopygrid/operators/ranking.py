@@ -1,13 +1,17 @@
 """Exact top-N per group without sorting the groups.
 
-For every group the key ``(score desc, row, col)`` of its N-th pixel is found by
-counting: each round splits the group's open interval at quantiles of its keys,
-counts the buckets (partial counts per task) and keeps the bucket that holds rank N.
-Keys are only ever compared, and a key equal to an edge has a bucket of its own, so every
-round narrows the interval, whatever the distribution, infinite scores included.  Only
-the last bucket, bounded in size, is ever ranked in a window.  Selection is then a plain
-comparison with the group's cut key, so pixels are not shuffled and a group
-holding a third of all pixels costs no more than many small ones.
+For every group the key ``(score desc, row, col)`` of its N-th pixel is found digit by
+digit: scores become whole numbers in the same order
+(:mod:`canopygrid.functions.ordered`), and each scan counts, for all groups at once, the pixels
+of the digits that still matter.  A group ends when the rest of a digit is wanted
+whole; keys have eight digits of 16 bits (four of the score, two of the row, two of the
+column), so eight scans settle any scores, infinite and tied ones included, and
+digits in which no open group differs are skipped.  Only counts travel.  Selection is
+then a plain comparison with the group's cut key, so a group holding a third of
+all pixels costs no more than many small ones.
+
+Tables with one row for each group meet the pixels in plain joins: they are stored first, so
+that Spark knows their size and broadcasts them only where that is small.
 """
 
 from __future__ import annotations
@@ -15,127 +19,83 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopygrid.lineage import cut
+from canopygrid.functions.ordered import DIGIT_BITS, ordered_bits
+from canopygrid.lineage import materialise
 
-# Quantiles per group and round.
-EDGES = 255
-# Rows of a group that may be ranked in one window.
-RANK_LIMIT = 100_000
-# Groups up to this number are broadcast next to the pixels.
-BROADCAST_GROUPS = 250_000
-
-KEYS = ("k0", "k1", "k2")
-BOUNDS = tuple(f"{side}{i}" for i in range(3) for side in ("lo", "hi"))
+#: Parts of a key, and their bits.
+KEYS = {"k0": 64, "k1": 32, "k2": 32}
+_FIRST, _LAST = -(1 << 63), (1 << 63) - 1
 
 
 def rank_keys(score: str) -> list[Column]:
     """Ascending sort keys of a pixel: score descending, then row, then column."""
-    return [
-        (-F.col(score).cast("double")).alias("k0"),
-        F.col("row").cast("double").alias("k1"),
-        F.col("col").cast("double").alias("k2"),
-    ]
-
+    return [ordered_bits(-F.col(score).cast("double")).alias("k0"), F.col("row").cast("long").alias("k1"), F.col("col").cast("long").alias("k2")]
 
-def _bounds_aggs() -> list[Column]:
-    out = []
-    for i, key in enumerate(KEYS):
-        out += [F.min(key).alias(f"lo{i}"), F.max(key).alias(f"hi{i}")]
-    return out
 
+def _digits(bits: int) -> list[tuple[str, int]]:
+    """Every digit as part and shift."""
+    return [(part, shift) for part, size in KEYS.items() for shift in range((size - 1) // bits * bits, -1, -bits)]
 
-def small_side(table: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a per-group table while its counted size allows it."""
-    return F.broadcast(table) if rows <= BROADCAST_GROUPS else table
 
-
-def cut_keys(
-    pixels: DataFrame, groups: list[str], score: str, targets: DataFrame, target: str, limit: int = RANK_LIMIT
-) -> DataFrame:
+def cut_keys(pixels: DataFrame, groups: list[str], score: str, targets: DataFrame, target: str, digit_bits: int = DIGIT_BITS) -> DataFrame:
     """Per group: ``available`` pixels and the key (``cut0..cut2``) of the last chosen one.
 
     ``targets`` holds one row per group with the number of pixels to choose.
     A group with enough room takes everything; a target of 0 takes nothing.
+    Pixels without a score are never chosen.
     """
-    keyed = pixels.select(*groups, *rank_keys(score))
-    state = (
-        targets.select(*groups, F.col(target).cast("long").alias("need"))
-        .join(keyed.groupBy(*groups).agg(F.count("*").alias("n"), *_bounds_aggs()), groups, "left")
-        .withColumn("available", F.coalesce("n", F.lit(0).cast("long")))
-        .withColumn("n", F.col("available"))
-    )
-    state = cut(state)
-    whole = state.filter((F.col("need") >= F.col("available")) | (F.col("need") <= 0)).select(
-        *groups,
-        "available",
-        *[
-            F.when(F.col("need") > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf"))).alias(f"cut{i}")
-            for i in range(3)
-        ],
-    )
-    state = cut(state.filter((F.col("need") > 0) & (F.col("need") < F.col("available"))))
-    n_groups = state.count()
-    if n_groups == 0:
-        return whole
-
+    keyed = pixels.select(*groups, *rank_keys(score)).filter("k0 IS NOT NULL")
+    key = F.struct(*KEYS)
+    wanted = targets.select(*groups, F.col(target).cast("long").alias("need"))
+    digits = _digits(digit_bits)
+    # The first scan counts the first digit, and with it the groups.
+    counted = materialise(_counts(keyed, groups, digits[0]))
+    sizes = counted.groupBy(*groups).agg(F.sum("n").alias("n"))
+    state = materialise(wanted.join(sizes, groups, "left").withColumn("available", F.coalesce("n", F.lit(0).cast("long"))).drop("n"))
+    simple = (F.col("need") >= F.col("available")) | (F.col("need") <= 0)
+    every = F.when(F.col("need") > 0, F.lit(_LAST)).otherwise(F.lit(_FIRST))
+    done = state.filter(simple).select(*groups, "available", *[every.alias(f"cut{i}") for i in range(len(KEYS))])
+    open_ = state.filter(~simple)
+    at = 0
     while True:
-        open_groups = state.filter(F.col("n") > limit)
-        n_open = open_groups.count()
-        if n_open == 0:
-            break
-        # The first key whose interval is still open decides the bucket.
-        active = [F.col(f"lo{i}") < F.col(f"hi{i}") for i in range(3)]
-
-        key = F.when(active[0], F.col("k0")).when(active[1], F.col("k1")).otherwise(F.col("k2"))
-        inside = _inside(keyed, small_side(open_groups.select(*groups, *BOUNDS), n_open), groups)
-        fractions = [i / (EDGES + 1) for i in range(1, EDGES + 1)]
-        edges = cut(inside.groupBy(*groups).agg(F.array_distinct(F.percentile_approx(key, fractions, 4 * EDGES)).alias("edges")))
-        # Edges below the key, and edges not above it: between two edges both counts are the same.
-        below = F.size(F.filter("edges", lambda e: e < F.col("key"))) + F.size(F.filter("edges", lambda e: e <= F.col("key")))
-        counted = (
-            inside.withColumn("key", key)
-            .join(small_side(edges, n_open), groups)
-            .withColumn("bucket", below)
-            .groupBy(*groups, "bucket")
-            .agg(F.count("*").alias("n"), *_bounds_aggs())
-        )
-        running = Window.partitionBy(*groups).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        narrowed = (
-            counted.withColumn("cum", F.sum("n").over(running))
-            .join(open_groups.select(*groups, "need", "available"), groups)
-            .filter((F.col("cum") >= F.col("need")) & (F.col("cum") - F.col("n") < F.col("need")))
-            .withColumn("need", F.col("need") - (F.col("cum") - F.col("n")))
-            .select(*groups, "need", "n", *BOUNDS, "available")
+        running = Window.partitionBy(*groups).orderBy("digits").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        here = (
+            counted.withColumn("upto", F.sum("n").over(running))
+            .join(open_.select(*groups, "need", "available"), groups)
+            .filter((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("n") < F.col("need")))
+            .withColumn("need", F.col("need") - (F.col("upto") - F.col("n")))
         )
-        state = cut(state.filter(F.col("n") <= limit).select(narrowed.columns).unionByName(narrowed))
-
-    border = _inside(keyed, small_side(state.select(*groups, "need", "available", *BOUNDS), n_groups), groups)
-    order = Window.partitionBy(*groups).orderBy(*KEYS)
-    last = border.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == F.col("need"))
-    return cut(
-        whole.unionByName(last.select(*groups, "available", *[F.col(k).alias(f"cut{i}") for i, k in enumerate(KEYS)]))
-    )
+        here = materialise(here.select(*groups, "need", "available", "n", "low", "high"))
+        # All of a digit's pixels are wanted, or they share one key.
+        closed = (F.col("n") == F.col("need")) | (F.col("low") == F.col("high"))
+        done = done.unionByName(here.filter(closed).select(*groups, "available", *[F.col(f"high.{k}").alias(f"cut{i}") for i, k in enumerate(KEYS)]))
+        open_ = here.filter(~closed)
+        differ = [F.max(F.shiftright(f"low.{part}", shift) != F.shiftright(f"high.{part}", shift)) for part, shift in digits]
+        known = open_.agg(*[d.alias(f"d{i}") for i, d in enumerate(differ)]).first()
+        # The next digit in which the ends of some open group differ.
+        at = next((i for i in range(at + 1, len(digits)) if known[i]), None)
+        if at is None:
+            break
+        inside = keyed.join(open_.select(*groups, "low", "high"), groups).filter(key.between(F.col("low"), F.col("high")))
+        counted = materialise(_counts(inside, groups, digits[at]))
+    return materialise(done)
 
 
-def _inside(keyed: DataFrame, bounds: DataFrame, groups: list[str]) -> DataFrame:
-    joined = keyed.join(bounds, groups)
-    for i, key in enumerate(KEYS):
-        joined = joined.filter(F.col(key).between(F.col(f"lo{i}"), F.col(f"hi{i}")))
-    return joined
+def _counts(keyed: DataFrame, groups: list[str], digit: tuple[str, int]) -> DataFrame:
+    """Pixels by the leading digits of one part of their key, with the ends of each."""
+    part, shift = digit
+    key = F.struct(*KEYS)
+    return keyed.groupBy(*groups, F.shiftright(part, shift).alias("digits")).agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high"))
 
 
 def at_or_before(score: str, prefix: str = "cut") -> Column:
     """True for pixels whose key does not come after the cut key."""
-    keys = [k.cast("double") for k in (-F.col(score).cast("double"), F.col("row"), F.col("col"))]
-    mine = F.struct(*[k.alias(f"c{i}") for i, k in enumerate(keys)])
-    theirs = F.struct(*[F.col(f"{prefix}{i}").alias(f"c{i}") for i in range(3)])
+    mine = F.struct(*[k.alias(f"c{i}") for i, k in enumerate(rank_keys(score))])
+    theirs = F.struct(*[F.col(f"{prefix}{i}").alias(f"c{i}") for i in range(len(KEYS))])
     return F.coalesce(mine <= theirs, F.lit(False))
 
 
-def top_n(
-    pixels: DataFrame, groups: list[str], score: str, targets: DataFrame, target: str, limit: int = RANK_LIMIT
-) -> DataFrame:
+def top_n(pixels: DataFrame, groups: list[str], score: str, targets: DataFrame, target: str, digit_bits: int = DIGIT_BITS) -> DataFrame:
     """The chosen pixels: top ``target`` per group by score, ties by row then column."""
-    cuts = cut_keys(pixels, groups, score, targets, target, limit)
-    n = cuts.count()
-    return pixels.join(small_side(cuts, n), groups).filter(at_or_before(score)).select(pixels.columns)
+    cuts = cut_keys(pixels, groups, score, targets, target, digit_bits)
+    return pixels.join(cuts, groups).filter(F.col(score).isNotNull() & at_or_before(score)).select(pixels.columns)

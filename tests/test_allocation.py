@@ -8,14 +8,15 @@ import pytest
 
 from canopygrid.grid import GridSpec
 from canopygrid.operators import allocate as alloc
+from canopygrid.operators import ranking
 from canopygrid.operators.opening import opened_pixels
 from canopygrid.operators.ranking import top_n
 from canopygrid.operators.rasterize import rasterize_divisions
 
 
-@pytest.mark.parametrize("limit", [1, 5, 1000])
-def test_top_n_matches_sort(spark, limit):
-    random.seed(limit)
+@pytest.mark.parametrize("bits", [4, 8, 16])
+def test_top_n_matches_sort(spark, bits):
+    random.seed(bits)
     # One group holds most rows and most of its scores tie.
     rows = [
         (r, c, random.choice(["a", "a", "a", "b", "c"]), random.choice([0.5, 0.5, 0.5, 1e-9, 0.25, random.random(), 1e12]))
@@ -25,7 +26,7 @@ def test_top_n_matches_sort(spark, limit):
     df = spark.createDataFrame(rows, "row int, col int, g string, s double")
     wanted = {"a": 321, "b": 0, "c": 10_000, "d": 4}
     targets = spark.createDataFrame(list(wanted.items()), "g string, n long")
-    got = {(r.row, r.col) for r in top_n(df, ["g"], "s", targets, "n", limit).collect()}
+    got = {(r.row, r.col) for r in top_n(df, ["g"], "s", targets, "n", bits).collect()}
     want = set()
     for g, n in wanted.items():
         order = sorted((r for r in rows if r[2] == g), key=lambda r: (-r[3], r[0], r[1]))
@@ -40,10 +41,25 @@ def test_top_n_ends_for_any_scores(spark, kind):
     rows = [(r, c, "g", scores[kind]()) for r in range(30) for c in range(20)]
     df = spark.createDataFrame(rows, "row int, col int, g string, s double")
     targets = spark.createDataFrame([("g", 333)], "g string, n long")
-    got = {(r.row, r.col) for r in top_n(df, ["g"], "s", targets, "n", 2).collect()}
+    got = {(r.row, r.col) for r in top_n(df, ["g"], "s", targets, "n").collect()}
     assert got == {(r[0], r[1]) for r in sorted(rows, key=lambda r: (-r[3], r[0], r[1]))[:333]}
 
 
+@pytest.mark.parametrize("kind, most", [("uniform", 4), ("tied", 5), ("lognormal", 5), ("infinite", 6)])
+def test_scans_are_few_for_any_scores(spark, monkeypatch, kind, most):
+    """Every scan of the pixels counts one digit; digits in which nothing differs are skipped."""
+    random.seed(6)
+    draw = {"uniform": random.random, "tied": lambda: 0.25, "lognormal": lambda: random.lognormvariate(0, 9), "infinite": lambda: random.choice([math.inf, math.inf, 0.0, 1.0])}[kind]
+    rows = [(r, c, g, draw()) for g in range(3) for r in range(20) for c in range(20)]
+    scans, true = [], ranking._counts
+    monkeypatch.setattr(ranking, "_counts", lambda *a: scans.append(a) or true(*a))
+    df = spark.createDataFrame(rows, "row int, col int, g int, s double")
+    targets = spark.createDataFrame([(0, 133), (1, 1), (2, 399)], "g int, n long")
+    got = sorted((r.g, r.row, r.col) for r in top_n(df, ["g"], "s", targets, "n").collect())
+    assert got == sorted((g, r, c) for g, n in ((0, 133), (1, 1), (2, 399)) for r, c, *_ in sorted((x for x in rows if x[2] == g), key=lambda x: (-x[3], x[0], x[1]))[:n])
+    assert len(scans) <= min(most, 8)
+
+
 def reference_allocation(rows, pixel_ha, years, forest, score):
     targets, areas = {}, {}
     for r in rows:
@@ -81,7 +97,7 @@ def test_allocation_matches_plain_python(spark, etp):
         for c in range(20)
     ]
     df = spark.createDataFrame(rows, "row int, col int, area int, region int, lulc int, density double, etp double")
-    done = alloc.allocate(df, 0.09, 0.9, (5, 8), 0, etp=etp, limit=7)
+    done = alloc.allocate(df, 0.09, 0.9, (5, 8), 0, etp=etp)
     out = done.pixels.collect()
     assert len(out) == len(rows)
     first, taken = reference_allocation(rows, 0.09, 0.9, (5, 8), etp or "density")

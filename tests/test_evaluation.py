@@ -1,7 +1,9 @@
 """Evaluation cells, metrics, order statistics, mask components."""
 
 import itertools
+import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -11,7 +13,9 @@ from canopygrid.grid import GridSpec
 from canopygrid.operators import cells as cel
 from canopygrid.operators import metrics as met
 from canopygrid.operators.components import contract, mask_components
-from canopygrid.operators.order_stats import exact_median, theil_sen_slope
+from canopygrid.functions.ordered import from_ordered, ordered_bits, to_ordered
+from canopygrid.operators import order_stats
+from canopygrid.operators.order_stats import exact_median, exact_medians, inversions, residuals, theil_sen_slope
 
 
 def test_spacing():
@@ -112,9 +116,9 @@ def test_distributed_selection_is_exact(spark, n, block):
     ys = [random.choice([0.0, random.random() * 1e6, -random.random()]) for _ in range(n)]
     df = spark.createDataFrame(list(zip(xs, ys)), "x double, y double")
     assert exact_median(df, "y") == pytest.approx(float(np.median(ys)), rel=1e-12)
-    assert theil_sen_slope(df, n, "x", "y", block) == pytest.approx(theil_sen(xs, ys)[0], rel=1e-12)
+    assert theil_sen_slope(df, "x", "y", block) == pytest.approx(theil_sen(xs, ys)[0], rel=1e-12)
     flat = df.withColumn("x", F.lit(1.0))
-    assert theil_sen_slope(flat, n, "x", "y", block) is None
+    assert theil_sen_slope(flat, "x", "y", block) is None
     assert exact_median(df.filter("y > 1e9"), "y") is None
 
 
@@ -152,3 +156,64 @@ def test_contract_long_chain_and_hub(spark):
     hub = [(1000, 1000 + i) for i in range(1, 300)]
     got = {r.u: r.v for r in contract(spark.createDataFrame(chain + hub, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(1, 201)}, **{1000 + i: 1000 for i in range(1, 300)}}
+
+
+EXTREME = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.0, math.nextafter(1.0, 2), math.nextafter(1.0, 0), 1.7e308, -1.7e308, math.inf, -math.inf, 2.0**1023, 2.0**-1022, 0.1, 3.0, math.nan]
+
+
+def test_ordered_bits_are_the_bits(spark):
+    rng = np.random.default_rng(1)
+    values = [*EXTREME, *rng.integers(-(1 << 63), 1 << 63, 3000).view(np.float64).tolist(), *(2.0 ** rng.integers(-1074, 1024, 300)).tolist()]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    got = [r.k for r in df.select(ordered_bits(F.col("v")).alias("k")).collect()]
+    assert got.pop() is None
+    for v, k in zip(values, got, strict=True):
+        assert (math.isnan(v) and k == (1 << 63) - 1) or (k == to_ordered(v) and from_ordered(k) == v)
+
+
+@pytest.mark.parametrize("values", [[math.inf, -math.inf, 1.0], [1.7e308, 1.7e308], [-1.7e308, 1.7e308], [1.7e308, -1.7e308, 3.0, 4.0], [0.1] * 9, [5e-324, 0.0], [math.inf, math.inf, -math.inf]])
+def test_medians_of_extreme_values(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    ordered = sorted(values)
+    a, b = ordered[(len(values) - 1) // 2], ordered[len(values) // 2]
+    assert exact_median(df, "v") == (a if a == b else a / 2 + b / 2)
+
+
+def test_medians_of_several_columns(spark):
+    rng = np.random.default_rng(2)
+    table = np.c_[rng.lognormal(0, 9, 501), rng.integers(0, 3, 501), rng.random(501)]
+    df = spark.createDataFrame(table.tolist(), "a double, b double, c double").withColumn("d", F.lit(None).cast("double"))
+    found = exact_medians(df, {c: F.col(c) for c in "abcd"})
+    assert [found[c] for c in "abc"] == np.median(table, axis=0).tolist() and found["d"] is None
+
+
+def test_inversions_of_lanes():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        lanes = np.repeat(np.arange(4), rng.integers(0, 25, 4))
+        high, low, w = rng.integers(0, 6, len(lanes)) * 1.0, rng.integers(0, 2, len(lanes)) * 1e-20, rng.integers(1, 5, len(lanes))
+        want = [sum(w[i] * w[j] for i, j in itertools.combinations(np.flatnonzero(lanes == k), 2) if (high[i], low[i]) > (high[j], low[j])) for k in range(4)]
+        assert inversions(lanes, high, low, w, 4).tolist() == want
+
+
+def test_residuals_keep_their_error():
+    x, y, slope = np.array([3.0, 0.1, 1 / 3]), np.array([1.0, 0.3, -7.0]), np.array([1 / 3, 0.1])
+    high, low = residuals(x, y, slope)
+    for i, s in enumerate(slope):
+        for j in range(3):
+            exact = Fraction(float(y[j])) - Fraction(float(s)) * Fraction(float(x[j]))
+            assert abs(exact - Fraction(float(high[i, j])) - Fraction(float(low[i, j]))) <= Fraction(2) ** -100
+
+
+@pytest.mark.parametrize("kind", ["near", "ties", "steep", "copies"])
+def test_slopes_of_hard_points(spark, monkeypatch, kind):
+    """Nearly equal slopes, tied ones, great ranges and repeated points, with few proposals so that the search goes the whole way."""
+    monkeypatch.setattr(order_stats, "SAMPLE", 5)
+    monkeypatch.setattr(order_stats, "MANY_SLOPES", 40)
+    rng = np.random.default_rng(4)
+    x = {"near": rng.random(60) + 1e6, "ties": rng.integers(0, 9, 60) * 1.0, "steep": rng.lognormal(0, 12, 60), "copies": rng.integers(0, 4, 60) * 1.0}[kind]
+    y = {"near": x * 0.7 + rng.random(60) * 1e-6, "ties": np.where(rng.random(60) < 0.7, 0.0, 1.0), "steep": rng.lognormal(0, 12, 60), "copies": rng.integers(0, 3, 60) * 1.0}[kind]
+    df = spark.createDataFrame(np.c_[x, y].tolist() + [[math.inf, 1.0], [1.0, math.nan]], "x double, y double")
+    want = theil_sen(x.tolist(), y.tolist())[0]
+    for chunk in (7, 1000):
+        assert theil_sen_slope(df, "x", "y", chunk) == pytest.approx(want, rel=1e-12, abs=1e-300)
