@@ -344,6 +344,9 @@ BODIES: dict[str, str] = {
   coalesce(max(CASE WHEN r % 16 = 0 AND c % 16 = 0 AND fcbm >= 6 THEN fcbm END), 255) AS first_cell,
   coalesce(max(CASE WHEN r % 16 = 15 AND c % 16 = 15 AND fcbm >= 6 THEN fcbm END), 255) AS last_cell
   FROM px GROUP BY 1, 2""",
+    "tile_layer_values": """SELECT tile_r, tile_c, CAST(pos AS INTEGER) AS pos, coalesce(v, 255) AS v
+  FROM (SELECT DISTINCT r // 16 AS tile_r, c // 16 AS tile_c FROM px) CROSS JOIN range(256) x(pos)
+  LEFT JOIN (SELECT r // 16 AS tile_r, c // 16 AS tile_c, (r % 16) * 16 + c % 16 AS pos, fcbm AS v FROM px WHERE fcbm >= 6) USING (tile_r, tile_c, pos)""",
     "tile_pixels": f"SELECT {POSITION}, fcbm AS v FROM px WHERE fcbm >= 6",
     "encoded_layer": f"""SELECT {POSITION}, CASE WHEN etp_cal > 0.2 THEN CAST(floor(least(etp_cal * 300, 255) + 0.5) AS INT) ELSE 255 END AS v
   FROM px""",
@@ -398,6 +401,8 @@ BODIES: dict[str, str] = {
     "geo_classes_alternative": f"SELECT {POSITION}, risk_class FROM acal WHERE n = 30",
     "region_ids": f"SELECT {POSITION}, region_id, region_id // 1000 AS zone FROM acalr WHERE n = 254",
     "frequency_table": "SELECT region_id, defor_px, area_px, round(rel_freq, 6) AS rel_freq FROM freq",
+    "frequency_with_background": """SELECT region_id, defor_px, area_px, round(rel_freq, 6) AS rel_freq FROM freq
+  UNION ALL SELECT 0, 0, 0, 0.0""",
     "frequency_table_alternative": """SELECT region_id, count(*) FILTER (t1t2_deforestation = 1) AS defor_px, count(*) AS area_px,
   round(count(*) FILTER (t1t2_deforestation = 1) / CAST(count(*) AS DOUBLE), 6) AS rel_freq FROM acalr
   WHERE n = 30 AND region_id IS NOT NULL GROUP BY region_id""",
@@ -445,6 +450,14 @@ BODIES: dict[str, str] = {
    coalesce(sum(hrp_deforestation) FILTER (mask = 1), 0) AS loss_px, coalesce(sum(etp_cal * {HA}) FILTER (mask = 1), 0) AS pred_ha,
    max(count(*) FILTER (area = 1)) OVER () AS top FROM cellpx GROUP BY cell_r, cell_c)
   WHERE area_px / CAST(top AS DOUBLE) > 0.999 AND mask_px > 0""",
+    "evaluation_cells_of_parts": f"""SELECT row_number() OVER (ORDER BY cell_r, cell_c) AS cell_id, cell_r, cell_c, round(mask_px * {HA}, 6) AS area_ha,
+  round(loss_px * {HA}, 6) AS actual_ha, round(pred_ha, 6) AS pred_ha, round(pred_ha - loss_px * {HA}, 6) AS residual_ha FROM
+  (SELECT cell_r, cell_c, count(*) FILTER (mask = 1) AS mask_px, coalesce(sum(hrp_deforestation) FILTER (mask = 1), 0) AS loss_px,
+   coalesce(sum(etp_cal * {HA}) FILTER (mask = 1), 0) AS pred_ha FROM cellpx GROUP BY cell_r, cell_c)
+  JOIN (SELECT DISTINCT cell_r, cell_c FROM (SELECT cell_r, cell_c, part, count(*) AS n, max(count(*)) OVER () AS top FROM
+   (SELECT cell_r, cell_c, CASE WHEN r < 56 THEN (r + c) // 16 ELSE 1000 + (c + 8) // 16 END AS part FROM cellpx
+    WHERE area = 1 AND r <> 56 AND NOT (r < 56 AND (r + c) % 16 = 0) AND NOT (r > 56 AND (c + 8) % 16 = 0)) GROUP BY cell_r, cell_c, part)
+   WHERE n / CAST(top AS DOUBLE) > 0.999) USING (cell_r, cell_c) WHERE mask_px > 0""",
     "part_coverage": """SELECT cell_r, cell_c, component, count(*) AS area_px FROM cellpx
   JOIN (SELECT start, min(here) AS component FROM reach GROUP BY start) ON start = r * 128 + c GROUP BY 1, 2, 3""",
     "mask_parts": """SELECT component, count(*) AS n_px FROM (SELECT start, min(here) AS component FROM reach GROUP BY start)
@@ -465,6 +478,7 @@ BODIES: dict[str, str] = {
   FROM al LEFT JOIN (SELECT r, c, first_pass FROM bf) f ON f.r = al.r AND f.c = al.c LEFT JOIN b2 ON b2.r = al.r AND b2.c = al.c""",
     "modified_cover": """SELECT area, region, lulc, CASE WHEN allocated = 1 THEN 0 ELSE lulc END AS modified_lulc, count(*) AS n_px
   FROM alout GROUP BY ALL""",
+    "modified_cover_pixels": f"SELECT {POSITION}, lulc, CASE WHEN allocated = 1 THEN 0 ELSE lulc END AS modified_lulc FROM alout",
     "stratum_opening": 'SELECT r AS "row", c AS col, stratum FROM op2',
     "top_pixels_per_division": """SELECT r AS "row", c AS col, division FROM (SELECT *, row_number() OVER (PARTITION BY division ORDER BY etp_cnf DESC, r, c) AS k,
   max(r) OVER (PARTITION BY division) + min(c) OVER (PARTITION BY division) AS wanted FROM px) WHERE k <= wanted""",
@@ -494,6 +508,7 @@ BODIES: dict[str, str] = {
   (SELECT part, 'r' AS component, r AS x FROM ct UNION ALL SELECT part, 'g', g FROM ct UNION ALL SELECT part, 'b', b FROM ct)
   WHERE try_cast(x AS DOUBLE) IS NULL OR try_cast(x AS DOUBLE) NOT BETWEEN 0 AND 255""",
     "quality_clean_rows": "SELECT category, count(*) AS n FROM ct WHERE category IS NOT NULL GROUP BY category",
+    "quality_cleaned_table": "SELECT * FROM ct WHERE category IS NOT NULL",
     "quality_null_counts": " UNION ALL ".join(
         f"SELECT '{n}' AS \"column\", count(*) FILTER ({n} IS NULL) AS n_null, count(*) AS n_rows FROM ct"
         for n in ("part", "id", "label", "label_reclass", "category", "r", "g", "b", "confusion")
@@ -521,6 +536,11 @@ BODIES: dict[str, str] = {
   FROM stagefit UNION ALL SELECT 'testing', 1, region_id, defor_px, area_px, round(rel_freq, 6), imputed FROM stagefull""",
     "staged_unseen_zones": """SELECT DISTINCT region_id // 1000 AS zone FROM stagemiss
   WHERE region_id // 1000 NOT IN (SELECT region_id // 1000 FROM stagefit)""",
+    "stored_statistics": """SELECT 'testing' AS stage, 'alternative' AS model, 'CAL' AS phase, count(*) AS n, round(regr_slope(y, x), 5) AS ols_slope,
+  round(pow(corr(x, y), 2), 5) AS r2, round(median(abs(x - y)), 5) AS medae, round(max(s), 5) AS ts_slope,
+  round(median(y) - max(s) * median(x), 5) AS ts_intercept FROM eacuse,
+  (SELECT median((b.y - a.y) / (b.x - a.x)) AS s FROM eacuse a JOIN eacuse b ON b.x > a.x)""",
+    "stored_after_failed_write": "SELECT region_id, defor_px, area_px, round(rel_freq, 6) AS rel_freq FROM freq",
     "stored_threshold": "SELECT bin, n, round(cum_share, 6) AS cum_share, (SELECT nrt FROM nrt) AS nrt FROM cums",
     "exported_cells": """SELECT cell_id, cell_r, cell_c, round(area_ha, 6) AS area_ha, round(actual_ha, 6) AS actual_ha,
   round(pred_ha, 6) AS pred_ha, round(residual_ha, 6) AS residual_ha, '01_demo_cells_v2.csv' AS file FROM cells""",

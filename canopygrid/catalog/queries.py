@@ -21,7 +21,7 @@ from canopygrid.operators import classify as cls
 from canopygrid.operators import layers as lay
 from canopygrid.operators import quality as qual
 from canopygrid.operators import tabulate as tab
-from canopygrid.operators.components import mask_components
+from canopygrid.operators.components import mask_components, parts_of_cells
 from canopygrid.operators.distance import euclidean_distances
 from canopygrid.operators.metrics import evaluation_metrics, regression_sample
 from canopygrid.operators.opening import opened_pixels, stratum_key
@@ -120,6 +120,14 @@ def tile_layer(spark, sf_dir):
     )
 
 
+@query
+def tile_layer_values(spark, sf_dir):
+    """Every value of the dense tiles by its place."""
+    base = data.layers(spark, sf_dir).withColumn("v", F.when(F.col("fcbm") >= 6, F.col("fcbm")))
+    tiles = src.pixels_to_tiles(base, 16, 16, "v", 255.0)
+    return tiles.select("tile_r", "tile_c", F.posexplode("data").alias("pos", "v")).withColumn("v", F.col("v").cast("int"))
+
+
 @query
 def tile_pixels(spark, sf_dir):
     """The same tiles exploded back to pixels with the sentinel dropped."""
@@ -286,13 +294,13 @@ def euclidean_distance_tiled(spark, sf_dir):
 @query
 def distance_histogram(spark, sf_dir):
     pixels, grid = measured(spark, sf_dir, "t1_distance")
-    return cls.histogram(ph.loss_distances(pixels), "t1_distance", grid.step)
+    return ph.distance_histogram(pixels, grid)
 
 
 @query
 def cumulative_share(spark, sf_dir):
     pixels, grid = measured(spark, sf_dir, "t1_distance")
-    bins = cls.histogram(ph.loss_distances(pixels), "t1_distance", grid.step)
+    bins = ph.distance_histogram(pixels, grid)
     return rounded(cls.cumulative_share(bins).select("bin", "cum_n", "cum_share"), "cum_share")
 
 
@@ -347,6 +355,13 @@ def frequency_table(spark, sf_dir):
     return rounded(fit.frequency.drop("imputed"), "rel_freq").orderBy("region_id")
 
 
+@query
+def frequency_with_background(spark, sf_dir):
+    """The fitted table with a row of zeros for the background."""
+    fit, _, _, _ = fitted(spark, sf_dir)
+    return rounded(tab.with_background(fit.frequency).drop("imputed"), "rel_freq")
+
+
 @query
 def frequency_table_alternative(spark, sf_dir):
     base = ph.risk_class(derived(spark, sf_dir), "alternative", "CAL", data.grid_of(spark, sf_dir), 30, None)
@@ -520,7 +535,7 @@ def median_and_slope_distributed(spark, sf_dir):
     )
     n = points.count()
     out = spark.createDataFrame(
-        [(n, exact_median(points, "y"), theil_sen_slope(points, n, "x", "y", block=512))],
+        [(n, exact_median(points, "y"), theil_sen_slope(points, "x", "y", chunk=512))],
         "n long, med_y double, ts_slope double",
     )
     return rounded(out, "med_y", "ts_slope", digits=3)
@@ -563,8 +578,24 @@ def evaluation_stage(spark, sf_dir):
 def part_coverage(spark, sf_dir):
     """Pixels per evaluation cell and connected part of the forest mask."""
     grid = data.grid_of(spark, sf_dir)
-    parts = mask_components(derived(spark, sf_dir), grid, "t2_forest", tile=48)
-    return cel.part_coverage(parts, cel.spacing(CELL_HA, grid), grid)
+    return parts_of_cells(derived(spark, sf_dir), grid, cel.spacing(CELL_HA, grid), "t2_forest", tile=48)
+
+
+@query
+def evaluation_cells_of_parts(spark, sf_dir):
+    """Strict cells of an area in many parts.
+
+    Slanted gaps cut the upper cells into parts, upright ones only trim the lower
+    cells: all keep as many pixels, but only the lower ones in one part.
+    """
+    grid = data.grid_of(spark, sf_dir)
+    row, col = F.col("row"), F.col("col")
+    gap = F.when(row < 56, (row + col) % 16 == 0).when(row > 56, (col + 8) % 16 == 0).otherwise(F.lit(True))
+    pixels = derived(spark, sf_dir).withColumn("area", F.when((F.col("area") == 1) & ~gap, 1).otherwise(0))
+    pixels = pixels.withColumn("density", F.col("etp_cal") * grid.pixel_ha)
+    coverage = parts_of_cells(pixels, grid, cel.spacing(CELL_HA, grid), "area", tile=48)
+    out = cel.evaluation_grid(pixels, grid, CELL_HA, loss="hrp_deforestation", coverage=coverage)
+    return rounded(out, "area_ha", "actual_ha", "pred_ha", "residual_ha")
 
 
 # Allocation
@@ -577,7 +608,7 @@ def allocation_base(spark, sf_dir) -> tuple[DataFrame, float]:
 
 def allocated(spark, sf_dir, **options) -> alloc.Allocation:
     base, pixel_ha = allocation_base(spark, sf_dir)
-    return alloc.allocate(base, pixel_ha, YEARS, FOREST, 0, limit=64, **{"etp": "etp", **options})
+    return alloc.allocate(base, pixel_ha, YEARS, FOREST, 0, **{"etp": "etp", **options})
 
 
 @query
@@ -616,7 +647,7 @@ def alloc_mask_filtered(spark, sf_dir):
     wide = wide.withColumn("area", F.floor(F.col("row") / 20).cast("int")).withColumn(
         "region", F.floor(F.col("col") / 24).cast("int")
     )
-    done = alloc.allocate(materialise(wide), pixel_ha, 1.0, FOREST, 0, etp="etp", kernel=3, limit=64)
+    done = alloc.allocate(materialise(wide), pixel_ha, 1.0, FOREST, 0, etp="etp", kernel=3)
     return done.pixels.select("row", "col", "allocated")
 
 
@@ -626,6 +657,12 @@ def modified_cover(spark, sf_dir):
     return out.groupBy("area", "region", "lulc", "modified_lulc").agg(F.count("*").alias("n_px"))
 
 
+@query
+def modified_cover_pixels(spark, sf_dir):
+    """Cover of every pixel before and after allocation."""
+    return allocated(spark, sf_dir).pixels.select("row", "col", "lulc", "modified_lulc")
+
+
 @query
 def stratum_opening(spark, sf_dir):
     """Pixels that survive opening of strata 20 rows by 24 columns wide."""
@@ -644,7 +681,7 @@ def top_pixels_per_division(spark, sf_dir):
     """Top-N per group with the N of each group in a table."""
     base = data.layers(spark, sf_dir)
     wanted = base.groupBy("division").agg((F.max("row") + F.min("col")).cast("long").alias("wanted"))
-    return top_n(base, ["division"], "etp_cnf", cut(wanted), "wanted", limit=32).select("row", "col", "division")
+    return top_n(base, ["division"], "etp_cnf", cut(wanted), "wanted").select("row", "col", "division")
 
 
 @query
@@ -721,6 +758,12 @@ def quality_clean_rows(spark, sf_dir):
     return qual.clean_rows(data.class_table(spark, sf_dir)).groupBy("category").agg(F.count("*").alias("n"))
 
 
+@query
+def quality_cleaned_table(spark, sf_dir):
+    """The rows that cleaning keeps, or an error where it keeps none."""
+    return qual.require_rows(qual.clean_rows(data.class_table(spark, sf_dir)))
+
+
 @query
 def quality_null_counts(spark, sf_dir):
     classes = data.class_table(spark, sf_dir)
@@ -854,6 +897,32 @@ def staged_unseen_zones(spark, sf_dir):
     return store.read("unseen_zones", "alternative", "CNF")
 
 
+@query
+def stored_statistics(spark, sf_dir):
+    """Evaluation statistics of one call, read back as a later call finds them."""
+    store = ResultStore(spark, scratch_path(spark, "store"), project="demo", version="2")
+    base, grid = materialise(data.layers(spark, sf_dir)), data.grid_of(spark, sf_dir)
+    for stage in ("ALT Calibration (CAL)", "ALT Evaluation CAL"):
+        runs.run([stage], base, grid, ph.Params(evaluation_grid_area=CELL_HA), store)
+    out = store.overview("evaluation_metrics").select("stage", "model", "phase", "n", "ols_slope", "r2", "medae", "ts_slope", "ts_intercept")
+    return rounded(out, "ols_slope", "r2", "medae", "ts_slope", "ts_intercept", digits=5)
+
+
+@query
+def stored_after_failed_write(spark, sf_dir):
+    """A fitted table as readers see it after a second write of it failed half-way."""
+    fit, _, _, _ = fitted(spark, sf_dir)
+    store = ResultStore(spark, scratch_path(spark, "store"), project="demo", version="2")
+    store.write_frequency(fit.frequency, "benchmark", "CAL")
+    broken = F.when(F.col("region_id") % 7 == 0, F.raise_error(F.lit("lost")).cast("double")).otherwise(F.lit(2.0))
+    try:
+        store.write_frequency(fit.frequency.withColumn("rel_freq", broken), "benchmark", "CAL", 1)
+    except Exception as error:  # noqa: BLE001
+        if "lost" not in str(error):
+            raise
+    return rounded(store.read_frequency("benchmark", "CAL").drop("imputed"), "rel_freq")
+
+
 @query
 def stored_threshold(spark, sf_dir):
     """The risk threshold of one call, as a later call reads it, with the histogram beside it."""

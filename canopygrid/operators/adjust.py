@@ -1,18 +1,22 @@
 """Density maps and their iterative, capped rescaling to a known total.
 
 Density is constant within a region, so the loop runs on the region table
-(``region_id, n_px, density``) and touches the pixels once, at the end.
+(``region_id, n_px, density``) and touches the pixels once, at the end.  After any
+number of rounds a density is ``min(factor * density, ceiling)``: a round multiplies both
+numbers by the ratio and lowers the ceiling to the cap.  With regions in the order of
+their densities, the total of a round follows from two running sums.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopygrid.lineage import cut
-from canopygrid.operators.tabulate import lookup
+from canopygrid.operators.tabulate import lookup, lookups
 
 # Default loop limits.
 MAX_ITERATIONS = 5
@@ -68,6 +72,24 @@ def capped(density: Column | str, ratio: float, cap: float) -> Column:
     return F.least(d * ratio, F.lit(cap))
 
 
+class _Modelled:
+    """Totals of rescaled densities, from the pixels of each density.
+
+    Regions number at most ``MAX_CLASSES * DIVISION_BASE``, which bounds what comes to the driver.
+    """
+
+    def __init__(self, regions: DataFrame) -> None:
+        profile = regions.groupBy(F.col("density").cast("double").alias("density")).agg(F.sum("n_px").cast("double").alias("n_px")).orderBy("density").toArrow()
+        self.density, n = (profile.column(c).to_numpy() for c in ("density", "n_px"))
+        self.n, self.ha = np.r_[0.0, np.cumsum(n)], np.r_[0.0, np.cumsum(n * self.density)]
+
+    def total(self, factor: float, ceiling: float) -> float:
+        """Sum of ``min(factor * density, ceiling)`` over all pixels."""
+        below = int(np.searchsorted(self.density * factor, ceiling, side="right"))
+        above = self.n[-1] - self.n[below]
+        return float(factor * self.ha[below] + (ceiling * above if above else 0.0))
+
+
 @dataclass
 class Adjustment:
     """Outcome of the loop: region table with ``adjusted``, and one log row per step."""
@@ -95,21 +117,23 @@ def adjust(
     """Rescale densities until the modelled total meets ``ad`` or the rounds run out.
 
     Each round multiplies the current densities by the current ratio and caps
-    them.  A round costs one aggregation over the region table; the table is
-    written to the checkpoint folder first so that rounds never re-read pixels.
+    them.  All rounds together cost one aggregation over the region table, which
+    is written to the checkpoint folder so that pixels are never re-read.
     """
     table = cut(regions)
-    density: Column = F.col("density")
-    md = modelled_total(table, density)
+    modelled = _Modelled(table)
+    factor, ceiling = 1.0, float("inf")
+    md = modelled.total(factor, ceiling)
     ratio = adjustment_ratio(md, ad)
     log = [(0, md, float(ad), ratio)]
     step = 0
     while (ratio > tolerance or ratio < 1 / tolerance) and step < max_iterations:
         step += 1
-        density = capped(density, ratio, cap)
-        md = modelled_total(table, density)
+        factor, ceiling = factor * ratio, min(ceiling * ratio, cap)
+        md = modelled.total(factor, ceiling)
         ratio = adjustment_ratio(md, ad)
         log.append((step, md, float(ad), ratio))
+    density = capped("density", factor, ceiling) if step else F.col("density")
     final = density / years if years is not None and years > 0 else density
     return Adjustment(
         regions=table.withColumn("adjusted", final),
@@ -126,6 +150,15 @@ def adjusted_map(
     return found.withColumn(output, F.when(F.col(risk_class).isNotNull(), F.col(output)))
 
 
+def predicted_maps(pixels: DataFrame, frequency: DataFrame, adjustment: Adjustment, pixel_ha: float, risk_class: str = "risk_class") -> DataFrame:
+    """``density`` and ``adjusted`` per pixel by one lookup, NULL where the class layer has no data."""
+    table = frequency.select("region_id", (F.col("rel_freq") * pixel_ha).alias("density"))
+    table = table.join(adjustment.regions.select("region_id", "adjusted"), "region_id", "full")
+    names = ("density", "adjusted")
+    found = lookups(pixels, table, {name: name for name in names})
+    return found.withColumns({name: F.when(F.col(risk_class).isNotNull(), F.col(name)) for name in names})
+
+
 __all__ = [
     "Adjustment",
     "actual_total",
@@ -136,5 +169,6 @@ __all__ = [
     "density_map",
     "frequency_map",
     "modelled_total",
+    "predicted_maps",
     "region_densities",
 ]

@@ -21,9 +21,10 @@ def observed_loss(df: DataFrame, distance: str = "distance", mask: str = "mask",
     return df.filter((F.col(mask) == 1) & (F.col(loss) == 1) & (F.col(distance) > 0))
 
 
-def histogram(df: DataFrame, value: str, width: float) -> DataFrame:
+def histogram(df: DataFrame, value: str, width: float, number: str | None = None) -> DataFrame:
     """Counts over half-open bins of ``width`` from the minimum; the last bin is closed.
 
+    Rows count once, or as often as their column ``number`` says.
     Returns ``bin, bin_start, bin_end, n`` with empty bins included.  Values are
     counted per bin before the shuffle, so the shuffled data is as long as the
     histogram, not as the layer.  The bounds are one scalar subquery, which
@@ -35,9 +36,9 @@ def histogram(df: DataFrame, value: str, width: float) -> DataFrame:
     low, high = bounds.getField("lo"), bounds.getField("hi")
     bins = F.greatest(F.lit(1), F.ceil((high - low) / width)).cast("long")
     counted = (
-        valid.select(F.least(F.floor((v - low) / width), bins - 1).cast("long").alias("bin"))
+        valid.select(F.least(F.floor((v - low) / width), bins - 1).cast("long").alias("bin"), (F.col(number) if number else F.lit(1)).alias("n"))
         .groupBy("bin")
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("n").alias("n"))
     )
     frame = df.sparkSession.range(1).select(low.alias("lo"), bins.alias("bins")).filter("lo IS NOT NULL")
     frame = frame.select("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bins") - 1)).alias("bin"))

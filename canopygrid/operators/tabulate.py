@@ -137,14 +137,19 @@ def with_background(table: DataFrame) -> DataFrame:
 
 
 def lookup(pixels: DataFrame, table: DataFrame, value: str, output: str, region: str = "region_id") -> DataFrame:
-    """Exact-match lookup of a region value per pixel; background and absent regions give 0.
+    """Exact-match lookup of a region value per pixel; background and absent regions give 0."""
+    return lookups(pixels, table, {output: value}, region)
+
+
+def lookups(pixels: DataFrame, table: DataFrame, values: dict[str, str], region: str = "region_id") -> DataFrame:
+    """Several region values per pixel (output name to table column) by one join.
 
     The table has at most ``MAX_REGIONS`` rows by construction, so it is broadcast
     and the pixels stay where they are.
     """
-    small = table.select(F.col("region_id").alias("_region"), F.col(value).alias("_value"))
+    small = table.select(F.col("region_id").alias("_region"), *[F.col(v).alias(f"_{name}") for name, v in values.items()])
     return (
         pixels.join(F.broadcast(small), F.col(region) == F.col("_region"), "left")
-        .withColumn(output, F.coalesce("_value", F.lit(0.0)))
-        .drop("_region", "_value")
+        .withColumns({name: F.coalesce(f"_{name}", F.lit(0.0)) for name in values})
+        .drop("_region", *[f"_{name}" for name in values])
     )

@@ -18,7 +18,7 @@ from canopygrid.operators import adjust as adj
 from canopygrid.operators import cells as cel
 from canopygrid.operators import classify as cls
 from canopygrid.operators import tabulate as tab
-from canopygrid.operators.components import mask_components
+from canopygrid.operators.components import parts_of_cells
 from canopygrid.operators.distance import euclidean_distances
 from canopygrid.operators.layers import DERIVED_MAPS, area_mask, combined_mask, derived_map
 from canopygrid.operators.metrics import evaluation_metrics
@@ -95,9 +95,19 @@ def loss_distances(pixels: DataFrame) -> DataFrame:
     return cls.observed_loss(pixels, "t1_distance", "mask", "hrp_deforestation")
 
 
+def distance_histogram(pixels: DataFrame, grid: GridSpec) -> DataFrame:
+    """Histogram of these distances from one scan of the pixels.
+
+    Distances are roots of whole numbers, so few of them differ: pixels are
+    counted by distance, and bins come from the stored counts.
+    """
+    counts = materialise(loss_distances(pixels).groupBy("t1_distance").agg(F.count("*").alias("n")))
+    return cls.histogram(counts, "t1_distance", grid.step, "n")
+
+
 def threshold(pixels: DataFrame, grid: GridSpec) -> DataFrame:
     """One-row risk threshold from first-period distances and historical loss."""
-    return cls.risk_threshold(cls.histogram(loss_distances(pixels), "t1_distance", grid.step))
+    return cls.risk_threshold(distance_histogram(pixels, grid))
 
 
 def risk_class(pixels: DataFrame, model: str, phase: str, grid: GridSpec, n_classes: int, nrt: int | None) -> DataFrame:
@@ -174,9 +184,8 @@ def predict(
     outcome = adj.adjust(
         adj.region_densities(counts, complete, grid.pixel_ha), total, grid.pixel_ha, max_iterations, tolerance, years
     )
-    dense = adj.density_map(classed, complete, grid.pixel_ha)
     unseen = tab.unseen_zones(counts, frequency)
-    return Prediction(adj.adjusted_map(dense, outcome), complete, unseen, outcome)
+    return Prediction(adj.predicted_maps(classed, complete, outcome, grid.pixel_ha), complete, unseen, outcome)
 
 
 @dataclass
@@ -189,8 +198,7 @@ class Evaluation:
 
 def strict_coverage(pixels: DataFrame, grid: GridSpec, grid_area_ha: float) -> DataFrame:
     """Cell coverage per connected part of the area mask, shared by all evaluations of a run."""
-    g = cel.spacing(grid_area_ha, grid)
-    return cut(cel.part_coverage(mask_components(pixels, grid, "area"), g, grid))
+    return cut(parts_of_cells(pixels, grid, cel.spacing(grid_area_ha, grid), "area"))
 
 
 def evaluate(

@@ -113,7 +113,7 @@ def run(
 def _threshold(pixels, grid, params, store, step) -> int:
     if step != ("fit", "CAL"):
         return store.read_threshold()
-    bins = cls.cumulative_share(cls.histogram(ph.loss_distances(pixels), "t1_distance", grid.step))
+    bins = cls.cumulative_share(ph.distance_histogram(pixels, grid))
     found = cls.risk_threshold(bins.select("bin", "bin_start", "bin_end", "n"))
     nrt = cls.threshold_value(found)
     if store is not None:

@@ -1,13 +1,22 @@
-"""Result tables of a run, one folder per project, version, stage, model and phase."""
+"""Result tables of a run, one folder per project, version, stage, model and phase.
+
+Every write goes to a folder of its own; only when it is complete, one row of a
+manifest names the folders that make up the table from then on.  So readers see a
+table as it was before a write or after it, also while one runs or when one fails,
+and what a lost or failed attempt leaves behind is never read.
+"""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+MANIFEST_SCHEMA = "number long, writes array<string>"
 # Which stage a phase belongs to.
 STAGE_OF_PHASE = {"CAL": "testing", "CNF": "testing", "HRP": "application", "VP": "application"}
 
@@ -21,43 +30,72 @@ class ResultStore:
     project: str = "default"
     version: str = "1"
 
+    def _place(self, model: str, phase: str) -> str:
+        return f"project={self.project}/version={self.version}/stage={STAGE_OF_PHASE[phase]}/model={model}/phase={phase}"
+
     def path(self, table: str, model: str, phase: str) -> str:
         """Folder of a table; the parts are readable as partition columns."""
-        return (
-            f"{self.root}/{table}/project={self.project}/version={self.version}"
-            f"/stage={STAGE_OF_PHASE[phase]}/model={model}/phase={phase}"
-        )
+        return f"{self.root}/{table}/{self._place(model, phase)}"
 
-    def write(self, df: DataFrame, table: str, model: str, phase: str, mode: str = "overwrite") -> None:
-        df.write.mode(mode).parquet(self.path(table, model, phase))
+    def _manifest(self, table: str, place: str = "") -> DataFrame | None:
+        """``number, writes`` of what was published, or nothing."""
+        base = f"{self.root}/published/{table}"
+        try:
+            return self.spark.read.option("basePath", base).parquet(f"{base}/{place}")
+        except AnalysisException:
+            return None
+
+    def published(self, table: str, model: str, phase: str) -> list[str] | None:
+        """Names of the complete writes that make up a table."""
+        manifest = self._manifest(table, self._place(model, phase))
+        newest = None if manifest is None else manifest.orderBy(F.desc("number")).select("number", "writes").first()
+        return None if newest is None else list(newest["writes"])
+
+    def _write(self, df: DataFrame, table: str, model: str, phase: str, name: str = "w") -> str:
+        """Write beside what is published, under a new name."""
+        name = f"{name}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path(table, model, phase)}/write={name}")
+        return name
+
+    def _publish(self, table: str, model: str, phase: str, writes: Sequence[str]) -> None:
+        """Make complete writes the table, by adding one file with one row."""
+        manifest = self._manifest(table, self._place(model, phase))
+        last = manifest.agg(F.max("number")).first()[0] if manifest is not None else None
+        row = self.spark.createDataFrame([((last or 0) + 1, list(writes))], MANIFEST_SCHEMA)
+        row.coalesce(1).write.mode("append").parquet(f"{self.root}/published/{table}/{self._place(model, phase)}")
+
+    def write(self, df: DataFrame, table: str, model: str, phase: str) -> None:
+        """Replace a table."""
+        self._publish(table, model, phase, [self._write(df, table, model, phase)])
 
     def read(self, table: str, model: str, phase: str) -> DataFrame:
         """The table, or an error naming the phase that has to run first."""
-        path = self.path(table, model, phase)
-        try:
-            return self.spark.read.parquet(path)
-        except AnalysisException as error:
-            raise FileNotFoundError(f"{table} of {model} {phase} not found at {path}: run that phase first") from error
+        path, writes = self.path(table, model, phase), self.published(table, model, phase)
+        if writes is None:
+            raise FileNotFoundError(f"{table} of {model} {phase} not found at {path}: run that phase first")
+        return self.spark.read.parquet(*[f"{path}/write={name}" for name in writes])
 
     def has(self, table: str, model: str, phase: str) -> bool:
-        try:
-            self.read(table, model, phase)
-        except FileNotFoundError:
-            return False
-        return True
+        return self.published(table, model, phase) is not None
 
     def overview(self, table: str) -> DataFrame:
         """All versions, models and phases of a table, as partition columns."""
-        return self.spark.read.option("basePath", f"{self.root}/{table}").parquet(f"{self.root}/{table}")
+        manifest = self._manifest(table)
+        if manifest is None:
+            raise FileNotFoundError(f"no {table} found below {self.root}")
+        # One row for each write ever published: as many as phases were run.
+        newest = manifest.groupBy("project", "version", "stage", "model", "phase").agg(F.max_by("writes", "number").alias("writes"))
+        every = self.spark.read.option("basePath", f"{self.root}/{table}").parquet(f"{self.root}/{table}")
+        return every.join(newest.select(F.explode("writes").alias("write")), "write", "left_semi").drop("write")
 
     # Frequency tables keep every revision: 0 as fitted, higher ones after imputation.
 
     def write_frequency(self, table: DataFrame, model: str, phase: str, revision: int = 0) -> None:
         """Store one revision; a new fit (revision 0) replaces all revisions of the old one."""
         out = table.select("region_id", "defor_px", "area_px", "rel_freq", "imputed", F.lit(revision).alias("revision"))
-        writer = out.write.mode("overwrite").partitionBy("revision")
-        scope = "static" if revision == 0 else "dynamic"
-        writer.option("partitionOverwriteMode", scope).parquet(self.path("frequency", model, phase))
+        kept = [] if revision == 0 else self.published("frequency", model, phase) or []
+        name = self._write(out, "frequency", model, phase, f"r{revision}")
+        self._publish("frequency", model, phase, [w for w in kept if not w.startswith(f"r{revision}-")] + [name])
 
     def read_frequency(self, model: str, phase: str, revision: int | None = None) -> DataFrame:
         """The newest revision, or the one asked for."""
