@@ -48,15 +48,17 @@ SHARE = 50
 TOP = 2000
 SCALE = 1_000_000
 #: Bytes of text that a task looks at together.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Texts that a task looks at together, at most about.
 CHUNK_TEXTS = 1 << 16
 #: Bytes of text whose suffixes make one route.
-ROUTE_BYTES = 16 << 20
+ROUTE_BYTES = 8 << 20
 #: Suffixes that one task sorts, about; a route of more than twice as many is divided.
 ROUTE_ROWS = ROUTE_BYTES // 6
 #: Classes by a hash of the leading words with which the sort of a route starts.
 FIRST_CLASSES = 1 << 12
+#: Pointers that are sorted together, about; classes are never cut.
+STRIP_ROWS = 1 << 18
 #: Parts that occur this often, as a share of all words, are few and travel by broadcast.
 HOT_SHARE = 4096
 #: Widest packed key of a suffix.
@@ -97,7 +99,8 @@ class Tokens:
         spoken = pa.array(langs, pa.string()).dictionary_encode()
         width = len(words.dictionary)
         both = spoken.indices.to_numpy()[rows].astype(np.int64) * width + words.indices.to_numpy()
-        pairs, self.codes, self.counts = np.unique(both, return_inverse=True, return_counts=True)
+        pairs, codes, self.counts = np.unique(both, return_inverse=True, return_counts=True)
+        self.codes = codes.astype(np.int32)
         self.langs = pc.take(spoken.dictionary, pa.array(pairs // max(width, 1)))
         self.words = pc.take(words.dictionary, pa.array(pairs % max(width, 1)))
         piece = np.searchsorted(np.flatnonzero(BREAK[data]), starts)
@@ -259,24 +262,26 @@ def quicksorted(columns: np.ndarray, numbers: np.ndarray, fewest: int, classes:
 
 def _mined(blocks: list[tuple], longest: int, fewest: int, whole: bool) -> Iterator[pa.RecordBatch]:
     """Phrases of one route (or of a part of one)."""
-    all_ids = np.concatenate([np.frombuffer(b[2], dtype=np.uint64) for b in blocks])
-    ids, code = np.unique(np.r_[np.uint64(0), all_ids], return_inverse=True)
-    code = code[1:].astype(np.int32)
-    columns: list[list] = [[] for _ in range(longest)]
-    numbers, at = [], 0
-    for _, _, held, wide, places, broad, n in blocks:
-        size = len(held) // 8
-        local = code[at : at + size][np.frombuffer(places, dtype=f"u{wide}")].reshape(longest, -1)
+    ids = c.distinct(np.concatenate([np.zeros(1, dtype=np.uint64), *(np.frombuffer(b[2], dtype=np.uint64) for b in blocks)]))
+    sizes = [len(b[6]) // b[5] for b in blocks]
+    table, numbers = np.empty((longest, sum(sizes)), dtype=np.int32), np.empty(sum(sizes), dtype=np.int64)
+    at = 0
+    for (_, _, held, wide, places, broad, n), size in zip(blocks, sizes, strict=True):
+        code = np.searchsorted(ids, np.frombuffer(held, dtype=np.uint64)).astype(np.int32)
+        table[:, at : at + size] = code[np.frombuffer(places, dtype=f"u{wide}")].reshape(longest, -1)
+        numbers[at : at + size] = np.frombuffer(n, dtype=f"u{broad}")
         at += size
-        for d in range(longest):
-            columns[d].append(local[d])
-        numbers.append(np.frombuffer(n, dtype=f"u{broad}").astype(np.int64))
-    table = np.stack([np.concatenate(x) for x in columns])
-    classes = (leading(ids[table[0]], ids[table[1]]) >> np.uint64(40)) % np.uint64(FIRST_CLASSES)
-    for depth, pointers, totals in quicksorted(table, np.concatenate(numbers), fewest, classes.astype(np.int16), whole):
-        words = ids[table[:depth, pointers].T.reshape(-1)].view(np.int64)
-        spots = np.arange(0, len(words) + 1, depth, dtype=np.int32)
-        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(spots), pa.array(words)), pa.array(totals)], names=["gram", "f"])
+    classes = ((leading(ids[table[0]], ids[table[1]]) >> np.uint64(40)) % np.uint64(FIRST_CLASSES)).astype(np.int16)
+    order = np.argsort(classes, kind="stable")
+    heads = np.flatnonzero(np.r_[True, np.diff(classes[order]) != 0])
+    cuts = np.unique(np.r_[heads[np.searchsorted(heads, np.arange(0, len(order), STRIP_ROWS)).clip(max=len(heads) - 1)], len(order)])
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        some = order[a:b]
+        columns = table[:, some]
+        for depth, pointers, totals in quicksorted(columns, numbers[some], fewest, classes[some], whole):
+            words = ids[columns[:depth, pointers].T.reshape(-1)].view(np.int64)
+            spots = np.arange(0, len(words) + 1, depth, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(spots), pa.array(words)), pa.array(totals)], names=["gram", "f"])
 
 
 def _sorted_routes(batches: Iterator[pa.RecordBatch], divided: set[int], longest: int, fewest: int) -> Iterator[pa.RecordBatch]:
