@@ -386,6 +386,7 @@ BODIES: dict[str, str] = {
     "rescaled_potential": f"SELECT {POSITION}, round(v_cal, 6) AS rescaled FROM resc",
     "euclidean_distance": f"""SELECT {POSITION}, round(t1_distance, 6) AS t1_distance, round(t2_distance, 6) AS t2_distance,
   round(t3_distance, 6) AS t3_distance FROM dist""",
+    "stored_layer_distance": f"SELECT {POSITION}, round(30.0 * sqrt(d2), 6) AS distance FROM nearest WHERE l = 4",
     "euclidean_distance_tiled": f"SELECT {POSITION}, round(30.0 * sqrt(d2), 6) AS distance FROM nearest WHERE l = 4",
     "distance_histogram": "SELECT bin, bin_start, bin_end, n FROM hist",
     "cumulative_share": "SELECT bin, cum_n, round(cum_share, 6) AS cum_share FROM cums",

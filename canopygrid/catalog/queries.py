@@ -28,6 +28,7 @@ from canopygrid.operators.opening import opened_pixels, stratum_key
 from canopygrid.operators.order_stats import exact_median, theil_sen_slope
 from canopygrid.operators.ranking import top_n
 from canopygrid.operators.rasterize import rasterize_divisions
+from canopygrid.operators.tiles import read_tiled, write_tiled
 from canopygrid.plans import phases as ph
 from canopygrid.plans import run as runs
 from canopygrid.sources import pixels as src
@@ -291,6 +292,16 @@ def euclidean_distance_tiled(spark, sf_dir):
     return rounded(out.select("row", "col", "distance"), "distance")
 
 
+@query
+def stored_layer_distance(spark, sf_dir):
+    """The same distance on a layer file that is stored by tile, so that its pixels are not shuffled."""
+    grid, path = data.grid_of(spark, sf_dir), scratch_path(spark, "layer")
+    write_tiled(masked(spark, sf_dir).select("row", "col", "fcbm"), path, 8, 48)
+    layer = read_tiled(spark, path, 8)
+    out = euclidean_distances(layer, {"distance": F.coalesce(F.col("fcbm") == 1, F.lit(False))}, grid, None, 48, tiled=True)
+    return rounded(out.select("row", "col", "distance"), "distance")
+
+
 @query
 def distance_histogram(spark, sf_dir):
     pixels, grid = measured(spark, sf_dir, "t1_distance")

@@ -14,8 +14,10 @@ tiles so that no task ever holds a whole row or column of the grid:
 4. each tile combines its own targets with the carried values and the incoming
    parabolas.
 
-Pixels are shuffled once (step 4).  All arithmetic is on integers, so results
-do not depend on the tiling; the square root is taken last.
+Pixels are shuffled once, into a table bucketed by tile that steps 2 and 4 both
+read where it lies; a layer that is stored so already is not shuffled at all.  All
+arithmetic is on integers, so results do not depend on the tiling; the square root
+is taken last.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import types as T
 
 from canopygrid.grid import TILE, GridSpec
 from canopygrid.lineage import materialise
-from canopygrid.operators.tiles import block_of, tile_key, unpack, with_tile
+from canopygrid.operators.tiles import block_of, clustered, tile_key, unpack
 
 FAR = np.int64(2**62)
 
@@ -232,12 +234,13 @@ def _make_combine(layers: int, tile: int, passed: list[str]):
 
 
 def squared_distances(
-    pixels: DataFrame, targets: Mapping[str, Column], grid: GridSpec, tile: int = TILE
+    pixels: DataFrame, targets: Mapping[str, Column], grid: GridSpec, tile: int = TILE, tiled: bool = False
 ) -> DataFrame:
     """``pixels`` plus one BIGINT column per target: squared distance in pixels, NULL without targets.
 
     ``targets`` maps output names to boolean columns; all of them share the
-    single shuffle of the pixels.  Every other column of ``pixels`` is kept.
+    single shuffle of the pixels.  Every other column of ``pixels`` is kept.  With
+    ``tiled``, pixels come with their ``tile`` from a table bucketed by it.
     """
     names = list(targets)
     bands = -(-grid.height // tile)
@@ -246,7 +249,9 @@ def squared_distances(
     bits = F.lit(0)
     for i, name in enumerate(names):
         bits = bits + F.when(targets[name], 1 << i).otherwise(0)
-    flagged = with_tile(pixels.withColumn("targets", bits), tile)
+    flagged = pixels.withColumn("targets", bits)
+    if not tiled:
+        flagged = clustered(flagged, tile)
     hit = flagged.select("row", "col", "targets", "tile").filter("targets > 0")
 
     # 1. First and last target per layer, column and tile row, then carried across tile rows.
@@ -282,25 +287,28 @@ def squared_distances(
 
     # 2. and 3. Parabolas that cross tile borders.  The carried values (one row per
     # tile column and tile row) are read twice from here on, so they are written out.
-    carry = materialise(carry)
-    lines = (
-        hit.groupBy("tile")
-        .cogroup(carry.groupBy("tile"))
-        .applyInArrow(_make_outgoing(len(names), tile), "layer int, row int, c int, g long")
-    )
-    incoming = lines.groupBy("layer", "row").applyInArrow(
-        _make_incoming(tile, blocks), "tile long, layer int, row int, c int, g long"
-    )
-    hints = carry.unionByName(
-        incoming.select(
-            "tile",
-            F.lit(1).alias("kind"),
-            "layer",
-            F.col("c").alias("x"),
-            F.col("row").cast("long").alias("a"),
-            F.col("g").alias("b"),
+    hints = carry
+    if blocks > 1:
+        # With one column of tiles no parabola crosses a border.
+        carry = materialise(carry)
+        lines = (
+            hit.groupBy("tile")
+            .cogroup(carry.groupBy("tile"))
+            .applyInArrow(_make_outgoing(len(names), tile), "layer int, row int, c int, g long")
+        )
+        incoming = lines.groupBy("layer", "row").applyInArrow(
+            _make_incoming(tile, blocks), "tile long, layer int, row int, c int, g long"
+        )
+        hints = carry.unionByName(
+            incoming.select(
+                "tile",
+                F.lit(1).alias("kind"),
+                "layer",
+                F.col("c").alias("x"),
+                F.col("row").cast("long").alias("a"),
+                F.col("g").alias("b"),
+            )
         )
-    )
 
     # 4. One pass over the pixels.
     schema = T.StructType(list(pixels.schema.fields) + [T.StructField(f"_d{i}", T.LongType()) for i in range(len(names))])
@@ -313,11 +321,11 @@ def squared_distances(
 
 
 def euclidean_distances(
-    pixels: DataFrame, targets: Mapping[str, Column], grid: GridSpec, mask: str | None = None, tile: int = TILE
+    pixels: DataFrame, targets: Mapping[str, Column], grid: GridSpec, mask: str | None = None, tile: int = TILE, tiled: bool = False
 ) -> DataFrame:
     """``pixels`` plus one distance column per target in map units, NULL outside ``mask``."""
     side = grid.square()
-    out = squared_distances(pixels, targets, grid, tile)
+    out = squared_distances(pixels, targets, grid, tile, tiled)
     for name in targets:
         value = F.sqrt(F.col(name).cast("double")) * side
         out = out.withColumn(name, value if mask is None else F.when(F.col(mask) == 1, value))

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopygrid.functions.scalars import numeric_text
+from canopygrid.grid import TILE
+from canopygrid.operators.tiles import unpack, with_tile
 
 GRID_FIELDS = ("height", "width", "pixel_x", "pixel_y", "origin_x", "origin_y", "crs")
 # Accepted flags and colour range.
 FLAGS = ("yes", "no")
 COLOUR_RANGE = (0, 255)
+# Fixed value: bits of one bitmap of the engine.
+BITS = 32768
 INTEGER_TYPES = ("byte", "short", "int", "bigint", "tinyint", "smallint")
 FLOAT_TYPES = ("float", "double")
 
@@ -41,11 +47,36 @@ def alignment_issues(grids: DataFrame, reference: str) -> DataFrame:
     )
 
 
+def _presence(layer: DataFrame) -> DataFrame:
+    """``tile, half, bits``: the positions of a layer as one bitmap for each half of a tile."""
+    place = F.pmod("row", F.lit(TILE)) * TILE + F.pmod("col", F.lit(TILE))
+    placed = with_tile(layer.select("row", "col")).select("tile", F.floor(place / BITS).alias("half"), (place % BITS).cast("long").alias("bit"))
+    return placed.groupBy("tile", "half").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Positions whose bits differ."""
+    for batch in batches:
+        for tile, half, a, b in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            tile_r, tile_c = unpack(tile)
+            sides = [np.unpackbits(np.frombuffer(x or bytes(BITS // 8), dtype=np.uint8), bitorder="little") for x in (a, b)]
+            at = np.flatnonzero(sides[0] != sides[1])
+            place = at + half * BITS
+            side = pa.DictionaryArray.from_arrays(pa.array((1 - sides[0][at]).astype(np.int32)), ["layer", "template"]).cast(pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((place // TILE + tile_r * TILE).astype(np.int32)), pa.array((place % TILE + tile_c * TILE).astype(np.int32)), side], names=["row", "col", "side"]
+            )
+
+
 def missing_pixels(layer: DataFrame, template: DataFrame) -> DataFrame:
-    """``row, col, side`` of positions found in only one of two layers."""
-    a, b = layer.select("row", "col"), template.select("row", "col")
-    only = a.join(b, ["row", "col"], "left_anti").withColumn("side", F.lit("layer"))
-    return only.unionByName(b.join(a, ["row", "col"], "left_anti").withColumn("side", F.lit("template")))
+    """``row, col, side`` of positions found in only one of two layers.
+
+    Tasks build bitmaps of the tiles they meet; only these are shuffled and
+    combined, so the cost of the comparison does not grow with the pixels of a tile.
+    """
+    a, b = _presence(layer), _presence(template).withColumnRenamed("bits", "others")
+    differ = a.join(b, ["tile", "half"], "full").filter(~F.col("bits").eqNullSafe(F.col("others")))
+    return differ.select("tile", "half", "bits", "others").mapInArrow(_differences, "row int, col int, side string")
 
 
 def crs_issues(grids: DataFrame, reference: str) -> DataFrame:

@@ -1,13 +1,18 @@
 """Division polygons to pixels by the pixel-centre rule.
 
 A scanline form of the even-odd rule: every polygon edge is expanded to the
-pixel rows whose centre line it crosses, crossings of a row are paired into
-column spans, and spans are cut at column blocks.  Pixels then meet spans by an
-equi-join on (row, block), so no pixel is compared with far-away polygons.
+pixel rows whose centre line it crosses, and crossings of a row are paired into
+column spans.  One sweep along each grid row turns its overlapping spans into
+disjoint runs of the feature on top, painted into blocks of columns.  Pixels meet
+their block by an equi-join and read their place in it, however many polygons overlap there.
 """
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +69,45 @@ def polygon_spans(polygons: DataFrame, grid: GridSpec) -> DataFrame:
     )
 
 
+def top_runs(first: np.ndarray, last: np.ndarray, seq: np.ndarray) -> list[tuple[int, int, int]]:
+    """Disjoint runs ``(first, last, seq)`` of the greatest ``seq`` among spans that cover a column."""
+    order = np.argsort(first, kind="stable")
+    starts, ends, tops = first[order].tolist(), last[order].tolist(), seq[order].tolist()
+    open_: list[tuple[int, int]] = []
+    out = []
+    at, col = 0, 0
+    while at < len(starts) or open_:
+        if not open_:
+            col = starts[at]
+        while at < len(starts) and starts[at] <= col:
+            heapq.heappush(open_, (-tops[at], ends[at]))
+            at += 1
+        while open_ and open_[0][1] < col:
+            heapq.heappop(open_)
+        if open_:
+            top, end = open_[0]
+            # Until it ends, or until the next span begins.
+            end = min(end, starts[at] - 1) if at < len(starts) else end
+            out.append((col, end, -top))
+            col = end + 1
+    return out
+
+
+def _painted(spans: pa.Table) -> pa.Table:
+    """The blocks of one grid row: the feature on top of each column, or nothing."""
+    runs = top_runs(*(spans.column(c).to_numpy() for c in ("first_col", "last_col", "seq")))
+    block = runs[0][0] // COLUMN_BLOCK
+    left = block * COLUMN_BLOCK
+    line = np.full((runs[-1][1] // COLUMN_BLOCK + 1) * COLUMN_BLOCK - left, -1, dtype=np.int32)
+    for first, last, seq in runs:
+        line[first - left : last - left + 1] = seq
+    tops = line.reshape(-1, COLUMN_BLOCK)
+    used = np.flatnonzero((tops >= 0).any(axis=1))
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(used) + 1) * COLUMN_BLOCK, COLUMN_BLOCK, dtype=np.int32)), pa.array(tops[used].ravel()))
+    row = np.full(len(used), spans.column("row")[0].as_py(), dtype=np.int32)
+    return pa.table({"row": pa.array(row), "block": pa.array(used + block, pa.int64()), "tops": lists})
+
+
 def rasterize_divisions(
     pixels: DataFrame, polygons: DataFrame, grid: GridSpec, mask: str = "mask", output: str = "division"
 ) -> DataFrame:
@@ -71,17 +115,12 @@ def rasterize_divisions(
 
     Inside the mask without a polygon the id is 1; outside the mask NULL.
     """
-    spans = polygon_spans(polygons, grid)
-    blocks = spans.withColumn(
-        "block",
-        F.explode(F.sequence(F.floor(F.col("first_col") / COLUMN_BLOCK), F.floor(F.col("last_col") / COLUMN_BLOCK))),
-    )
-    # At most one entry per polygon part that touches a 256-pixel piece of a row.
-    cover = blocks.groupBy("row", "block").agg(
-        F.collect_list(F.struct("seq", "first_col", "last_col")).alias("_spans")
-    )
-    joined = pixels.withColumn("block", F.floor(F.col("col") / COLUMN_BLOCK)).join(cover, ["row", "block"], "left")
-    hit = F.filter("_spans", lambda s: F.col("col").between(s["first_col"], s["last_col"]))
-    top = F.array_max(F.transform(hit, lambda s: s["seq"]))
+    spans = polygon_spans(polygons, grid).select("row", F.col("seq").cast("int").alias("seq"), "first_col", "last_col")
+    blocks = spans.groupBy("row").applyInArrow(_painted, "row int, block long, tops array<int>")
+    cover = blocks.select(F.col("row").alias("_row"), F.col("block").alias("_block"), F.col("tops").alias("_tops"))
+    here = (F.col("row") == F.col("_row")) & (F.floor(F.col("col") / COLUMN_BLOCK) == F.col("_block"))
+    joined = pixels.join(cover, here, "left")
+    found = F.get("_tops", F.pmod("col", F.lit(COLUMN_BLOCK)))
+    top = F.when(found >= 0, found)
     value = F.when(F.col(mask) == 1, F.coalesce(top + FIRST_DIVISION, F.lit(BACKGROUND)).cast("int"))
     return joined.withColumn(output, value).select(*pixels.columns, output)

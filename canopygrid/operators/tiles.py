@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopygrid.grid import TILE
+from canopygrid.lineage import scratch_path
 
 
 def block_of(column: str, tile: int = TILE) -> Column:
@@ -32,6 +35,29 @@ def with_tile(df: DataFrame, tile: int = TILE) -> DataFrame:
     return df.withColumn("tile", tile_key(block_of("row", tile), block_of("col", tile)))
 
 
+def write_tiled(pixels: DataFrame, path: str, buckets: int, tile: int = TILE) -> None:
+    """Write ``pixels`` with their ``tile``, bucketed and sorted by it: every tile lies whole in one file."""
+    placed = with_tile(pixels, tile).repartition(buckets, "tile")
+    placed.write.bucketBy(buckets, "tile").sortBy("tile").option("path", path).saveAsTable(f"tiled_{uuid.uuid4().hex}")
+
+
+def read_tiled(spark: SparkSession, path: str, buckets: int) -> DataFrame:
+    """What :func:`write_tiled` wrote, also by another session; grouping it by ``tile`` needs no shuffle."""
+    name = f"tiled_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+    place = path.replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (tile) SORTED BY (tile) INTO {buckets} BUCKETS LOCATION '{place}'")
+    return spark.table(name)
+
+
+def clustered(pixels: DataFrame, tile: int = TILE) -> DataFrame:
+    """``pixels`` with their ``tile``, stored below the checkpoint folder and read where the tiles lie."""
+    spark = pixels.sparkSession
+    path, buckets = scratch_path(spark, "tiled"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    write_tiled(pixels, path, buckets, tile)
+    return read_tiled(spark, path, buckets)
+
+
 def with_halo(df: DataFrame, halo: int, tile: int = TILE) -> DataFrame:
     """Like ``with_tile``, with pixels near a border repeated in the tiles they border.
 

@@ -11,7 +11,7 @@ from canopygrid.operators import allocate as alloc
 from canopygrid.operators import ranking
 from canopygrid.operators.opening import opened_pixels
 from canopygrid.operators.ranking import top_n
-from canopygrid.operators.rasterize import rasterize_divisions
+from canopygrid.operators.rasterize import rasterize_divisions, top_runs
 
 
 @pytest.mark.parametrize("bits", [4, 8, 16])
@@ -181,3 +181,34 @@ def test_polygons_to_pixels(spark):
         hits = [s for s, rings in shapes.items() if inside(x, y, rings)]
         want = (max(hits) + 2 if hits else 1) if row.mask else None
         assert row.division == want, (row, hits)
+
+
+def test_top_runs():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        n = int(rng.integers(1, 40))
+        first = rng.integers(0, 60, n)
+        last, seq = first + rng.integers(0, 30, n), rng.permutation(n)
+        want = {}
+        for f, l, s in zip(first, last, seq):
+            for c in range(f, l + 1):
+                want[c] = max(want.get(c, -1), int(s))
+        runs = top_runs(first, last, seq)
+        assert {c: s for f, l, s in runs for c in range(f, l + 1)} == want
+        assert all(a[1] < b[0] for a, b in zip(runs, runs[1:]))
+
+
+def test_many_polygons_over_one_block(spark):
+    rng = random.Random(9)
+    boxes = [(rng.randint(0, 250), rng.randint(0, 28), rng.randint(1, 60), rng.randint(1, 10)) for _ in range(10_000)]
+    grid = GridSpec(32, 256, 30.0, 30.0)
+    at = lambda c, r: {"x": grid.origin_x + 30.0 * c, "y": grid.origin_y - 30.0 * r}
+    rings = [(i, [at(c, r), at(c + w, r), at(c + w, r + h), at(c, r + h)]) for i, (c, r, w, h) in enumerate(boxes)]
+    polygons = spark.createDataFrame(rings, "seq int, ring array<struct<x:double,y:double>>")
+    pixels = spark.createDataFrame([(r, c, 1) for r in range(32) for c in range(256)], "row int, col int, mask int")
+    want = np.full((32, 256), 1)
+    for i, (c, r, w, h) in enumerate(boxes):
+        want[r : r + h, c : c + w] = i + 2
+    got = rasterize_divisions(pixels, polygons, grid).collect()
+    assert len(got) == 32 * 256 and all(x.division == want[x.row, x.col] for x in got)
+

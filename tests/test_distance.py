@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from canopygrid.grid import GridSpec
+from canopygrid.lineage import scratch_path
 from canopygrid.operators.distance import distance_to, squared_distances
+from canopygrid.operators.tiles import read_tiled, write_tiled
 
 
 def brute(points, height, width):
@@ -47,3 +49,32 @@ def test_no_target_gives_null_and_mask_clears(spark):
     assert all(r.distance is None for r in distance_to(df, "a", 9, grid).collect())
     got = {r.col: r.distance for r in distance_to(df, "a", 1, grid, mask="m", tile=2).collect()}
     assert got == {0: 0.0, 3: 90.0, 4: None}
+
+
+def test_stored_tiles_are_not_shuffled(spark):
+    """Pixels of a layer stored by tile reach both grouped steps without an exchange; only carried values and parabolas are dealt."""
+    rng = np.random.default_rng(6)
+    flags = rng.random((40, 50)) < 0.02
+    flags[0, 0] = True
+    pixels = spark.createDataFrame([(r, c, int(flags[r, c])) for r in range(40) for c in range(50)], "row int, col int, a int")
+    path = scratch_path(spark, "layer")
+    write_tiled(pixels, path, 4, 16)
+    out = squared_distances(read_tiled(spark, path, 4), {"d": F.col("a") == 1}, GridSpec(40, 50), 16, tiled=True)
+    lines = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    scans = [i for i, line in enumerate(lines) if "FileScan parquet" in line and "Bucketed: true" in line]
+    assert scans
+    grouped = 0
+    for i in scans:
+        level, above = depth(lines[i]), []
+        for line in reversed(lines[:i]):
+            if depth(line) < level:
+                level = depth(line)
+                above.append(line)
+        first = next((a for a in above if "Exchange" in a or "CoGroups" in a), "")
+        # Ends of columns are summed up before they are dealt; everything else meets its group at once.
+        grouped += "CoGroups" in first
+    assert grouped == 2
+    want = brute(np.argwhere(flags), 40, 50)
+    found = out.collect()
+    assert len(found) == 2000 and all(r.d == want[r.row, r.col] for r in found)
