@@ -546,7 +546,7 @@ def median_and_slope_distributed(spark, sf_dir):
     )
     n = points.count()
     out = spark.createDataFrame(
-        [(n, exact_median(points, "y"), theil_sen_slope(points, "x", "y", chunk=512))],
+        [(n, exact_median(points, "y"), theil_sen_slope(points, "x", "y", chunk=4096))],
         "n long, med_y double, ts_slope double",
     )
     return rounded(out, "med_y", "ts_slope", digits=3)

@@ -8,7 +8,8 @@ The Theil-Sen slope never forms pairs of points.  The pairs with a slope below
 ``b`` are those that change their order when points are ordered by
 ``y - b * x`` instead of ``x``, so their number is a count of inversions.  Every round counts
 inversions for many slopes at once and narrows the interval that holds the
-middle one, until it is a single double.
+middle one, until few pairs are left in it, or a single double.  These pairs are
+found by a join: their points nearly tie when ordered by the interval's middle.
 """
 
 from __future__ import annotations
@@ -29,10 +30,12 @@ CHUNK = 1 << 16
 #: Points that propose slopes and cut residuals into ranges; results do not depend on them.
 SAMPLE = 2048
 #: Slopes a round tries, at least and at most; between them, about ``ROUND_WORK`` residuals a chunk.
-FEW_SLOPES, MANY_SLOPES = 16, 256
+FEW_SLOPES, MANY_SLOPES = 16, 64
 ROUND_WORK = 1 << 22
+#: Pairs of an interval that are looked at one by one, and pairs of points that a join for them may meet.
+LAST_PAIRS, LAST_MET = 1 << 16, 1 << 21
 #: Residuals that are sorted together.
-STRIP = 1 << 20
+STRIP = 1 << 15
 #: Slopes beyond this (for points scaled into the unit square) count as infinite, so that no product overflows.
 STEEPEST = 2.0**900
 SPLIT = float((1 << 27) + 1)
@@ -174,18 +177,18 @@ class _Points:
     def __init__(self, points: DataFrame, x: str, y: str, chunk: int) -> None:
         xy = points.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
         xy = xy.filter((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")))
-        merged = materialise(xy.select((F.col("x") + 0.0).alias("x"), (F.col("y") + 0.0).alias("y")).groupBy("x", "y").agg(F.count("*").alias("w")))
-        big = F.col("w").cast("decimal(38,0)")
-        columns = merged.groupBy("x").agg(F.sum(big).alias("w"))
-        n, wide, tall, total = merged.agg(F.count("*"), F.max(F.abs("x")), F.max(F.abs("y")), F.sum(big)).first()
-        same = columns.agg(F.sum(F.col("w") * F.col("w"))).first()[0]
+        merged = xy.select((F.col("x") + 0.0).alias("x"), (F.col("y") + 0.0).alias("y")).groupBy("x", "y").agg(F.count("*").alias("w"))
+        upright = merged.groupBy("x").agg(F.count("*").alias("n"), F.max(F.abs("y")).alias("y"), F.sum("w").cast("decimal(19,0)").alias("w"))
+        n, wide, tall, total, same = upright.agg(F.sum("n"), F.max(F.abs("x")), F.max("y"), F.sum("w"), F.sum(F.col("w") * F.col("w"))).first()
+        n = n or 0
         self.pairs = (int(total) ** 2 - int(same)) // 2 if n else 0
         # Powers of two, so that scaling is exact.
         self.x_scale, self.y_scale = (2.0 ** max(-1000, min(1000, -math.frexp(v)[1])) if v else 1.0 for v in (wide, tall))
         scaled = merged.select((F.col("x") * self.x_scale).alias("x"), (F.col("y") * self.y_scale).alias("y"), "w")
         self.chunks = max(1, -(-n // chunk))
         # Stored once, so a chunk's number stays when a lost task is redone.
-        self.table = materialise(scaled.repartitionByRange(self.chunks, "x", "y").withColumn("chunk", F.spark_partition_id()))
+        dealt = scaled.repartitionByRange(self.chunks, "x", "y") if self.chunks > 1 else scaled.coalesce(1)
+        self.table = materialise(dealt.withColumn("chunk", F.spark_partition_id()))
         picked = self.table.orderBy(F.xxhash64("x", "y"), "x", "y").limit(SAMPLE).select("x", "y").collect()
         self.sample = np.array(picked, dtype=np.float64).reshape(-1, 2)
         self.lanes = int(np.clip(ROUND_WORK // max(1, min(n, chunk)), FEW_SLOPES, MANY_SLOPES))
@@ -225,13 +228,35 @@ class _Points:
         return [int(found.get(i, 0)) for i in range(len(slopes))]
 
 
+    def between_slopes(self, low: float, high: float, pairs: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ascending slopes from ``low`` to below ``high`` with their numbers; nothing where too many points tie to look at all.
+
+        Points of the unit square whose slope lies there differ by at most twice
+        the interval when ordered by its middle, so they share one of two ranges.
+        """
+        middle = low / 2 + high / 2
+        width = 4 * (high - low) + 2.0**-46 * (1 + abs(middle))
+        ranged = self.table.withColumn("range", F.floor((F.col("y") - middle * F.col("x")) / width))
+        sizes = ranged.groupBy("range").agg(F.count("*").cast("double").alias("n"))
+        if not math.isfinite(width) or (sizes.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0) > LAST_MET:
+            return None
+        left = ranged.select(F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("w").alias("w0"), F.explode(F.array(F.col("range") - 1, "range", F.col("range") + 1)).alias("range"))
+        met = left.join(ranged, "range").filter("x0 < x").select(((F.col("y") - F.col("y0")) / (F.col("x") - F.col("x0"))).alias("slope"), (F.col("w0") * F.col("w")).alias("n"))
+        found = met.filter((F.col("slope") >= low) & (F.col("slope") < high)).groupBy("slope").agg(F.sum("n").alias("n")).orderBy("slope").limit(pairs + 1).toArrow()
+        slopes, numbers = (found.column(c).to_numpy() for c in ("slope", "n"))
+        # A slope that rounds across an end would shift the ranks.
+        return (slopes, np.cumsum(numbers)) if numbers.sum() == pairs else None
+
+
 def _proposed(low: int, high: int, share: float, sample: np.ndarray, most: int) -> set[int]:
     """Keys strictly between two keys: evenly spread ones, and sample slopes around the wanted share."""
     half = max(1, most // 2)
     keys = {low + (high - low) * i // (half + 1) for i in range(1, half + 1)}
     inside = sample[(sample > from_ordered(low)) & (sample < from_ordered(high))]
     if len(inside):
-        steps = [0, *(s * d for d in (int(1.5**i) for i in range(half)) for s in (1, -1) if d < len(inside))][: max(1, half // 2)]
+        # Near the wanted share and, ever more sparsely, to both ends.
+        reach = max(1, half // 4)
+        steps = [0, *(s * int(len(inside) ** (i / reach)) for i in range(reach) for s in (1, -1))]
         for value in inside[np.clip(round(share * (len(inside) - 1)) + np.array(steps), 0, len(inside) - 1)].tolist():
             keys |= {to_ordered(value), to_ordered(value) + 1}
     steepest = to_ordered(STEEPEST)
@@ -247,19 +272,27 @@ def theil_sen_slope(points: DataFrame, x: str, y: str, chunk: int = CHUNK) -> fl
     sample = data.sample_slopes()
     # Known counts by key; a slope of a rank lies from the last key with no more pairs below it, to the next key.
     known = {to_ordered(-math.inf): 0, to_ordered(math.inf): data.pairs}
+    settled: dict[int, float] = {}
     while True:
         ends = sorted(known)
         spans = {}
         for rank in ranks:
             at = max(i for i, k in enumerate(ends) if known[k] <= rank and i + 1 < len(ends))
             spans[rank] = ends[at], ends[at + 1]
+        for low, high in set(spans.values()):
+            if 1 < high - low and known[high] - known[low] <= LAST_PAIRS and abs(low) < to_ordered(STEEPEST) > abs(high):
+                last = data.between_slopes(from_ordered(low), from_ordered(high), known[high] - known[low])
+                if last is not None:
+                    settled |= {r: float(last[0][np.searchsorted(last[1], r - known[low], side="right")]) for r in ranks if spans[r] == (low, high)}
         asked: set[int] = set()
         for rank, (low, high) in spans.items():
+            if rank in settled:
+                continue
             share = (rank - known[low]) / max(1, known[high] - known[low])
             asked |= _proposed(low, high, share, sample, data.lanes // len(set(spans.values())))
         if not asked:
             break
         keys = sorted(asked)
         known |= dict(zip(keys, data.below([from_ordered(k) for k in keys]), strict=True))
-    found = [from_ordered(low) for low, _ in spans.values()]
+    found = [settled[rank] if rank in settled else from_ordered(low) for rank, (low, _) in spans.items()]
     return midpoint(min(found), max(found)) * (data.x_scale / data.y_scale)

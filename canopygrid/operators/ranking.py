@@ -16,7 +16,7 @@ that Spark knows their size and broadcasts them only where that is small.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from canopygrid.functions.ordered import DIGIT_BITS, ordered_bits
@@ -51,7 +51,7 @@ def cut_keys(pixels: DataFrame, groups: list[str], score: str, targets: DataFram
     # The first scan counts the first digit, and with it the groups.
     counted = materialise(_counts(keyed, groups, digits[0]))
     sizes = counted.groupBy(*groups).agg(F.sum("n").alias("n"))
-    state = materialise(wanted.join(sizes, groups, "left").withColumn("available", F.coalesce("n", F.lit(0).cast("long"))).drop("n"))
+    state = wanted.join(sizes, groups, "left").withColumn("available", F.coalesce("n", F.lit(0).cast("long"))).drop("n")
     simple = (F.col("need") >= F.col("available")) | (F.col("need") <= 0)
     every = F.when(F.col("need") > 0, F.lit(_LAST)).otherwise(F.lit(_FIRST))
     done = state.filter(simple).select(*groups, "available", *[every.alias(f"cut{i}") for i in range(len(KEYS))])
@@ -65,19 +65,20 @@ def cut_keys(pixels: DataFrame, groups: list[str], score: str, targets: DataFram
             .filter((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("n") < F.col("need")))
             .withColumn("need", F.col("need") - (F.col("upto") - F.col("n")))
         )
-        here = materialise(here.select(*groups, "need", "available", "n", "low", "high"))
         # All of a digit's pixels are wanted, or they share one key.
         closed = (F.col("n") == F.col("need")) | (F.col("low") == F.col("high"))
+        differ = [F.when(~closed, F.shiftright(f"low.{part}", shift) != F.shiftright(f"high.{part}", shift)) for part, shift in digits]
+        seen = Observation()
+        here = here.select(*groups, "need", "available", "n", "low", "high").observe(seen, *[F.max(d).alias(f"d{i}") for i, d in enumerate(differ)])
+        here = materialise(here)
         done = done.unionByName(here.filter(closed).select(*groups, "available", *[F.col(f"high.{k}").alias(f"cut{i}") for i, k in enumerate(KEYS)]))
         open_ = here.filter(~closed)
-        differ = [F.max(F.shiftright(f"low.{part}", shift) != F.shiftright(f"high.{part}", shift)) for part, shift in digits]
-        known = open_.agg(*[d.alias(f"d{i}") for i, d in enumerate(differ)]).first()
         # The next digit in which the ends of some open group differ.
-        at = next((i for i in range(at + 1, len(digits)) if known[i]), None)
+        at = next((i for i in range(at + 1, len(digits)) if seen.get.get(f"d{i}")), None)
         if at is None:
             break
         inside = keyed.join(open_.select(*groups, "low", "high"), groups).filter(key.between(F.col("low"), F.col("high")))
-        counted = materialise(_counts(inside, groups, digits[at]))
+        counted = _counts(inside, groups, digits[at])
     return materialise(done)
 
 
