@@ -211,11 +211,12 @@ def _nearest(rows: DataFrame, asked: DataFrame, keys: list[str], length: int, k:
         out = [[], [], []]
         for query, vector in zip(right["vec_id"].to_numpy(), right["vector"], strict=True):
             # A running sum adds the components in their order, whatever the block's size.
-            score = np.sqrt(np.cumsum((points - vector) ** 2, axis=1)[:, -1])
-            score[ids == query] = np.inf
-            # All that tie with the last place, then the smallest ids.
-            some = np.flatnonzero(score <= np.partition(score, min(k, len(score)) - 1)[min(k, len(score)) - 1])
-            some = some[np.isfinite(score[some])]
+            with np.errstate(over="ignore"):
+                score = np.sqrt(np.cumsum((points - vector) ** 2, axis=1)[:, -1])
+            other = np.flatnonzero(ids != query)
+            last = min(k, len(other)) - 1
+            # All that tie with the last place (infinite scores too, where squares overflow), then the smallest ids.
+            some = other[score[other] <= np.partition(score[other], last)[last]] if len(other) else other
             some = some[np.lexsort((ids[some], score[some]))][:k]
             for have, more in zip(out, (np.full(len(some), query), ids[some], score[some]), strict=True):
                 have.append(more)

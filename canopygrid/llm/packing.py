@@ -62,11 +62,13 @@ _KIND[c.byte_set((33, 38), (40, 47), (58, 64), (91, 96), (123, 126))] = 3
 
 
 def _kinds(lowered: np.ndarray) -> np.ndarray:
-    """Kinds of bytes; the Latin letters U+00C0 to U+024F (without the signs U+00D7 and U+00F7) are letters."""
+    """Kinds of bytes; the Latin letters U+00C0 to U+024F are letters, without the signs U+00D7 and U+00F7 and without
+    U+0130, which the tokenizer takes for a letter and a sign."""
     kind = _KIND[lowered]
     lead = np.flatnonzero((lowered[:-1] >= 0xC3) & (lowered[:-1] <= 0xC9))
     follow = lowered[lead + 1]
-    lead = lead[(lowered[lead] != 0xC3) | ((follow != 0x97) & (follow != 0xB7))]
+    first = lowered[lead]
+    lead = lead[((first != 0xC3) | ((follow != 0x97) & (follow != 0xB7))) & ((first != 0xC4) | (follow != 0xB0))]
     kind[lead] = kind[lead + 1] = 1
     return kind
 
