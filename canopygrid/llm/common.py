@@ -8,6 +8,8 @@ P**-start``, so words, prefixes and lines cost a few array operations each.
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -109,21 +111,32 @@ def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[in
 class Hasher:
     """Hashes of byte ranges of one block."""
 
-    _powers = np.ones(1, dtype=np.uint64)
-    _inverses = np.ones(1, dtype=np.uint64)
-
     def __init__(self, data: np.ndarray) -> None:
         need = len(data) + 1
-        if len(Hasher._powers) < need:
-            size = max(need, BLOCK_BYTES + 1)
-            Hasher._powers = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, P, dtype=np.uint64)], dtype=np.uint64)
-            Hasher._inverses = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, P_INVERSE, dtype=np.uint64)], dtype=np.uint64)
+        # Powers for a longer text live as long as its hasher, so that a worker's memory falls again.
+        self.powers, self.inverses = self.kept_powers() if need <= BLOCK_BYTES + 1 else (self.powers_of(x, need) for x in (P, P_INVERSE))
         self.sums = np.zeros(need, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * Hasher._powers[: len(data)], out=self.sums[1:], dtype=np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.powers[: len(data)], out=self.sums[1:], dtype=np.uint64)
+
+    @classmethod
+    def kept_powers(cls) -> tuple[np.ndarray, np.ndarray]:
+        """Powers for a block, made once in each process.
+
+        They are kept beside the modules, not in this class, which travels with every
+        function that is sent to the executors.
+        """
+        kept = sys.modules.setdefault("_canopygrid_kept", types.ModuleType("_canopygrid_kept"))
+        if not hasattr(kept, "powers"):
+            kept.powers = tuple(cls.powers_of(x, BLOCK_BYTES + 1) for x in (P, P_INVERSE))
+        return kept.powers
+
+    @staticmethod
+    def powers_of(base: np.uint64, count: int) -> np.ndarray:
+        return np.cumprod(np.r_[np.uint64(1), np.full(count - 1, base, dtype=np.uint64)], dtype=np.uint64)
 
     def ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """One well-spread hash for each range ``[start, end)``."""
-        return mix((self.sums[ends] - self.sums[starts]) * Hasher._inverses[starts] + (ends - starts).astype(np.uint64))
+        return mix((self.sums[ends] - self.sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64))
 
 
 def runs(flags: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

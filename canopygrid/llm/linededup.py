@@ -70,7 +70,7 @@ class Lines:
         long = self.count >= MIN_WORDS
         self.long = np.flatnonzero(long)
         first, count = self.first[long], self.count[long]
-        powers, inverses = c.Hasher._powers[: len(words)], c.Hasher._inverses
+        powers, inverses = hasher.powers[: len(words)], hasher.inverses
 
         def spans(values: np.ndarray) -> np.ndarray:
             sums = np.zeros(len(values) + 1, dtype=np.uint64)

@@ -49,8 +49,8 @@ from canopygrid.llm.graph import components
 WIDTH = 5
 #: Parts of the domain for each element of the largest set of a band.
 PARTS = 0.45
-#: Signatures of one packed block.
-BLOCK_SIGNATURES = 1 << 20
+#: Signatures of one packed block, and of one bucket, about: a task looks at one bucket at a time.
+BLOCK_SIGNATURES, BUCKET_SIGNATURES = 1 << 19, 1 << 18
 #: Documents of the sample that finds common shingles, about; their least count there; and how many are kept at most.
 SAMPLE_DOCS, SAMPLE_COUNT, COMMON_ROWS = 8192, 2, 1 << 18
 #: Bits of the parity sketch that excludes pairs, at least.
@@ -173,8 +173,8 @@ def _packed(docs: DataFrame, width: int, common: np.ndarray, buckets: int) -> Da
     def pack(found: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
         every = np.concatenate(found)
         owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
-        bucket = ((every >> np.uint64(48)) * np.uint64(buckets)) >> np.uint64(16)
-        order = np.argsort(bucket.astype(np.uint16), kind="stable")
+        bucket = ((every >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        order = np.argsort(bucket.astype(np.min_scalar_type(buckets)), kind="stable")
         every, owner, bucket = every[order], owner[order], bucket[order]
         keys = np.array(nodes, dtype=np.int64)
         out: list[tuple] = []
@@ -206,7 +206,7 @@ def _packed(docs: DataFrame, width: int, common: np.ndarray, buckets: int) -> Da
     return docs.select("text").mapInArrow(run, "bucket int, nodes binary, counts binary, low binary")
 
 
-def _groups(packed: DataFrame, buckets: int) -> DataFrame:
+def _groups(packed: DataFrame, partitions: int) -> DataFrame:
     """``gid, members``: the distinct lists of nodes that share a signature."""
 
     def shared(nodes: list[bytes], counts: list[bytes], low: list[bytes]) -> pa.RecordBatch:
@@ -252,7 +252,7 @@ def _groups(packed: DataFrame, buckets: int) -> DataFrame:
             if out is not None:
                 yield out
 
-    dealt = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = packed.repartition(partitions, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, "gid long, members array<long>").dropDuplicates(["gid"])
 
 
@@ -387,10 +387,12 @@ def _joined(docs: DataFrame, width: int, id_col: str, text_col: str, with_links:
     c.small_batches(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sets = c.stored(_sets(docs, width))
-    rows = sets.count()
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows, elements = sets.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     common = _common_shingles(docs, rows, width)
-    groups = c.stored(_groups(_packed(docs, width, common, buckets), buckets))
+    # A set enumerates two sevenths of its elements for each of up to two bands, and one part more.
+    buckets = min(1 << 30, 1 + (4 * int(elements) // 7 + 2 * rows) // BUCKET_SIGNATURES)
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 8)
+    groups = c.stored(_groups(_packed(docs, width, common, buckets), partitions))
 
     members = groups.select("gid", F.explode("members").alias("node"))
     reps = sets.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "place")).alias("rep"))
