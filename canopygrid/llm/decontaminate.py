@@ -166,8 +166,8 @@ def _over_blocks(docs: DataFrame, items: DataFrame, text_col: str, last: Callabl
 
     wide = docs.withColumn("__marks", F.lit(None).cast("binary")).withColumn("__items", F.lit(None).cast("array<string>")).schema
     for block in blocks[:-1]:
-        docs = docs.mapInArrow(earlier(block), wide)
-    return docs.mapInArrow(final(blocks[-1]), schema)
+        docs = docs.mapInArrow(c.releasing(earlier(block)), wide)
+    return docs.mapInArrow(c.releasing(final(blocks[-1])), schema)
 
 
 def report(docs: DataFrame, items: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", most: int = BLOCK_WINDOWS) -> DataFrame:

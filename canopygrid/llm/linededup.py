@@ -107,7 +107,7 @@ def _lines(docs: DataFrame) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("copy")).mapInArrow(run, f"doc_id {kind}, copy long, leaf long, line long, even long, odd long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("copy")).mapInArrow(c.releasing(run), f"doc_id {kind}, copy long, leaf long, line long, even long, odd long")
 
 
 def _words(docs: DataFrame, leaves: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def _words(docs: DataFrame, leaves: DataFrame) -> DataFrame:
                 words = pa.array([found.words[i : i + n].tobytes() for i, n in zip(first.tolist(), count.tolist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(line), words], names=["leaf", "line", "words"])
 
-    found = docs.select("text").mapInArrow(run, "leaf long, line long, words binary")
+    found = docs.select("text").mapInArrow(c.releasing(run), "leaf long, line long, words binary")
     return (found if few else found.join(leaves, "leaf", "left_semi")).dropDuplicates(["line"])
 
 
@@ -154,7 +154,7 @@ def _members(lines: DataFrame) -> DataFrame:
             every = np.concatenate(found).view(np.int64) if found else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(every), batch.column(1).take(pa.array(at)), pa.array(size[at])], names=["part", "line", "n_words"])
 
-    return lines.select("leaf", "line", "words").mapInArrow(run, "part long, line long, n_words long")
+    return lines.select("leaf", "line", "words").mapInArrow(c.releasing(run), "part long, line long, n_words long")
 
 
 def _alike(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -170,7 +170,7 @@ def _alike(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
     left = lines.select(F.col("line").alias("src"), F.col("words").alias("x"))
     right = lines.select(F.col("line").alias("dst"), F.col("words").alias("y"))
-    return pairs.join(left, "src").join(right, "dst").select("src", "dst", "x", "y").mapInArrow(run, "src long, dst long")
+    return pairs.join(left, "src").join(right, "dst").select("src", "dst", "x", "y").mapInArrow(c.releasing(run), "src long, dst long")
 
 
 def _across(members: DataFrame, lines: DataFrame, roots: DataFrame) -> DataFrame:
@@ -210,7 +210,7 @@ def _across(members: DataFrame, lines: DataFrame, roots: DataFrame) -> DataFrame
             every = np.concatenate(found)
             yield pa.RecordBatch.from_arrays([pa.array(every[:, 0]), pa.array(every[:, 1])], names=["src", "dst"])
 
-    return blocks.select("held").mapInArrow(run, "src long, dst long").dropDuplicates()
+    return blocks.select("held").mapInArrow(c.releasing(run), "src long, dst long").dropDuplicates()
 
 
 def recurring(docs: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -306,7 +306,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             texts = _kept(batch, at, len(names), len(names) + 1)[0]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(names))], names=names)
 
-    return _with_drops(docs, id_col, text_col, min_docs).mapInArrow(run, docs.schema)
+    return _with_drops(docs, id_col, text_col, min_docs).mapInArrow(c.releasing(run), docs.schema)
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
@@ -319,5 +319,5 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
             texts, total, dropped = _kept(batch, 1, 2, 3)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(dropped, pa.int64())], names=["doc_id", "text", "n_lines", "n_dropped"])
 
-    out = _with_drops(docs, "doc_id", "text", min_docs).mapInArrow(run, f"doc_id {kind}, text string, n_lines long, n_dropped long")
+    out = _with_drops(docs, "doc_id", "text", min_docs).mapInArrow(c.releasing(run), f"doc_id {kind}, text string, n_lines long, n_dropped long")
     return out.select("doc_id", "n_lines", "n_dropped", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

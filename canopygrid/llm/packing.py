@@ -31,7 +31,6 @@ names cannot clash; an empty table gives no rows.
 
 from __future__ import annotations
 
-import json
 import zlib
 from itertools import pairwise
 
@@ -80,8 +79,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as file:
-            self.special = [x["content"].encode() for x in json.load(file).get("added_tokens", [])]
+        self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.separator = separator
         self.clear()
 
@@ -182,7 +180,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, separ
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return docs.mapInArrow(c.releasing(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 Plan = list[tuple[tuple[int, ...], int]]
@@ -406,4 +404,4 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, nodes: int | None = None) -
     ranked = salted.withColumn("__inside", F.row_number().over(inside) - 1).join(starts, ["length", "__salt"])
     ranked = ranked.select(*parts.columns, (F.col("__before") + F.col("__inside")).cast("long").alias("__rank"))
     schema = parts.withColumn("sequence_id", F.lit(None).cast("long")).withColumn("offset", F.lit(None).cast("long")).schema
-    return ranked.mapInArrow(place_all, schema)
+    return ranked.mapInArrow(c.releasing(place_all), schema)

@@ -21,7 +21,6 @@ columns are ignored, so their names cannot clash.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,10 +122,14 @@ def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS) -
     return weights(np.arange(last + 1))
 
 
-def _train(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("doc_id", key=lambda s: s.map(lambda x: c.mix(np.frombuffer(x.encode()[:8].ljust(8), dtype=np.uint64))[0]), kind="stable")
-    rows = [(int(y), np.asarray(a, dtype=np.int64), np.asarray(v, dtype=np.float64)) for y, a, v in zip(pdf["label"], pdf["at"], pdf["value"], strict=True)]
-    return pd.DataFrame({"rows": [len(rows)], "weights": [ftrl(rows).astype(np.float32).tobytes()]})
+def _train(table: pa.Table) -> pa.Table:
+    """Weights of one shard; its vectors stay where Arrow holds them."""
+    at, value = (table.column(name).combine_chunks() for name in ("at", "value"))
+    label, edges = table.column("label").to_pylist(), at.offsets.to_pylist()
+    numbers, values = at.values.to_numpy(), value.values.to_numpy()
+    order = np.argsort(c.mix(np.frombuffer(b"".join(x.encode()[:8].ljust(8) for x in table.column("doc_id").to_pylist()), dtype=np.uint64)), kind="stable")
+    rows = [(label[i], numbers[edges[i] : edges[i + 1]], values[edges[i] : edges[i + 1]]) for i in order.tolist()]
+    return pa.table({"rows": pa.array([len(rows)], pa.int64()), "weights": pa.array([ftrl(rows).astype(np.float32).tobytes()], pa.binary())})
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = TRAIN_ROWS) -> np.ndarray:
@@ -143,8 +146,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # At most ``most`` rows of two numbers, so the broadcast is bounded.
     rows = texts.join(F.broadcast(picked), "doc_id").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS)).cast("int"))
-    vectors = rows.mapInArrow(_vectors, "shard int, doc_id string, label int, at array<int>, value array<float>")
-    models = vectors.groupBy("shard").applyInPandas(_train, "rows long, weights binary").collect()
+    vectors = rows.mapInArrow(c.releasing(_vectors), "shard int, doc_id string, label int, at array<int>, value array<float>")
+    models = vectors.groupBy("shard").applyInArrow(_train, "rows long, weights binary").collect()
     if not models:
         return np.zeros((1 << BITS) + 1, dtype=np.float32)
     return np.average([np.frombuffer(m["weights"], dtype=np.float32) for m in models], axis=0, weights=[m["rows"] for m in models]).astype(np.float32)
@@ -171,7 +174,7 @@ def score(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dots(shared.value, batch.column(1)), pa.float64())], names=["doc_id", "score"])
 
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return docs.mapInArrow(c.releasing(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def accepted(docs: DataFrame, model: np.ndarray, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -183,7 +186,7 @@ def accepted(docs: DataFrame, model: np.ndarray, text_col: str = "text", thresho
         for batch in batches:
             yield batch.filter(pa.array(dots(shared.value, batch.column(batch.schema.get_field_index(text_col))) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(c.releasing(run), docs.schema)
 
 
 def remainder(id_column: Column, modulus: int) -> Column:

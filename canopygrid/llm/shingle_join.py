@@ -148,7 +148,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("place")).mapInArrow(run, f"doc_id {kind}, n_shingles long, node long, place long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("place")).mapInArrow(c.releasing(run), f"doc_id {kind}, n_shingles long, node long, place long")
 
 
 def _common_shingles(docs: DataFrame, rows: int, width: int) -> np.ndarray:
@@ -161,7 +161,7 @@ def _common_shingles(docs: DataFrame, rows: int, width: int) -> np.ndarray:
 
     share = min(1.0, SAMPLE_DOCS / max(rows, 1))
     picked = docs.filter(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30))).select("text").dropDuplicates()
-    found = picked.mapInArrow(run, "shingle long").groupBy("shingle").count().filter(F.col("count") >= SAMPLE_COUNT)
+    found = picked.mapInArrow(c.releasing(run), "shingle long").groupBy("shingle").count().filter(F.col("count") >= SAMPLE_COUNT)
     rows = found.orderBy(F.desc("count"), "shingle").limit(COMMON_ROWS).select("shingle").toArrow()
     return np.sort(rows.column("shingle").to_numpy().view(np.uint64))
 
@@ -203,7 +203,7 @@ def _packed(docs: DataFrame, width: int, common: np.ndarray, buckets: int) -> Da
         if found:
             yield pack(found, nodes)
 
-    return docs.select("text").mapInArrow(run, "bucket int, nodes binary, counts binary, low binary")
+    return docs.select("text").mapInArrow(c.releasing(run), "bucket int, nodes binary, counts binary, low binary")
 
 
 def _groups(packed: DataFrame, partitions: int) -> DataFrame:
@@ -253,7 +253,7 @@ def _groups(packed: DataFrame, partitions: int) -> DataFrame:
                 yield out
 
     dealt = packed.repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "gid long, members array<long>").dropDuplicates(["gid"])
+    return dealt.mapInArrow(c.releasing(run), "gid long, members array<long>").dropDuplicates(["gid"])
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, places: DataFrame, width: int) -> DataFrame:
@@ -272,7 +272,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, places: DataFrame, width: int)
 
     left = sets.select(F.col("node").alias("src"), F.col("shingles").alias("left_set"))
     right = sets.select(F.col("node").alias("dst"), F.col("shingles").alias("right_set"))
-    return c.stored(pairs.join(left, "src").join(right, "dst").mapInArrow(run, "src long, dst long"))
+    return c.stored(pairs.join(left, "src").join(right, "dst").mapInArrow(c.releasing(run), "src long, dst long"))
 
 
 def sketch(shingles: np.ndarray) -> bytes:
@@ -312,7 +312,7 @@ def _close_heads(first: DataFrame, sketches: DataFrame) -> DataFrame:
 
     left = sketches.select(F.col("node").alias("src"), F.col("n").alias("a"), F.col("sketch").alias("x"))
     right = sketches.select(F.col("node").alias("dst"), F.col("n").alias("b"), F.col("sketch").alias("y"))
-    return first.join(left, "src").join(right, "dst").select("src", "dst", "a", "x", "b", "y").mapInArrow(run, "src long, dst long")
+    return first.join(left, "src").join(right, "dst").select("src", "dst", "a", "x", "b", "y").mapInArrow(c.releasing(run), "src long, dst long")
 
 
 def _close_pairs(groups: DataFrame, known: DataFrame) -> DataFrame:
@@ -360,7 +360,7 @@ def _close_pairs(groups: DataFrame, known: DataFrame) -> DataFrame:
     nodes = dealt.select("hub", "part", F.explode("members").alias("node")).distinct().join(known, "node")
     held = nodes.groupBy("hub", "part").agg(F.collect_list(F.struct("node", "root", "n", "sketch")).alias("held"))
     lists = dealt.groupBy("hub", "part").agg(F.collect_list("members").alias("lists"))
-    return held.join(lists, ["hub", "part"]).select("held", "lists").mapInArrow(run, "src long, dst long").dropDuplicates()
+    return held.join(lists, ["hub", "part"]).select("held", "lists").mapInArrow(c.releasing(run), "src long, dst long").dropDuplicates()
 
 
 def _sets_at(docs: DataFrame, places: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -378,7 +378,7 @@ def _sets_at(docs: DataFrame, places: DataFrame, nodes: DataFrame, width: int) -
     side = F.broadcast(wanted) if c.fits_broadcast(wanted) else wanted
     at = F.xxhash64("text").eqNullSafe(F.col("__place")) & F.col("doc_id").eqNullSafe(F.col("__id"))
     texts = docs.join(side, at, "left_semi").select("text")
-    return texts.mapInArrow(run, "node long, n long, shingles binary, sketch binary").dropDuplicates(["node"])
+    return texts.mapInArrow(c.releasing(run), "node long, n long, shingles binary, sketch binary").dropDuplicates(["node"])
 
 
 def _joined(docs: DataFrame, width: int, id_col: str, text_col: str, with_links: bool) -> DataFrame:
